@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import fold_accents, strip
+from tallyframe.functions.text import fold_accents, let, strip
 
 # The text markers that stand for a missing cell (blank counts too).
 MISSING_MARKERS = ("na", "n/a", "null", "none", "nan", "-", "--")
@@ -32,50 +32,45 @@ RECEIPT_PATTERN = (r"syt(?:\s+\w+){0,3}?\s*(?:nhan|tiep\s*nhan)"
 
 _CURRENCY_SIGNS = "₫$€£"
 _CURRENCY_WORDS = r"(?iU)\b(?:VND|USD|EUR|GBP)\b"
-_THOUSANDS = r"^[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?\z"
-_COMMA_DECIMAL = r"^[-+]?\d+,\d+\z"
-_PLAIN_NUMBER = r"^[-+]?\d+(?:\.\d+)?\z"
+_GROUPED = r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?"
+_NUMBER = rf"^(?:[-+]?\d+(?:[.,]\d+)?|{_GROUPED})\z"
 
 _CLOCK = r"(?:(?:\s+|T)(?:2[0-3]|[01]?\d):[0-5]?\d(?::[0-5]?\d)?)?"
-_YEAR_FIRST = rf"^(\d{{4}})(?:-(\d{{1,2}})-(\d{{1,2}}){_CLOCK}|/(\d{{1,2}})/(\d{{1,2}}))\z"
-_DAY_FIRST = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4}|\d{2})\z"
+_YEAR_FIRST = rf"(?!0000)(\d{{4}})(?:-(\d{{1,2}})-(\d{{1,2}}){_CLOCK}|/(\d{{1,2}})/(\d{{1,2}}))\z"
+_DATE = rf"^(?:{_YEAR_FIRST}|\d{{1,2}}([/-])\d{{1,2}}\6(?:\d{{4}}|\d{{2}})\z)"
+_DAY_MONTH = r"^(\d{1,2})([/-])(\d{1,2})\2"
+
+
+def missing_text(text: Column) -> Column:
+    """Whether an already stripped text is blank or a marker."""
+    return F.lower(text).isin("", *MISSING_MARKERS)
 
 
 def is_missing(c: Column) -> Column:
     """Null, blank or one of the marker texts."""
-    text = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return text.isin("", *MISSING_MARKERS)
+    return missing_text(strip(F.coalesce(c, F.lit(""))))
 
 
 def normalize_date(c: Column) -> Column:
     """ISO text of a cell written in one of the ten accepted layouts, else null.
 
     Day comes before month; a two-digit year pivots at 69; the time of day is
-    dropped. Cells that cannot be dates leave after a single anchored regexp.
+    dropped. Cells that are no date leave after one anchored regexp.
     """
-    text = F.rtrim(strip(c), F.lit("."))
-    iso = F.regexp_replace(text, _YEAR_FIRST, "$1-$2$4-$3$5")
-    flipped = F.regexp_replace(text, _DAY_FIRST, "$4-$3-$1")
-    century = F.when(F.left(flipped, F.lit(2)) >= "69", "19").otherwise("20")
-    day_first = F.when(flipped.rlike(r"^\d\d-"), F.concat(century, flipped)).otherwise(flipped)
-    parts = F.when(text.rlike(_YEAR_FIRST), iso).when(text.rlike(_DAY_FIRST), day_first)
-    parsed = F.when(~parts.startswith("0000"),
-                    F.try_to_date(parts, "yyyy-M-d").cast("string"))
-    return F.when(text.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d"), parsed)
-
-
-def _bare_number(c: Column, strip_percent_last: bool = True) -> Column:
-    """Currency and percent removed, one decimal point, grouping commas gone."""
-    if strip_percent_last:
-        text = F.translate(strip(c), _CURRENCY_SIGNS, "")
-        text = F.regexp_replace(text, _CURRENCY_WORDS, "")
-        text = strip(F.translate(text, "%", ""))
-    else:
-        text = F.translate(strip(c), _CURRENCY_SIGNS + "%", "")
-        text = strip(F.regexp_replace(text, _CURRENCY_WORDS, ""))
-    return (F.when(text.rlike(_THOUSANDS), F.translate(text, ",", ""))
-            .when(text.rlike(_COMMA_DECIMAL), F.translate(text, ",", "."))
-            .otherwise(text))
+    def iso(text: Column) -> Column:
+        ymd = F.regexp_replace(text, "^" + _YEAR_FIRST, "$1-$2$4-$3$5")
+        ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(\d{4})\z", "$4-$3-$1")
+        ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(69|[7-9]\d)\z", "19$4-$3-$1")
+        ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(\d\d)\z", "20$4-$3-$1")
+        valid = text.rlike(_DATE) & ~text.rlike(r"[/-]0000\z")
+        return F.when(valid, ymd.try_cast("date").cast("string"))
+    return let(F.rtrim(strip(c), F.lit(".")), iso)
+
+
+def _bare(c: Column) -> Column:
+    """Currency signs and words, then percent signs, removed."""
+    text = F.regexp_replace(F.translate(strip(c), _CURRENCY_SIGNS, ""), _CURRENCY_WORDS, "")
+    return strip(F.translate(text, "%", ""))
 
 
 def normalize_number(c: Column, float_compat: bool = False) -> Column:
@@ -85,24 +80,32 @@ def normalize_number(c: Column, float_compat: bool = False) -> Column:
     decimals are rounded to ten. ``float_compat`` goes through DOUBLE, losing
     digits past 2^53 the way a float pipeline does.
     """
-    bare = _bare_number(c)
-    if float_compat:
-        num = bare.try_cast("double")
-        whole = (num == F.floor(num)) & (F.abs(num) < 9.2e18)
-        text = F.when(whole, num.cast("bigint").cast("string")).otherwise(
-            num.cast("decimal(38,10)").cast("string"))
-    else:
-        long_tail = bare.rlike(r"\.\d{11}")
-        text = F.when(long_tail, bare.try_cast("decimal(38,10)").cast("string")).otherwise(bare)
-    text = F.regexp_replace(text, r"^\+?(-?)0*(?=\d)", "$1")
-    text = F.when(text.contains("."), F.regexp_replace(text, r"\.?0*\z", "")).otherwise(text)
-    text = F.when(text == "-0", "0").otherwise(text)
-    return F.when(bare.rlike(_PLAIN_NUMBER), text)
+    def through_double(text: Column) -> Column:
+        return let(text.try_cast("double"), lambda num: F.when(
+            (num == F.floor(num)) & (F.abs(num) < 9.2e18), num.cast("bigint").cast("string")
+        ).otherwise(num.try_cast("decimal(38,10)").cast("string")))
+
+    def ten_decimals(text: Column) -> Column:
+        return F.when(text.rlike(r"\.\d{11}"), F.coalesce(
+            text.try_cast("decimal(38,10)").cast("string"), text)).otherwise(text)
+
+    def plain(text: Column) -> Column:
+        point = F.when(text.rlike(rf"^{_GROUPED}\z"), F.translate(text, ",", "")).otherwise(
+            F.translate(text, ",", "."))
+        digits = through_double(point) if float_compat else let(point, ten_decimals)
+        digits = F.regexp_replace(digits, r"^(?:\+|(-))?0*(?=\d)", "$1")
+        digits = F.regexp_replace(digits, r"(?:(\.\d*[1-9])|\.)0+\z", "$1")
+        return F.when(text.rlike(_NUMBER), F.regexp_replace(digits, r"^-0\z", "0"))
+    return let(_bare(c), plain)
 
 
 def looks_numeric(c: Column) -> Column:
-    """Whether a profile counts the cell as a number."""
-    return _bare_number(c, strip_percent_last=False).rlike(_PLAIN_NUMBER)
+    """Whether a profile counts the cell as a number.
+
+    Unlike cleaning it drops percent signs before currency words.
+    """
+    text = F.translate(strip(c), _CURRENCY_SIGNS + "%", "")
+    return strip(F.regexp_replace(text, _CURRENCY_WORDS, "")).rlike(_NUMBER)
 
 
 def looks_boolean(c: Column) -> Column:
@@ -140,16 +143,27 @@ def split_annotated_date(c: Column, receipt_pattern: str = RECEIPT_PATTERN) -> C
     The note is the trailing parenthesis. It is blanked when nothing but the
     receipt phrase stands in it.
     """
-    text = strip(F.coalesce(c, F.lit("")))
     annotation = r"\((.*)\)\s*\z"
-    note = strip(F.regexp_extract(text, annotation, 1))
-    head = F.regexp_replace(text, annotation, "")
-    ascii_note = F.regexp_replace(F.lower(fold_accents(note, d_stroke=False)), r"[^\x00-\x7f]", "")
-    receipt = F.regexp_extract(ascii_note, receipt_pattern, 1)
-    left = F.btrim(F.regexp_replace(F.regexp_replace(ascii_note, r"\s+", " "), receipt_pattern, ""),
-                   F.lit(" -:,;"))
-    return F.struct(
-        F.coalesce(normalize_date(head), F.lit("")).alias("date"),
-        F.coalesce(normalize_date(receipt), F.lit("")).alias("receipt_date"),
-        F.when((receipt != "") & (left == ""), "").otherwise(note).alias("note"),
-    )
+    empty = F.lit("")
+
+    def ascii_lower(note: Column) -> Column:
+        return F.regexp_replace(F.lower(fold_accents(note, d_stroke=False)), r"[^\x00-\x7f]", "")
+
+    def from_note(head: Column, note: Column) -> Column:
+        def pieces(plain: Column) -> Column:
+            receipt = F.regexp_extract(plain, receipt_pattern, 1)
+            left = F.btrim(F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), receipt_pattern, ""),
+                           F.lit(" -:,;"))
+            return F.struct(
+                F.coalesce(normalize_date(head), empty).alias("date"),
+                F.coalesce(normalize_date(receipt), empty).alias("receipt_date"),
+                F.when((left == "") & plain.rlike(receipt_pattern), "").otherwise(note).alias("note"))
+        return let(ascii_lower(note), pieces)
+
+    def split(text: Column) -> Column:
+        alone = F.struct(F.coalesce(normalize_date(text), empty).alias("date"),
+                         empty.alias("receipt_date"), empty.alias("note"))
+        annotated = let(strip(F.regexp_extract(text, annotation, 1)), lambda note: from_note(
+            F.regexp_replace(text, annotation, ""), note))
+        return F.when(text.rlike(annotation), annotated).otherwise(alone)
+    return let(strip(F.coalesce(c, empty)), split)

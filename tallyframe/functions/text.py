@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -20,6 +21,15 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often it is used.
+
+    Catalyst does not share a subexpression across conditional branches, so a
+    costly input named in several of them would run several times per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Unicode-aware strip; ``trim`` alone would only remove spaces."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -74,16 +84,17 @@ def fold_accents(c: Column, d_stroke: bool = True) -> Column:
     (ligatures, fractions) is consulted only for rows that hold one.
     """
     source, target, wide = _fold_tables()
-    pairs = F.create_map(*[F.lit(x) for kv in wide.items() for x in kv])
-    expanded = F.when(
-        c.rlike(_char_class(wide)),
-        F.array_join(F.transform(F.split(c, ""),
-                                 lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), ""),
-    ).otherwise(c)
     if d_stroke:
         source, target = "đĐ" + source, "dD" + target
-    folded = F.translate(expanded, source, target)
-    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(c)
+    wide_class = _char_class(wide)
+
+    def fold(text: Column) -> Column:
+        pairs = F.create_map(*[F.lit(x) for kv in wide.items() for x in kv])
+        spelled = F.array_join(F.transform(
+            F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), "")
+        expanded = F.when(text.rlike(wide_class), spelled).otherwise(text)
+        return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(expanded, source, target)).otherwise(text)
+    return let(c, fold)
 
 
 def slug(c: Column) -> Column:
@@ -116,11 +127,11 @@ def unique_slugs(names) -> list[str]:
 
 def python_repr(c: Column) -> Column:
     """How Python prints a string literal (quotes chosen, controls escaped)."""
-    body = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        body = F.replace(body, F.lit(raw), F.lit(shown))
-    double = c.contains("'") & ~c.contains('"')
-    return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
-        F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
-
-
+    def quoted(text: Column) -> Column:
+        body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+        for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            body = F.replace(body, F.lit(raw), F.lit(shown))
+        return F.when(text.contains("'") & ~text.contains('"'),
+                      F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    return let(c, quoted)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyframe.functions.cells import (NUMERIC_NAME_HINTS, RECEIPT_PATTERN, is_missing,
-                                        normalize_date, normalize_number, split_annotated_date)
-from tallyframe.functions.text import col, strip, unique_slugs
+                                        missing_text, normalize_date, normalize_number,
+                                        split_annotated_date)
+from tallyframe.functions.text import col, let, strip, unique_slugs
 
 SAMPLE_ROWS = 1000
 
@@ -56,17 +57,21 @@ def clean_cell(c: Column, numeric: bool = False, float_compat: bool = False) ->
     Order matters: missing, then a date that changes the text, then (numeric
     columns only) the number, else the stripped text.
     """
-    text = strip(F.coalesce(c, F.lit("")))
-    date = normalize_date(text)
-    change = F.when(is_missing(c), F.when(text != "", "missing").otherwise("blank"))
-    change = change.when(date != text, "date")
-    value = F.when(is_missing(c), "").when(date != text, date)
-    if numeric:
-        number = normalize_number(text, float_compat)
-        change = change.when(number != text, "number")
-        value = value.when(number.isNotNull(), number)
-    return F.struct(value.otherwise(text).alias("value"),
-                    change.otherwise("none").alias("change"))
+    def made(value: Column, change: str) -> Column:
+        return F.struct(value.alias("value"), F.lit(change).alias("change"))
+
+    def kept(text: Column) -> Column:
+        if not numeric:
+            return made(text, "none")
+        return let(F.coalesce(normalize_number(text, float_compat), text), lambda n: F.when(
+            n == text, made(text, "none")).otherwise(made(n, "number")))
+
+    def dated(text: Column) -> Column:
+        return let(normalize_date(text), lambda d: F.when(
+            d != text, made(d, "date")).otherwise(kept(text)))
+    return let(strip(F.coalesce(c, F.lit(""))), lambda text: F.when(
+        text == "", made(F.lit(""), "blank")).when(
+        missing_text(text), made(F.lit(""), "missing")).otherwise(dated(text)))
 
 
 def clean_cells(df: DataFrame, columns: list[str], numeric: list[str] = (),
@@ -119,21 +124,23 @@ def split_date_notes(df: DataFrame, source: str, receipt: str, note: str,
     receipt date or note keeps it when the text yields none, so running the
     step twice changes nothing.
     """
-    parts = split_annotated_date(col(source), receipt_pattern)
     empty = F.lit("")
     old_receipt = strip(F.coalesce(col(receipt), empty)) if receipt in df.columns else empty
     old_note = strip(F.coalesce(col(note), empty)) if note in df.columns else empty
+    # Staged in projections: each stage is named several times in the next one.
+    staged = df.withColumns({"_parts": split_annotated_date(col(source), receipt_pattern),
+                             "_receipt": old_receipt, "_note": old_note})
     from_note = split_annotated_date(
-        F.concat(F.lit("2000-01-01 ("), old_note, F.lit(")")), receipt_pattern)["receipt_date"]
-    kept = F.coalesce(normalize_date(old_receipt), old_receipt)
-    new_receipt = F.coalesce(F.nullif(parts["receipt_date"], empty), F.nullif(kept, empty),
-                             F.nullif(F.when(old_note != "", from_note), empty), empty)
-    new_note = F.coalesce(F.nullif(parts["note"], empty), old_note)
+        F.concat(F.lit("2000-01-01 ("), F.col("_note"), F.lit(")")), receipt_pattern)["receipt_date"]
+    new_receipt = (F.when(F.col("_parts.receipt_date") != "", F.col("_parts.receipt_date"))
+                   .when(F.col("_receipt") != "", F.coalesce(normalize_date(F.col("_receipt")), "_receipt"))
+                   .when(F.col("_note") != "", from_note).otherwise(empty))
+    new_note = F.when(F.col("_parts.note") != "", F.col("_parts.note")).otherwise(F.col("_note"))
     order = []
     for name in df.columns:
         if name == source:
             order += [source] + [x for x in (receipt, note) if x not in df.columns]
         else:
             order.append(name)
-    return df.withColumns({source: parts["date"], receipt: new_receipt, note: new_note}).select(
-        *map(col, order))
+    return staged.withColumns({source: F.col("_parts.date"), receipt: new_receipt,
+                               note: new_note}).select(*map(col, order))
