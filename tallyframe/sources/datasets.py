@@ -17,7 +17,9 @@ HEAD_BYTES = 64 * 1024
 SNIFF_CHARS = 8192
 SMALL_FILE = 64 * 1024 * 1024
 DELIMITERS = ",;\t|"
-DIALECT_DDL = "encoding string, delimiter string, columns array<string>"
+DIALECT = T.StructType([T.StructField("encoding", T.StringType()),
+                       T.StructField("delimiter", T.StringType()),
+                       T.StructField("columns", T.ArrayType(T.StringType()))])
 
 
 def list_datasets(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
@@ -32,7 +34,7 @@ def list_datasets(spark: SparkSession, folder: str, pattern: str = "*.csv") -> D
                         F.col("length").alias("size_bytes"))
 
 
-@F.pandas_udf(DIALECT_DDL)
+@F.pandas_udf(DIALECT)
 def _dialect(head: pd.Series) -> pd.DataFrame:
     """Encoding, delimiter and trimmed header of each file head."""
     def read(raw):
