@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import let
 from tallyframe.functions.values import ABS_TOLERANCE, cells_equal
 
 
@@ -59,27 +60,34 @@ def compare_rows(pred: Column, gold: Column, ordered: Column, *, strict_columns:
     for the same column count and positions. ``order='numeric'`` sorts numbers
     by value. Ragged rows are a mismatch.
     """
-    if row_aligned:
-        found = _rows_match(pred, gold, ordered, tolerance)
-    else:
+    def matched(p: Column, g: Column) -> Column:
+        if row_aligned:
+            return _rows_match(p, g, ordered, tolerance)
+
         def vectors(rows: Column) -> Column:
             cols = column_vectors(rows)
             return F.when(ordered, cols).otherwise(F.transform(cols, lambda v: canonical(v, order)))
-        gold_cols, pred_cols = vectors(gold), vectors(pred)
         if strict_columns:
-            found = (F.size(gold_cols) == F.size(pred_cols)) & F.forall(
-                F.zip_with(gold_cols, pred_cols, lambda g, p: vectors_match(g, p, tolerance)),
+            return (_width(p) == _width(g)) & F.forall(
+                F.zip_with(vectors(g), vectors(p), lambda x, y: vectors_match(x, y, tolerance)),
                 lambda ok: ok)
-        else:
-            found = F.forall(gold_cols, lambda g: F.exists(
-                pred_cols, lambda p: vectors_match(g, p, tolerance)))
-    empty_gold, empty_pred = F.size(gold) == 0, F.size(pred) == 0
-    return (F.when(empty_gold | empty_pred, empty_gold & empty_pred)
-            .when(F.size(gold) != F.size(pred), False)
-            .when(is_ragged(gold) | is_ragged(pred), False)
-            .when(_width(gold) == 0, True)
-            .when(_width(pred) == 0, False)
-            .otherwise(found))
+        return let(vectors(p), lambda pred_cols: F.forall(vectors(g), lambda x: F.exists(
+            pred_cols, lambda y: vectors_match(x, y, tolerance))))
+
+    def compare(p: Column, g: Column) -> Column:
+        empty_gold, empty_pred = F.size(g) == 0, F.size(p) == 0
+        return (F.when(empty_gold | empty_pred, empty_gold & empty_pred)
+                .when(F.size(g) != F.size(p), False)
+                .when(is_ragged(g) | is_ragged(p), False)
+                .when(_width(g) == 0, True)
+                .when(_width(p) == 0, False)
+                .otherwise(matched(p, g)))
+    return F.when(pred.isNotNull() & gold.isNotNull(), _both(pred, gold, compare))
+
+
+def _both(pred: Column, gold: Column, body) -> Column:
+    """``body(pred, gold)`` with each side computed once."""
+    return let(F.struct(pred.alias("p"), gold.alias("g")), lambda s: body(s["p"], s["g"]))
 
 
 def _rows_match(pred: Column, gold: Column, ordered: Column, tolerance: float) -> Column:
@@ -95,9 +103,11 @@ def column_order_mismatch(pred: Column, gold: Column, tolerance: float = ABS_TOL
     def sorted_cells(rows: Column) -> Column:
         return F.transform(rows, lambda r: F.array_sort(r))
     unordered = F.lit(False)
-    as_is = _rows_match(pred, gold, unordered, tolerance)
-    swapped = _rows_match(sorted_cells(pred), sorted_cells(gold), unordered, tolerance)
-    return (F.size(pred) == F.size(gold)) & (F.size(gold) > 0) & ~as_is & swapped
+
+    def swapped(p: Column, g: Column) -> Column:
+        return ((F.size(p) == F.size(g)) & (F.size(g) > 0) & ~_rows_match(p, g, unordered, tolerance)
+                & _rows_match(sorted_cells(p), sorted_cells(g), unordered, tolerance))
+    return _both(pred, gold, swapped)
 
 
 def preview(rows: Column, n: int = 3) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from tallyframe.functions.values import decode_result, result_rows, typed_cell
-from tallyframe.functions.text import col
+from tallyframe.functions.text import col, let
 from tallyframe.operators.compare import compare_rows, is_order_sensitive, preview
 from tallyframe.session import shared_dir
 
@@ -131,13 +131,16 @@ def score_rows(df: DataFrame, error: Column | None = None, **options) -> DataFra
     null and counts as a mismatch.
     """
     error = F.lit(None).cast("string") if error is None else error
-    same = F.coalesce(compare_rows(F.col("predicted"), F.col("gold"),
-                                   is_order_sensitive(F.col("sql")), **options), F.lit(False))
-    reason = (F.when(F.col("predicted").isNull(),
-                     F.concat(F.lit("invalid_result:"), F.left("result", F.lit(80))))
-              .when(error.isNotNull(), F.concat(F.lit("gold_sql_error:"), F.left(error, F.lit(120))))
-              .when(same, "match").otherwise("value_mismatch"))
-    return (df.withColumn("reason", reason)
+    ordered = is_order_sensitive(F.col("sql"))
+
+    def reason(sides: Column) -> Column:
+        same = F.coalesce(compare_rows(sides["p"], sides["g"], ordered, **options), F.lit(False))
+        return (F.when(sides["p"].isNull(),
+                       F.concat(F.lit("invalid_result:"), F.left("result", F.lit(80))))
+                .when(error.isNotNull(), F.concat(F.lit("gold_sql_error:"), F.left(error, F.lit(120))))
+                .when(same, "match").otherwise("value_mismatch"))
+    both = F.struct(F.col("predicted").alias("p"), F.col("gold").alias("g"))
+    return (df.withColumn("reason", let(both, reason))
             .withColumn("status", F.when(F.col("reason") == "match", "correct").otherwise("wrong")))
 
 

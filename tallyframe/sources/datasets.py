@@ -136,7 +136,7 @@ def write_normalized(df: DataFrame, folder: str, order_col: str | None = None) -
 
 def dataset_texts(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """(db_id, text): whole file contents, one row per dataset."""
-    texts = (spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    texts = (spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
              .select(F.col("_metadata.file_name").alias("f"), F.col("value").alias("text")))
     return texts.select(F.regexp_replace("f", r"\.[^.]*$", "").alias("db_id"), "text")
 

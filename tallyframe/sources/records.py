@@ -21,7 +21,7 @@ def read_question_array(spark: SparkSession, path: str) -> DataFrame:
     A document has to be parsed as one, so this suits files of ordinary size;
     question sets beyond that belong in :func:`read_questions`' tables.
     """
-    items = (spark.read.option("wholetext", True).text(path)
+    items = (spark.read.text(path, wholetext=True)
              .select(F.from_json("value", f"array<struct<{_ITEM_DDL}>>").alias("items"))
              .select(F.posexplode("items").alias("index", "q")))
     return _filled(items.select(F.col("index").cast("bigint"), "q.*"))
@@ -76,7 +76,7 @@ def store_answers(answers: DataFrame, root: str, checkpoint: str, model_id: str,
 def read_answer_array(spark: SparkSession, path: str) -> DataFrame:
     """Answers from a stored JSON array; unreadable or absent gives no rows."""
     try:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], ANSWER_DDL)
     items = raw.select(F.explode(F.from_json("value", f"array<struct<{ANSWER_DDL}>>")).alias("a"))
@@ -87,8 +87,8 @@ def read_response_documents(spark: SparkSession, path: str) -> DataFrame:
     """Nested response files; the question index comes from the file name."""
     inner = PARTS_DDL[len("struct<"):-1].replace("\n", " ")
     docs = (spark.read.schema(", ".join(_split_fields(inner))).option("multiLine", True).json(path))
-    return docs.select(F.regexp_extract(F.col("_metadata.file_name"), r"response_q(\d+)", 1)
-                       .cast("bigint").alias("index"), "*")
+    return docs.select(F.regexp_extract(F.col("_metadata.file_path"), r"response_q(\d+)", 1)
+                       .try_cast("bigint").alias("index"), "*")
 
 
 def _split_fields(ddl: str) -> list[str]:
@@ -103,11 +103,15 @@ def _split_fields(ddl: str) -> list[str]:
     return out
 
 
-def line_order() -> Column:
-    """Order of lines over a folder: file age, file, position in the file."""
+def split_order() -> Column:
+    """Order of input splits over a folder: file age, file, place in the file."""
     meta = F.col("_metadata")
-    return F.struct(meta["file_modification_time"], meta["file_path"], meta["file_block_start"],
-                    F.monotonically_increasing_id())
+    return F.struct(meta["file_modification_time"], meta["file_path"], meta["file_block_start"])
+
+
+def with_line_order(lines: DataFrame, split: Column) -> DataFrame:
+    """Add ``_order``: the split's order, then the line's place in it."""
+    return lines.withColumn("_order", F.struct(split, F.monotonically_increasing_id()))
 
 
 def parse_batch_lines(lines: DataFrame, order: str) -> DataFrame:
@@ -130,7 +134,7 @@ def parse_batch_lines(lines: DataFrame, order: str) -> DataFrame:
 
 def read_batch_output(spark: SparkSession, path: str) -> DataFrame:
     """Batch-output JSON lines from files."""
-    return parse_batch_lines(spark.read.text(path).select("value", line_order().alias("_order")), "_order")
+    return parse_batch_lines(with_line_order(spark.read.text(path), split_order()), "_order")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

@@ -10,14 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.operators.flatten import extract_results
 from tallyframe.operators.work import attach_responses, remaining_work
-from tallyframe.sources.records import (line_order, parse_batch_lines, read_answer_parts,
-                                        store_answers)
+from tallyframe.sources.records import (parse_batch_lines, read_answer_parts, split_order,
+                                        store_answers, with_line_order)
 
 
 def batch_output_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """New batch-output files as a stream of ordered lines."""
+    """New batch-output files as a stream of lines with their split's order."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return lines.select("value", line_order().alias("_order"))
+    return lines.select("value", split_order().alias("_split"))
 
 
 def first_per_id(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def merge_micro_batch(lines: DataFrame, epoch: int, questions: DataFrame, root:
     parts = read_answer_parts(spark, root, checkpoint, model_id)
     stored = parts.where((F.col("origin") != origin) | (F.col("epoch") != epoch))
     todo = remaining_work(questions, stored, retry_errors)
-    bodies = parse_batch_lines(lines, "_order")
+    bodies = parse_batch_lines(with_line_order(lines, F.col("_split")), "_order")
     present = todo.join(bodies.select("index"), "index", "left_semi")
     results = extract_results(bodies.withColumn("shape", F.lit(shape)))
     store_answers(attach_responses(present, results), root, checkpoint, model_id, origin, epoch)
