@@ -63,14 +63,20 @@ def normalize_date(c: Column) -> Column:
         ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(69|[7-9]\d)\z", "19$4-$3-$1")
         ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(\d\d)\z", "20$4-$3-$1")
         valid = text.rlike(_DATE) & ~text.rlike(r"[/-]0000\z")
-        return F.when(valid, ymd.try_cast("date").cast("string"))
+        # Already ISO: only the calendar has to agree.
+        return (F.when(text.rlike(r"^(?!0000)\d{4}-\d\d-\d\d\z"), text.try_cast("date").cast("string"))
+                .when(valid, ymd.try_cast("date").cast("string")))
     return let(F.rtrim(strip(c), F.lit(".")), iso)
 
 
-def _bare(c: Column) -> Column:
+def _without_currency_words(c: Column) -> Column:
+    return let(c, lambda text: F.when(
+        text.rlike("[A-Za-z]"), F.regexp_replace(text, _CURRENCY_WORDS, "")).otherwise(text))
+
+
+def _bare(text: Column) -> Column:
     """Currency signs and words, then percent signs, removed."""
-    text = F.regexp_replace(F.translate(strip(c), _CURRENCY_SIGNS, ""), _CURRENCY_WORDS, "")
-    return strip(F.translate(text, "%", ""))
+    return strip(F.translate(_without_currency_words(F.translate(text, _CURRENCY_SIGNS, "")), "%", ""))
 
 
 def normalize_number(c: Column, float_compat: bool = False) -> Column:
@@ -96,7 +102,10 @@ def normalize_number(c: Column, float_compat: bool = False) -> Column:
         digits = F.regexp_replace(digits, r"^(?:\+|(-))?0*(?=\d)", "$1")
         digits = F.regexp_replace(digits, r"(?:(\.\d*[1-9])|\.)0+\z", "$1")
         return F.when(text.rlike(_NUMBER), F.regexp_replace(digits, r"^-0\z", "0"))
-    return let(_bare(c), plain)
+    def cleaned(text: Column) -> Column:
+        already = text.rlike(r"^(?:0|-?[1-9]\d{0,14}|-?(?:0|[1-9]\d{0,14})\.\d{0,9}[1-9])\z")
+        return (F.when(already, text).when(text.rlike(r"\d"), let(_bare(text), plain)))
+    return let(strip(c), cleaned)
 
 
 def looks_numeric(c: Column) -> Column:
@@ -105,7 +114,7 @@ def looks_numeric(c: Column) -> Column:
     Unlike cleaning it drops percent signs before currency words.
     """
     text = F.translate(strip(c), _CURRENCY_SIGNS + "%", "")
-    return strip(F.regexp_replace(text, _CURRENCY_WORDS, "")).rlike(_NUMBER)
+    return strip(_without_currency_words(text)).rlike(_NUMBER)
 
 
 def looks_boolean(c: Column) -> Column:

@@ -65,16 +65,21 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source + removed), "".join(target), wide
 
 
-def _char_class(chars) -> str:
-    """A compact regexp class of code-point ranges."""
-    codes, parts, start = sorted(map(ord, chars)), [], None
-    for i, code in enumerate(codes):
-        if start is None:
-            start = code
-        if i + 1 == len(codes) or codes[i + 1] != code + 1:
-            parts.append(rf"\x{{{start:x}}}-\x{{{code:x}}}")
-            start = None
-    return "[" + "".join(parts) + "]"
+def _char_class(chars, coarse: bool = False) -> str:
+    """A regexp class of code-point ranges.
+
+    ``coarse`` closes the gaps above the Latin blocks: a handful of ranges that
+    is quick to test and can only err towards matching.
+    """
+    codes = sorted(map(ord, chars))
+    ranges = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        latin = code < 0x250 or 0x1E00 <= code <= 0x1F00 or ranges[-1][1] < 0x1F00 < code
+        if code == ranges[-1][1] + 1 or (coarse and not latin):
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 def fold_accents(c: Column, d_stroke: bool = True) -> Column:
@@ -86,13 +91,13 @@ def fold_accents(c: Column, d_stroke: bool = True) -> Column:
     source, target, wide = _fold_tables()
     if d_stroke:
         source, target = "đĐ" + source, "dD" + target
-    wide_class = _char_class(wide)
+    maybe_wide, is_wide = _char_class(wide, coarse=True), _char_class(wide)
 
     def fold(text: Column) -> Column:
         pairs = F.create_map(*[F.lit(x) for kv in wide.items() for x in kv])
         spelled = F.array_join(F.transform(
             F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), "")
-        expanded = F.when(text.rlike(wide_class), spelled).otherwise(text)
+        expanded = F.when(text.rlike(maybe_wide) & text.rlike(is_wide), spelled).otherwise(text)
         return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(expanded, source, target)).otherwise(text)
     return let(c, fold)
 

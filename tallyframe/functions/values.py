@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import let
+
 # Absolute and relative tolerance of numeric comparison.
 ABS_TOLERANCE = 1e-2
 REL_TOLERANCE = 1e-9
@@ -28,8 +30,8 @@ def strict_json(c: Column, single_quotes: bool = False) -> Column:
         doc = F.from_json(wrapped, "variant", {"allowSingleQuotes": "true"})
     else:
         doc = F.try_parse_json(wrapped)
-    return F.when(F.try_variant_get(doc, "$[1]", "string") == _SENTINEL,
-                  F.try_variant_get(doc, "$[0]", "variant"))
+    return let(doc, lambda d: F.when(F.try_variant_get(d, "$[1]", "string") == _SENTINEL,
+                                     F.try_variant_get(d, "$[0]", "variant")))
 
 
 def json_list(c: Column) -> Column:
@@ -38,10 +40,13 @@ def json_list(c: Column) -> Column:
     Bare NaN and Infinity become null, but only in a text that is no valid
     JSON as it stands, so the rewrite cannot touch a string cell.
     """
-    without_nan = F.regexp_replace(c, r"(?<=[\[,:\s])-?(?:NaN|Infinity)(?=\s*[,\]}])", "null")
-    doc = F.coalesce(strict_json(c), F.when(c.rlike("NaN|Infinity"), strict_json(without_nan)))
-    looks = c.startswith("[") & c.endswith("]")
-    return F.when(looks, F.when(F.schema_of_variant(doc).startswith("ARRAY"), doc))
+    def read(text: Column) -> Column:
+        no_nan = F.regexp_replace(text, r"(?<=[\[,:\s])-?(?:NaN|Infinity)(?=\s*[,\]}])", "null")
+        doc = F.coalesce(strict_json(text), F.when(
+            text.contains("NaN") | text.contains("Infinity"), strict_json(no_nan)))
+        # A complete document that opens with a bracket is a list.
+        return F.when(text.startswith("[") & text.endswith("]"), doc)
+    return let(c, read)
 
 
 def number_text(num: Column) -> Column:
@@ -53,18 +58,21 @@ def number_text(num: Column) -> Column:
 
 def variant_cell(v: Column) -> Column:
     """One comparable cell from a VARIANT scalar (or nested value, by its JSON)."""
-    kind = F.schema_of_variant(v)
-    is_null = v.isNull() | F.is_variant_null(v)
-    is_num = kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
-    num = F.when(is_num, F.try_variant_get(v, "$", "double"))
-    text = (F.when(is_null, "")
-            .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-            .when(kind == "DOUBLE", number_text(num))
-            .when(kind == "BOOLEAN", F.initcap(F.to_json(v)))
-            .otherwise(F.to_json(v)))
-    return F.struct(is_null.alias("is_null"), text.alias("text"),
-                    F.coalesce(is_num & ~is_null, F.lit(False)).alias("is_num"),
-                    num.alias("num"))
+    none = F.lit(None).cast("double")
+
+    def made(is_null: bool, text: Column, is_num: bool, num: Column) -> Column:
+        return F.struct(F.lit(is_null).alias("is_null"), text.alias("text"),
+                        F.lit(is_num).alias("is_num"), num.alias("num"))
+
+    def by_kind(kind: Column) -> Column:
+        num = F.try_variant_get(v, "$", "double")
+        return (F.when(kind == "STRING", made(False, F.try_variant_get(v, "$", "string"), False, none))
+                .when((kind == "BIGINT") | kind.startswith("DECIMAL"), made(False, F.to_json(v), True, num))
+                .when((kind == "VOID") | kind.isNull(), made(True, F.lit(""), False, none))
+                .when(kind == "BOOLEAN", made(False, F.initcap(F.to_json(v)), True, num))
+                .when(kind.isin("DOUBLE", "FLOAT"), made(False, number_text(num), True, num))
+                .otherwise(made(False, F.to_json(v), False, none)))
+    return let(F.schema_of_variant(v), by_kind)
 
 
 def typed_cell(c: Column, dtype: str) -> Column:
@@ -92,9 +100,7 @@ def result_rows(v: Column) -> Column:
     """``array<array<cell>>`` of a VARIANT list; a bare item is a one-cell row."""
     items = F.try_variant_get(v, "$", "array<variant>")
     return F.transform(items, lambda item: F.transform(
-        F.when(F.schema_of_variant(item).startswith("ARRAY"),
-               F.try_variant_get(item, "$", "array<variant>")).otherwise(F.array(item)),
-        variant_cell))
+        F.coalesce(F.try_variant_get(item, "$", "array<variant>"), F.array(item)), variant_cell))
 
 
 def decode_result(result: Column) -> Column:

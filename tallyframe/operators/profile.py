@@ -14,6 +14,7 @@ from tallyframe.functions.cells import (DATE_LAYOUTS, ID_NAME_HINTS, date_layout
                                         looks_boolean, looks_date, looks_numeric)
 from tallyframe.functions.text import col, strip
 from tallyframe.operators.ordering import with_row_order
+from tallyframe.session import materialize
 
 MIXED_WINDOW = 5000
 
@@ -88,19 +89,24 @@ def mixed_layout_columns(df: DataFrame, order_col: str, stats: DataFrame,
     """(column) of date columns whose first ``window`` present cells mix layouts.
 
     A layout counts when fewer than ``window`` present cells come before its
-    first appearance, so one counting pass against at most four positions per
-    column answers it; no rows are ranked or collected.
+    first appearance. The candidates (at most one row per column) decide which
+    columns to read; one aggregate over just those counts the cells before each
+    appearance. Nothing is shuffled, ranked or collected but the counts.
     """
-    starts = (stats.where(F.col("date_match_ratio") >= 0.7)
-              .select("column", F.posexplode("layout_first").alias("layout", "start"))
-              .where(F.col("start").isNotNull()))
-    cells = melt(df, order_col).where(~is_missing(F.col("value")))
-    early = (cells.join(F.broadcast(starts), "column").where(F.col("pos") < F.col("start"))
-             .groupBy("column", "layout").agg(F.count(F.lit(1)).alias("before")))
-    return (starts.join(early, ["column", "layout"], "left")
-            .where(F.coalesce("before", F.lit(0)) < window)
-            .groupBy("column").agg(F.count(F.lit(1)).alias("layouts"))
-            .where(F.col("layouts") > 1).select("column"))
+    spark = df.sparkSession
+    seen = F.size(F.filter("layout_first", lambda p: p.isNotNull())) > 1
+    candidates = stats.where((F.col("date_match_ratio") >= 0.7) & seen).select("column", "layout_first")
+    starts = [(r["column"], p) for r in candidates.collect() for p in r["layout_first"] if p is not None]
+    if not starts:
+        return spark.createDataFrame([], "column string")
+    pos = col(order_col).cast("bigint")
+    counts = df.agg(*[F.count_if(~is_missing(col(name).cast("string")) & (pos < start)).alias(f"c{i}")
+                      for i, (name, start) in enumerate(starts)])
+    rows = counts.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("column"), F.col(f"c{i}").alias("before"))
+        for i, (name, _) in enumerate(starts)])).alias("s")).select("s.*")
+    return (rows.where(F.col("before") < window).groupBy("column")
+            .agg(F.count(F.lit(1)).alias("layouts")).where(F.col("layouts") > 1).select("column"))
 
 
 def profile_columns(df: DataFrame, order_col: str | None = None, k: int = 5,
@@ -143,33 +149,44 @@ def _approximate_stats(cells: DataFrame) -> DataFrame:
         _share(F.col("bool_hits"), shown).alias("bool_match_ratio"))
 
 
-def semantic_flags(stats: DataFrame) -> DataFrame:
-    """Boolean group memberships per column (a column may be in several)."""
+SEMANTIC_GROUPS = ("date_columns", "numeric_columns", "boolean_like_columns", "id_like_columns",
+                   "high_missing_columns", "numeric_as_text_columns")
+
+
+def semantic_flags() -> list[Column]:
+    """Boolean group memberships of a column (it may be in several)."""
     num, low = F.col("numeric_match_ratio"), F.lower("column")
-    return stats.select(
-        "column", (F.col("date_match_ratio") >= 0.7).alias("date_columns"),
-        ((num >= 0.85) & (F.col("unique_count") >= 5)).alias("numeric_columns"),
-        (F.col("bool_match_ratio") >= 0.95).alias("boolean_like_columns"),
-        ((F.col("unique_ratio") > 0.95) & low.rlike("|".join(ID_NAME_HINTS))).alias("id_like_columns"),
-        (F.col("missing_ratio") > 0.3).alias("high_missing_columns"),
-        ((num >= 0.6) & (num < 0.85)).alias("numeric_as_text_columns"))
+    tests = (F.col("date_match_ratio") >= 0.7,
+             (num >= 0.85) & (F.col("unique_count") >= 5),
+             F.col("bool_match_ratio") >= 0.95,
+             (F.col("unique_ratio") > 0.95) & low.rlike("|".join(ID_NAME_HINTS)),
+             F.col("missing_ratio") > 0.3,
+             (num >= 0.6) & (num < 0.85))
+    return [test.alias(name) for name, test in zip(SEMANTIC_GROUPS, tests)]
+
+
+def _group_lists() -> list[Column]:
+    return [F.sort_array(F.collect_list(F.when(F.col(g), F.col("column")))).alias(g)
+            for g in SEMANTIC_GROUPS]
 
 
 def semantic_groups(stats: DataFrame) -> DataFrame:
     """One row of sorted column-name lists per semantic group."""
-    flags = semantic_flags(stats)
-    return flags.agg(*[F.sort_array(F.collect_list(F.when(F.col(g), F.col("column")))).alias(g)
-                       for g in flags.columns[1:]])
+    return stats.select("column", *semantic_flags()).agg(*_group_lists())
 
 
 def profile_document(df: DataFrame, db_id: str, order_col: str | None = None,
                      encoding: str = "utf-8", delimiter: str = ",", file_path: str = "",
                      mixed_window: int = MIXED_WINDOW) -> DataFrame:
-    """The nested one-row profile of a dataset."""
+    """The nested one-row profile of a dataset.
+
+    The per-column statistics are computed once and kept as a small table, from
+    which the groups, the mixed-layout candidates and the document are built.
+    """
     if order_col is None:
         df, order_col = with_row_order(df, "_pos"), "_pos"
     names = [c for c in df.columns if c != order_col]
-    stats = profile_columns(df, order_col)
+    stats = materialize(profile_columns(df, order_col), "profile")
     mixed = mixed_layout_columns(df, order_col, stats, mixed_window).agg(
         F.sort_array(F.collect_list("column")).alias("mixed_date_format_columns"))
     entry = F.struct("column", F.struct(
@@ -177,18 +194,17 @@ def profile_document(df: DataFrame, db_id: str, order_col: str | None = None,
         F.coalesce("top_values", F.expr("array()")).alias("top_values"),
         F.coalesce("sample_values", F.expr("array()")).alias("sample_values"),
         "date_match_ratio", "numeric_match_ratio", "bool_match_ratio"))
-    by_column = stats.agg(F.max("row_count").alias("row_count"),
-                          F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("column_stats"))
-    groups = semantic_groups(stats)
-    # Three one-row tables: the cross joins below pair one row with one row.
-    one = by_column.crossJoin(groups).crossJoin(mixed)
-    return one.select(
+    nested = stats.select("*", *semantic_flags()).agg(
+        F.max("row_count").alias("row_count"), *_group_lists(),
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("column_stats"))
+    # Two one-row tables.
+    return nested.crossJoin(mixed).select(
         F.lit(db_id).alias("db_id"), F.lit(file_path).alias("file_path"),
         F.lit(encoding).alias("encoding"), F.lit(delimiter).alias("delimiter"),
         F.coalesce("row_count", F.lit(0)).alias("row_count"),
         F.lit(len(names)).cast("bigint").alias("column_count"),
         F.array(*[F.lit(n) for n in names]).cast("array<string>").alias("columns"),
-        F.struct(*groups.columns).alias("inferred_types"),
+        F.struct(*SEMANTIC_GROUPS).alias("inferred_types"),
         F.struct("mixed_date_format_columns",
                  F.lit(encoding == "utf-8-sig").alias("has_bom"),
                  F.lit(delimiter != ",").alias("non_comma_delimiter")).alias("quality_flags"),

@@ -159,15 +159,15 @@ def checkpoint_roundtrip(spark, sf_dir):
 
 
 @query("response_documents", oracle="""
-SELECT user_id AS "index", 'm-' || user_id AS model_version, n AS prompt_tokens, 'STOP' AS finish_reason
-FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)""")
+SELECT hour(ts) AS "index", 'm-' || hour(ts) AS model_version, count(*) AS prompt_tokens, 'STOP' AS finish_reason
+FROM events GROUP BY hour(ts)""")
 def response_documents(spark, sf_dir):
-    """Nested response files: the index is part of the file name."""
+    """Nested response files, one per hour of day: the index is in the path."""
     root = fresh_dir(spark, "responses")
-    per_user = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    docs = per_user.select(
-        F.concat(F.lit("response_q"), F.col("user_id").cast("string")).alias("name"),
-        F.concat(F.lit("m-"), F.col("user_id").cast("string")).alias("model_version"),
+    per_hour = table(spark, sf_dir, "events").groupBy(F.hour("ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    docs = per_hour.select(
+        F.concat(F.lit("response_q"), F.col("h").cast("string")).alias("name"),
+        F.concat(F.lit("m-"), F.col("h").cast("string")).alias("model_version"),
         F.struct(F.col("n").alias("prompt_token_count")).alias("usage_metadata"),
         F.array(F.struct(F.lit("STOP").alias("finish_reason"))).alias("candidates"))
     docs.write.partitionBy("name").json(root)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators.profile import (column_stats, melt, mixed_layout_columns, profile_columns,
+from tallyframe.operators.profile import (SEMANTIC_GROUPS, column_stats, melt, mixed_layout_columns, profile_columns,
                                           profile_document, ranked_values, semantic_flags,
                                           semantic_groups, value_counts)
 from tallyframe.plans.messy import MELTED, messy_orders
@@ -103,19 +103,17 @@ flags AS (
 
 @query("profile_flags", oracle=f"WITH {MELTED}, {FLAGS} SELECT * FROM flags")
 def profile_flags(spark, sf_dir):
-    return semantic_flags(column_stats(_values(spark, sf_dir)))
+    return column_stats(_values(spark, sf_dir)).select("column", *semantic_flags())
 
 
-_GROUPS = ("date_columns", "numeric_columns", "boolean_like_columns", "id_like_columns",
-           "high_missing_columns", "numeric_as_text_columns")
 
 
 @query("profile_groups", oracle=f"WITH {MELTED}, {FLAGS} SELECT " + ", ".join(
-    f"""coalesce(string_agg("column", ',' ORDER BY "column") FILTER ({g}), '') AS {g}""" for g in _GROUPS)
+    f"""coalesce(string_agg("column", ',' ORDER BY "column") FILTER ({g}), '') AS {g}""" for g in SEMANTIC_GROUPS)
     + " FROM flags")
 def profile_groups(spark, sf_dir):
     groups = semantic_groups(column_stats(_values(spark, sf_dir)))
-    return groups.select(*[F.array_join(g, ",").alias(g) for g in _GROUPS])
+    return groups.select(*[F.array_join(g, ",").alias(g) for g in SEMANTIC_GROUPS])
 
 
 @query("profile_mixed_dates", oracle=f"""

@@ -12,6 +12,7 @@ from tallyframe.plans.messy import MELTED, messy_orders
 from tallyframe.plans.profiling import FLAGS
 from tallyframe.plans.registry import query, table
 from tallyframe.plans.selection import questions
+from tallyframe.session import materialize
 
 RULES = f"""
 {MELTED}, {FLAGS},
@@ -55,7 +56,7 @@ def prompt_table(spark, sf_dir):
         F.col("item_id").alias("index"), F.lit("orders").alias("db_id"), F.col("text").alias("question"),
         F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" item "), F.col("item_id").cast("string"), F.lit("\n")))
         .otherwise(" ").alias("external_knowledge"))
-    profile = _profile(spark, sf_dir)
+    profile = materialize(_profile(spark, sf_dir), "profile")
     contexts = dataset_contexts(profile.select("db_id", "delimiter", "encoding", "columns"), profile)
     return user_prompts(asked, contexts).select("index", "prompt")
 
