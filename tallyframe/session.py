@@ -28,20 +28,23 @@ def build_session(master: str = "local[*]", app: str = "tallyframe",
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    ``spark.checkpoint.dir`` decides; only a session without it (local tests)
-    gets a fresh temporary folder.
+    ``spark.checkpoint.dir`` decides; only a local session without it (tests)
+    gets a temporary folder, one per application.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tallyframe-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        app = spark.sparkContext.applicationId
+        configured = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="tallyframe-")
+        _LOCAL_DIRS[app] = configured
     return configured.rstrip("/")
 
 
