@@ -35,9 +35,10 @@ _CURRENCY_WORDS = r"(?iU)\b(?:VND|USD|EUR|GBP)\b"
 _GROUPED = r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?"
 _NUMBER = rf"^(?:[-+]?\d+(?:[.,]\d+)?|{_GROUPED})\z"
 
+# Trailing dots are part of the accepted text.
 _CLOCK = r"(?:(?:\s+|T)(?:2[0-3]|[01]?\d):[0-5]?\d(?::[0-5]?\d)?)?"
-_YEAR_FIRST = rf"(?!0000)(\d{{4}})(?:-(\d{{1,2}})-(\d{{1,2}}){_CLOCK}|/(\d{{1,2}})/(\d{{1,2}}))\z"
-_DATE = rf"^(?:{_YEAR_FIRST}|\d{{1,2}}([/-])\d{{1,2}}\6(?:\d{{4}}|\d{{2}})\z)"
+_YEAR_FIRST = rf"(?!0000)(\d{{4}})(?:-(\d{{1,2}})-(\d{{1,2}}){_CLOCK}|/(\d{{1,2}})/(\d{{1,2}}))\.*\z"
+_DATE = rf"^(?:{_YEAR_FIRST}|\d{{1,2}}([/-])\d{{1,2}}\6(?:(?!0000)\d{{4}}|\d{{2}})\.*\z)"
 _DAY_MONTH = r"^(\d{1,2})([/-])(\d{1,2})\2"
 
 
@@ -51,22 +52,24 @@ def is_missing(c: Column) -> Column:
     return missing_text(strip(F.coalesce(c, F.lit(""))))
 
 
+def date_of_text(text: Column) -> Column:
+    """:func:`normalize_date` of an already stripped text."""
+    ymd = F.regexp_replace(text, "^" + _YEAR_FIRST, "$1-$2$4-$3$5")
+    ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(\d{4})\.*\z", "$4-$3-$1")
+    ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(69|[7-9]\d)\.*\z", "19$4-$3-$1")
+    ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(\d\d)\.*\z", "20$4-$3-$1")
+    # Already ISO: only the calendar has to agree.
+    return (F.when(text.rlike(r"^(?!0000)\d{4}-\d\d-\d\d\z"), text.try_cast("date").cast("string"))
+            .when(text.rlike(_DATE), ymd.try_cast("date").cast("string")))
+
+
 def normalize_date(c: Column) -> Column:
     """ISO text of a cell written in one of the ten accepted layouts, else null.
 
     Day comes before month; a two-digit year pivots at 69; the time of day is
-    dropped. Cells that are no date leave after one anchored regexp.
+    dropped. Cells that are no date leave after two anchored regexps.
     """
-    def iso(text: Column) -> Column:
-        ymd = F.regexp_replace(text, "^" + _YEAR_FIRST, "$1-$2$4-$3$5")
-        ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(\d{4})\z", "$4-$3-$1")
-        ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(69|[7-9]\d)\z", "19$4-$3-$1")
-        ymd = F.regexp_replace(ymd, _DAY_MONTH + r"(\d\d)\z", "20$4-$3-$1")
-        valid = text.rlike(_DATE) & ~text.rlike(r"[/-]0000\z")
-        # Already ISO: only the calendar has to agree.
-        return (F.when(text.rlike(r"^(?!0000)\d{4}-\d\d-\d\d\z"), text.try_cast("date").cast("string"))
-                .when(valid, ymd.try_cast("date").cast("string")))
-    return let(F.rtrim(strip(c), F.lit(".")), iso)
+    return let(strip(c), date_of_text)
 
 
 def _without_currency_words(c: Column) -> Column:
@@ -79,13 +82,8 @@ def _bare(text: Column) -> Column:
     return strip(F.translate(_without_currency_words(F.translate(text, _CURRENCY_SIGNS, "")), "%", ""))
 
 
-def normalize_number(c: Column, float_compat: bool = False) -> Column:
-    """Plain decimal text of a numeric-looking cell, else null.
-
-    By default digits are kept exactly (no float round trip); more than ten
-    decimals are rounded to ten. ``float_compat`` goes through DOUBLE, losing
-    digits past 2^53 the way a float pipeline does.
-    """
+def number_of_text(text: Column, float_compat: bool = False) -> Column:
+    """:func:`normalize_number` of an already stripped text."""
     def through_double(text: Column) -> Column:
         return let(text.try_cast("double"), lambda num: F.when(
             (num == F.floor(num)) & (F.abs(num) < 9.2e18), num.cast("bigint").cast("string")
@@ -102,10 +100,18 @@ def normalize_number(c: Column, float_compat: bool = False) -> Column:
         digits = F.regexp_replace(digits, r"^(?:\+|(-))?0*(?=\d)", "$1")
         digits = F.regexp_replace(digits, r"(?:(\.\d*[1-9])|\.)0+\z", "$1")
         return F.when(text.rlike(_NUMBER), F.regexp_replace(digits, r"^-0\z", "0"))
-    def cleaned(text: Column) -> Column:
-        already = text.rlike(r"^(?:0|-?[1-9]\d{0,14}|-?(?:0|[1-9]\d{0,14})\.\d{0,9}[1-9])\z")
-        return (F.when(already, text).when(text.rlike(r"\d"), let(_bare(text), plain)))
-    return let(strip(c), cleaned)
+    already = text.rlike(r"^(?:0|-?[1-9]\d{0,14}|-?(?:0|[1-9]\d{0,14})\.\d{0,9}[1-9])\z")
+    return F.when(already, text).when(text.rlike(r"\d"), let(_bare(text), plain))
+
+
+def normalize_number(c: Column, float_compat: bool = False) -> Column:
+    """Plain decimal text of a numeric-looking cell, else null.
+
+    By default digits are kept exactly (no float round trip); more than ten
+    decimals are rounded to ten. ``float_compat`` goes through DOUBLE, losing
+    digits past 2^53 the way a float pipeline does.
+    """
+    return let(strip(c), lambda text: number_of_text(text, float_compat))
 
 
 def looks_numeric(c: Column) -> Column:

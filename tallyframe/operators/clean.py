@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tallyframe.functions.cells import (NUMERIC_NAME_HINTS, RECEIPT_PATTERN, is_missing,
-                                        missing_text, normalize_date, normalize_number,
-                                        split_annotated_date)
+from tallyframe.functions.cells import (NUMERIC_NAME_HINTS, RECEIPT_PATTERN, date_of_text,
+                                        is_missing, missing_text, normalize_date,
+                                        normalize_number, number_of_text, split_annotated_date)
 from tallyframe.functions.text import col, let, strip, unique_slugs
 
 SAMPLE_ROWS = 1000
@@ -63,11 +63,11 @@ def clean_cell(c: Column, numeric: bool = False, float_compat: bool = False) ->
     def kept(text: Column) -> Column:
         if not numeric:
             return made(text, "none")
-        return let(F.coalesce(normalize_number(text, float_compat), text), lambda n: F.when(
+        return let(F.coalesce(number_of_text(text, float_compat), text), lambda n: F.when(
             n == text, made(text, "none")).otherwise(made(n, "number")))
 
     def dated(text: Column) -> Column:
-        return let(normalize_date(text), lambda d: F.when(
+        return let(date_of_text(text), lambda d: F.when(
             d != text, made(d, "date")).otherwise(kept(text)))
     return let(strip(F.coalesce(c, F.lit(""))), lambda text: F.when(
         text == "", made(F.lit(""), "blank")).when(
