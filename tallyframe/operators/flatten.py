@@ -178,7 +178,11 @@ def extract_results(df: DataFrame, body: str = "body", shape: str = "shape", **o
 
 
 def usage_by_model(responses: DataFrame) -> DataFrame:
-    """Token totals and medians per model version over parts-shaped documents."""
+    """Token totals and medians per model version over parts-shaped documents.
+
+    The exact median counts distinct token numbers, of which there are no more
+    than a context window is long.
+    """
     flat = responses.select("model_version", "usage_metadata.*")
     names = ("prompt_token_count", "candidates_token_count", "total_token_count",
              "cached_content_token_count")

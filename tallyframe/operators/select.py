@@ -40,8 +40,7 @@ def select_balanced(questions: DataFrame, catalog: DataFrame, n_db: int,
     """``limit // n_db`` questions from each of the n smallest datasets.
 
     Cut to ``limit`` in dataset order. A quota of zero takes whole datasets
-    before the cut. Datasets of equal size are interleaved by index, as a sort
-    by size alone would leave them, when the first rows of each are counted.
+    before the cut.
     """
     chosen = smallest_datasets(questions, catalog, n_db)
     # n_db rows: the user's dataset count bounds the broadcast.

@@ -125,17 +125,14 @@ def question_roundtrip(spark, sf_dir):
 
 
 @query("question_array", oracle="""
-SELECT item_id AS "index", 'bench' AS db_id, md5(text) AS question_md5, '' AS sql FROM benchmark""")
+SELECT doc_id, generate_subscripts(lines, 1) - 1 AS "index", source AS db_id, md5(unnest(lines)) AS question_md5, '' AS sql
+FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents)""")
 def question_array(spark, sf_dir):
-    """One JSON array per file, indexed by position."""
-    folder = fresh_dir(spark, "array")
-    # The array is one document by format; benchmark is the small table.
-    doc = table(spark, sf_dir, "benchmark").agg(F.to_json(F.transform(
-        F.sort_array(F.collect_list(F.struct("item_id", "text"))),
-        lambda q: F.struct(F.lit("bench").alias("db_id"), q["text"].alias("question")))).alias("value"))
-    records.write_lines(doc, folder)
-    return records.read_question_array(spark, folder).select(
-        "index", "db_id", F.md5("question").alias("question_md5"), "sql")
+    """JSON arrays of questions, one per document: a question per line."""
+    arrays = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.transform(
+        F.split("text", "\n"), lambda x: F.struct(F.col("source").alias("db_id"), x.alias("question")))).alias("value"))
+    return records.question_arrays(arrays).select(
+        "doc_id", "index", "db_id", F.md5("question").alias("question_md5"), "sql")
 
 
 @query("checkpoint_roundtrip", oracle="""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,6 @@ from tallyframe.operators.ordering import with_row_order
 
 HEAD_BYTES = 64 * 1024
 SNIFF_CHARS = 8192
-SMALL_FILE = 64 * 1024 * 1024
 DELIMITERS = ",;\t|"
 DIALECT = T.StructType([T.StructField("encoding", T.StringType()),
                        T.StructField("delimiter", T.StringType()),
@@ -50,40 +51,39 @@ def _dialect(head: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read(h) for h in head], columns=["encoding", "delimiter", "columns"])
 
 
-def detect_dialects(heads: DataFrame) -> DataFrame:
-    """Add dialect columns to rows holding the first bytes of files in ``head``."""
-    return heads.select("*", _dialect("head").alias("_d")).select("*", "_d.*").drop("_d")
+@F.pandas_udf(T.BinaryType())
+def _head(paths: pd.Series) -> pd.Series:
+    """The first bytes of each file, by a ranged read inside the task."""
+    def read(path):
+        if path.startswith("file:"):
+            store, inner = fs.LocalFileSystem(), path[len("file:"):]
+        else:
+            store, inner = fs.FileSystem.from_uri(quote(path, safe=":/%"))
+        with store.open_input_file(inner) as stream:
+            return stream.read(HEAD_BYTES)
+    return pd.Series([read(p) for p in paths], dtype=object)
 
 
-def dataset_catalog(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+def detect_dialects(files: DataFrame) -> DataFrame:
+    """Add encoding, delimiter and columns to rows holding a file ``path``."""
+    heads = files.select("*", _dialect(_head("path")).alias("_d"))
+    return heads.select("*", "_d.*").drop("_d")
+
+
+def dataset_catalog(spark: SparkSession, folder: str, pattern: str = "*.csv",
+                    files_per_task: int = 200) -> DataFrame:
     """One row per CSV file: dialect, columns, size and token estimate.
 
-    Small files are read in one distributed job. Of a large file only the head
-    is fetched (a ranged read of 64 KB), never its content.
+    The listing is spread over tasks and of each file only the head is read,
+    whatever its size.
     """
     files = list_datasets(spark, folder, pattern)
-    small = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-             .where(F.col("length") <= SMALL_FILE)
-             .select("path", F.substring("content", 1, HEAD_BYTES).alias("head")))
-    large = files.where(F.col("size_bytes") > SMALL_FILE)
-    heads = small.unionByName(_large_heads(spark, [r["path"] for r in large.select("path").collect()]))
-    known = files.join(detect_dialects(heads).drop("head"), "path")
+    tasks = max(1, files.count() // files_per_task)
+    known = detect_dialects(files.repartition(tasks, "path"))
     return known.select("db_id", "filename", "delimiter", "encoding", "columns", "size_bytes",
                         F.expr("size_bytes div 4").alias("approx_tokens"), "path")
 
 
-def _large_heads(spark: SparkSession, paths: list[str]) -> DataFrame:
-    rows = []
-    for path in paths:
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        stream = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop_path)
-        try:
-            rows.append((path, bytearray(stream.readNBytes(HEAD_BYTES))))
-        finally:
-            stream.close()
-    return spark.createDataFrame(rows, "path string, head binary")
-
-
 def known_datasets(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Questions whose dataset exists."""
     return questions.join(catalog.select("db_id"), "db_id", "left_semi")

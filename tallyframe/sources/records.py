@@ -15,16 +15,24 @@ ANSWER_DDL = QUESTION_DDL + ", result string, raw_output string"
 _ITEM_DDL = QUESTION_DDL.replace("index bigint, ", "")
 
 
+def question_arrays(texts: DataFrame, value: str = "value") -> DataFrame:
+    """Questions of JSON-array texts, one array per row, other columns kept.
+
+    ``index`` is the position in the array; unreadable texts give no rows.
+    """
+    keep = [c for c in texts.columns if c != value]
+    items = texts.select(*keep, F.posexplode(
+        F.from_json(value, f"array<struct<{_ITEM_DDL}>>")).alias("index", "q"))
+    return _filled(items.select(*keep, F.col("index").cast("bigint"), "q.*"), keep)
+
+
 def read_question_array(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of questions; ``index`` is the position in the array.
+    """A JSON array of questions per file.
 
     A document has to be parsed as one, so this suits files of ordinary size;
     question sets beyond that belong in :func:`read_questions`' tables.
     """
-    items = (spark.read.text(path, wholetext=True)
-             .select(F.from_json("value", f"array<struct<{_ITEM_DDL}>>").alias("items"))
-             .select(F.posexplode("items").alias("index", "q")))
-    return _filled(items.select(F.col("index").cast("bigint"), "q.*"))
+    return question_arrays(spark.read.text(path, wholetext=True))
 
 
 def read_questions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -32,9 +40,9 @@ def read_questions(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return _filled(spark.read.schema(QUESTION_DDL).format(fmt).load(path))
 
 
-def _filled(df: DataFrame) -> DataFrame:
+def _filled(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     optional = [f for f in QUESTION_FIELDS if f not in ("index", "db_id", "question")]
-    return df.withColumns({f: F.coalesce(f, F.lit("")) for f in optional}).select(*QUESTION_FIELDS)
+    return df.withColumns({f: F.coalesce(f, F.lit("")) for f in optional}).select(*keep, *QUESTION_FIELDS)
 
 
 def write_questions(questions: DataFrame, path: str) -> None:

@@ -22,11 +22,12 @@ def test_dialects(spark, tmp_path):
     assert got["c"][1:3] == (",", ["single"]) and len(got) == 3
 
 
-def test_large_file_heads_are_read_alone(spark, tmp_path, monkeypatch):
-    (tmp_path / "big.csv").write_bytes(b"\xef\xbb\xbfa|b\n" + b"1|2\n" * 5000)
-    monkeypatch.setattr(datasets, "SMALL_FILE", 100)
+def test_only_the_head_is_read(spark, tmp_path):
+    path = tmp_path / "odd name é.csv"
+    path.write_bytes(b"\xef\xbb\xbfa|b\n" + b"1|2\n" * 50000)
     row = datasets.dataset_catalog(spark, str(tmp_path)).first()
-    assert (row["encoding"], row["delimiter"], row["columns"]) == ("utf-8-sig", "|", ["a", "b"])
+    assert (row["db_id"], row["encoding"], row["delimiter"], row["columns"], row["size_bytes"]) == (
+        "odd name é", "utf-8-sig", "|", ["a", "b"], path.stat().st_size)
 
 
 def test_read_dataset(spark, tmp_path):
