@@ -52,18 +52,15 @@ def first_within(df: DataFrame, keys: list[str], pos: str, n: int,
                  width: int = BUCKET_WIDTH) -> DataFrame:
     """The first ``n`` rows of every key by ``pos``, whatever ``n`` is.
 
-    Buckets that end inside the quota are kept whole and later ones are
-    dropped before any ranking; only the bucket the quota ends in is ranked.
+    Buckets beyond the quota are dropped before anything is ranked, so the
+    rows sorted are those returned plus at most one bucket per key.
     """
-    offsets = bucket_offsets(df, keys, pos, F.count(F.lit(1)), width).where(F.col("_offset") < n)
-    rows = df.withColumn("_bucket", _bucket(pos, width)).join(offsets, [*keys, "_bucket"])
-    left = F.lit(n) - F.col("_offset")
-    inside = rows.where(F.col("_total") <= left)
+    offsets = bucket_offsets(df, keys, pos, F.count(F.lit(1)), width).where(
+        F.col("_offset") < n).drop("_total")
     local = Window.partitionBy(*keys, "_bucket").orderBy(pos)
-    cut = (rows.where(F.col("_total") > left)
-           .withColumn("_rn", F.row_number().over(local))
-           .where(F.col("_rn") <= left).drop("_rn"))
-    return inside.unionByName(cut).drop("_bucket", "_total", "_offset")
+    return (df.withColumn("_bucket", _bucket(pos, width)).join(offsets, [*keys, "_bucket"])
+            .withColumn("_rn", F.col("_offset") + F.row_number().over(local))
+            .where(F.col("_rn") <= n).drop("_bucket", "_offset", "_rn"))
 
 
 def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, name: str,

@@ -72,7 +72,10 @@ def ranked_values(values: DataFrame, k: int, by_count: bool) -> DataFrame:
     column), so a column of all-distinct values does not pile up in one task.
     """
     order = [F.desc("n"), "first_pos"] if by_count else ["first_pos", F.desc("n")]
-    present = values.where(~is_missing(F.col("value")))
+    # Tied to the count so that it stays above the aggregation: statistics, top
+    # values and samples then share one shuffled (column, value) table.
+    shown = F.when(is_missing(F.col("value")), F.lit(0)).otherwise(F.col("n"))
+    present = values.where(shown > 0)
     return present.withColumn("rank", F.row_number().over(
         Window.partitionBy("column").orderBy(*order))).where(F.col("rank") <= k)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,5 +101,16 @@ def resume_merge(answers: DataFrame, questions: DataFrame, responses: DataFrame,
     return kept.unionByName(attach_responses(present, responses))
 
 
+def process_batches(questions: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame],
+                    schema: str = "index bigint, body string") -> DataFrame:
+    """Responses from a caller's own batch function, batch by batch in the tasks.
+
+    ``answer`` takes a frame of questions and returns a frame of ``schema``;
+    questions it leaves out count as missing. Arrow batch size sets how many it
+    sees at once.
+    """
+    return questions.mapInPandas(lambda frames: map(answer, frames), schema)
+
+
 def error_total(answers: DataFrame) -> DataFrame:
     return answers.agg(F.count(F.lit(1)).alias("answers"), F.count_if(is_error()).alias("errors"))

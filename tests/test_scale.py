@@ -95,3 +95,10 @@ def test_no_query_multiplies_rows(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(entry.queries()["wk_filter"](spark, SF_DIR))
     assert "GreaterThanOrEqual(p_size,20)" in plan and "p_retailprice" not in plan
+
+
+def test_profile_counts_values_once(hot):
+    df = profile_columns(hot[1], "index")
+    df.collect()
+    final = plan_of(df)
+    assert "ReusedExchange" in final[:final.find("Initial Plan")]

@@ -134,3 +134,16 @@ def test_requests_file(spark, tmp_path):
     lines = spark.createDataFrame([(json.dumps({"a": "é"}, ensure_ascii=False),)], "value string")
     records.write_lines(lines, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()["value"] == '{"a": "é"}'
+
+
+def test_own_batch_function(spark):
+    """A caller's function answers even questions; the rest become error rows."""
+    from tallyframe.operators.work import attach_responses, process_batches
+    asked = _questions(spark, 6)
+
+    def answer(frame):
+        even = frame[frame["index"] % 2 == 0]
+        return even[["index"]].assign(result="[[1]]", raw_output="x")
+    got = process_batches(asked, answer, "index bigint, result string, raw_output string")
+    rows = attach_responses(asked, got).orderBy("index").collect()
+    assert [r["result"] for r in rows] == ["[[1]]", "ERROR:no_response"] * 3
