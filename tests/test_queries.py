@@ -8,7 +8,8 @@ import __spark_entry__ as entry
 from check_queries import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: fn for name, fn in entry.queries().items() if name not in entry.LLM_QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
