@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, quality_rules, url_filters
+from tallyframe.llm import chat, decontaminate, quality_rules, url_filters, warc
 from tallyframe.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -21,6 +21,35 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+#: Fixed value: the conversation that the contract adds.
+ADDED_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+@query("op2_chat_formatting", oracle=r"""
+    WITH rows AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+                  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+    marked AS (SELECT *, role = 'assistant' AS trained,
+                 16 + length(role) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) AS chars FROM rows)
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      sum(CASE WHEN trained THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+      sha256(string_agg(CASE WHEN trained THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+      sum(chars)::BIGINT AS formatted_chars
+    FROM marked GROUP BY conv_id
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(ADDED_CONVERSATION, rows.schema))
+    back = chat.read_turns(chat.format_turns(chat.canonical_turns(rows)))
+    nl = F.lit("\n")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], nl, t["text"], nl)), ""), 256).alias("turns_sha256"),
+        F.length(F.array_join("trained", "")).cast("long").alias("loss_chars"),
+        F.sha2(F.array_join("trained", ""), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +81,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, URL_RULES)[["page_id", "host", "path", "rule", "verdict"]]
 
 
+@query("op9_warc", oracle="""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    m AS (SELECT html, max(page_id) AS last FROM p GROUP BY html)
+    SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes,
+      array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)
+        for i in range(32)], '') AS payload_digest,
+      CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+    FROM p JOIN m ON p.html = m.html
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_benchmark_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
