@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, quality_rules, url_filters, warc
+from tallyframe.llm import bpe, chat, decontaminate, quality_rules, url_filters, warc
 from tallyframe.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -21,6 +21,19 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizer file of the contract lies."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 #: Fixed value: the conversation that the contract adds.
 ADDED_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
