@@ -43,6 +43,10 @@ RULES: dict[str, tuple[str, str]] = {
 }
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words")
+ADDED = (*COUNTS, "base_failed", "posterior", "kept")
+
+
 @dataclass(frozen=True)
 class VoteModel:
     """Share of good documents and, by rule, how often each class gets each vote.
@@ -149,19 +153,19 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> Vote
     return model
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds the counts, ``base_failed``, ``posterior`` and ``kept`` to each document.
 
     The counted table is written once to the shared folder, so the texts are
-    read and split a single time; input columns that clash with an added name
-    are replaced.
+    read and split a single time; it holds the columns ``carry`` (all of the
+    input's unless given). Input columns that clash with an added name are
+    replaced.
     """
-    added = {"n_symbols", "n_capitals", "n_marks", "n_words", "word_chars", "n_lines", "n_dup_lines",
-             "n_repeat_words", "base_failed", "posterior", "kept"}
-    clean = docs.select(*[F.col(f"`{c}`") for c in docs.columns
-                          if c == text_col or (c not in added and c not in ("_words", "_lines", "_hashes", "_grams"))])
-    counted = materialize(text_counts(clean, text_col), "quality-counts")
-    return judge(counted)
+    working = ("_words", "_lines", "_hashes", "_grams")
+    kept = [c for c in docs.columns if c == text_col or c not in (*ADDED, *working)]
+    counted = text_counts(docs.select(*[F.col(f"`{c}`") for c in kept]), text_col)
+    carried = [c for c in kept if carry is None or c in carry]
+    return judge(materialize(counted.select(*[F.col(f"`{c}`") for c in (*carried, *COUNTS)]), "quality-counts"))
 
 
 def judge(counted: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, chat, decontaminate, quality_rules, url_filters, warc
+from tallyframe.llm import bpe, chat, decontaminate, near_dup, quality_rules, url_filters, warc
 from tallyframe.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -65,8 +65,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = quality_rules.quality_rules(docs.select("doc_id", "text"))
+    counted = quality_rules.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           "base_failed", "kept", "posterior")
 
@@ -94,6 +93,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, URL_RULES)[["page_id", "host", "path", "rule", "verdict"]]
 
 
+@query("op8_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op9_warc", oracle="""
     WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
     m AS (SELECT html, max(page_id) AS last FROM p GROUP BY html)
