@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, chat, decontaminate, near_dup, quality_rules, url_filters, warc
+from tallyframe.llm import bpe, byte_cnn, chat, decontaminate, near_dup, quality_rules, url_filters, warc
 from tallyframe.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -93,6 +93,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, URL_RULES)[["page_id", "host", "path", "rule", "verdict"]]
 
 
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = byte_cnn.score(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", byte_cnn.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op8_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
