@@ -12,24 +12,25 @@ The coded table is written to the shared folder before it is used twice.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tallyframe.llm.words import hash_strings, slices, words_of
 from tallyframe.session import materialize
 
 BLOCK_BYTES = 16 << 20
 BUCKETS = 512
-CODED = "block string, bucket int, n_words long, data binary, ids array<long>, counts array<long>"
+#: One row per block (bucket -1; data: codes, more: what ``describe`` says of each
+#: word) and one per block and bucket (data: words, more: how often each counts).
+CODED = "block string, bucket int, data binary, more binary, ids array<long>, counts array<long>"
 _CODED_NAMES = [f.split()[0] for f in CODED.split(", ")]
-_CODED_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_CODED_TYPES = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -53,14 +54,9 @@ def unpack_words(data: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
 
 
-def _code(lower: bool, count_in: Callable[[np.ndarray], np.ndarray] | None):
-    """The mapInArrow function that makes blocks of (doc_id, text).
-
-    ``count_in`` says, by id, which documents count towards the word counts that
-    go with the words.
-    """
+def _code(lower: bool, count_in: Callable | None, describe: Callable | None):
+    """The mapInArrow function that makes blocks of (doc_id, text)."""
     def code(batches) -> Iterator[pa.RecordBatch]:
-        import uuid
         for part in slices(batches, "text", BLOCK_BYTES):
             words = words_of(part.column("text"), lower)
             bucket = (hash_strings(words.vocabulary) % np.uint64(BUCKETS)).astype(np.int64)
@@ -69,33 +65,40 @@ def _code(lower: bool, count_in: Callable[[np.ndarray], np.ndarray] | None):
             place[order] = np.arange(len(order))
             codes = place[words.codes]
             vocabulary = words.vocabulary.take(pa.array(order))
-            ids = part.column("doc_id")
-            block = uuid.uuid4().hex
-            rows = [(block, -1, len(order), pack(codes), ids.to_pylist(), words.counts.tolist())]
+            ids, block = part.column("doc_id"), uuid.uuid4().hex
+            rows = [(block, -1, pack(codes), pack(describe(vocabulary)) if describe else None, ids.to_pylist(), words.counts.tolist())]
             if count_in is not None:
-                counted = np.repeat(count_in(ids), words.counts)
-                tally = np.bincount(codes[counted], minlength=len(order))
+                tally = np.bincount(codes[np.repeat(count_in(ids), words.counts)], minlength=len(order))
             edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 a, z = int(edges[b]), int(edges[b + 1])
-                tallies = tally[a:z].tolist() if count_in is not None else None
-                rows.append((block, b, z - a, pack_words(vocabulary.slice(a, z - a)), None, tallies))
+                rows.append((block, b, pack_words(vocabulary.slice(a, z - a)), pack(tally[a:z]) if count_in else None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CODED_TYPES)], _CODED_NAMES)
     return code
 
 
-def code_blocks(docs: DataFrame, id_col: str, text_col: str, lower: bool = False, count_in=None) -> tuple[DataFrame, DataFrame]:
-    """(documents by block, words by block and bucket); both read the written table."""
+def code_blocks(docs: DataFrame, id_col: str, text_col: str, lower: bool = False, count_in: Callable | None = None,
+                describe: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents by block, words by block and bucket); both read the written table.
+
+    ``count_in(ids)`` marks the documents whose words are counted, and
+    ``describe(words)`` gives a whole number for each word.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    coded = materialize(rows.mapInArrow(_code(lower, count_in), CODED), "coded-blocks")
-    return coded.where("bucket < 0").drop("bucket"), coded.where("bucket >= 0").drop("ids")
+    coded = materialize(rows.mapInArrow(_code(lower, count_in, describe), CODED), "coded-blocks")
+    return coded.where("bucket < 0").drop("bucket"), coded.where("bucket >= 0").select("block", "bucket", "data", "more")
+
+
+def by_bucket(words: DataFrame, run: Callable, schema: str, *order: str) -> DataFrame:
+    """mapInArrow over the words, all rows of a bucket in one task and next to each other."""
+    return words.repartition("bucket").sortWithinPartitions("bucket", *order).mapInArrow(run, schema)
 
 
-def answer_words(words: DataFrame, make_answer: Callable[[], Callable], extra: str = "") -> DataFrame:
-    """(block, bucket, data): what ``make_answer()`` says about each row of words.
+def answer_words(words: DataFrame, make_answer: Callable[[], Callable], *order: str) -> DataFrame:
+    """(block, bucket, data): what is known about the words of each row.
 
-    Rows of a bucket meet in one task, ordered by bucket; the function made for a
-    bucket is given (words, row) one block at a time.
+    ``make_answer()`` is called for every bucket; its result is given one row at a
+    time and returns the data, or None for a row that has no answer.
     """
     def run(batches) -> Iterator[pa.RecordBatch]:
         last, answer = None, None
@@ -104,29 +107,24 @@ def answer_words(words: DataFrame, make_answer: Callable[[], Callable], extra: s
             for row in batch.to_pylist():
                 if row["bucket"] != last:
                     last, answer = row["bucket"], make_answer()
-                data = answer(unpack_words(row["data"]) if row["data"] else [], row)
+                data = answer(row)
                 if data is not None:
                     out.append((row["block"], row["bucket"], data))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.binary()))],
                                                  ["block", "bucket", "data"])
-    order = ["bucket", *([extra] if extra else [])]
-    return words.repartition("bucket").sortWithinPartitions(*order).mapInArrow(run, "block string, bucket int, data binary")
+    return by_bucket(words, run, "block string, bucket int, data binary", *order)
 
 
-def finish_blocks(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str | StructType) -> DataFrame:
+def finish_blocks(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """Brings every block's documents and answers together.
 
-    ``finish(ids, counts, codes, answers)`` returns an Arrow table; answers come in
-    the order of the codes.
+    ``finish(row, answers)`` returns an Arrow table; answers come in the order of
+    the codes.
     """
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         packed = right.sort_by("bucket").column("data").to_pylist()
-        parts = []
-        for row in left.to_pylist():
-            ids = pa.array(row["ids"], pa.int64())
-            parts.append(finish(ids, np.array(row["counts"], np.int64), unpack(row["data"]).astype(np.int64), packed))
-        return pa.concat_tables(parts)
+        return pa.concat_tables([finish(row, packed) for row in left.to_pylist()])
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 

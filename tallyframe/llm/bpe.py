@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tallyframe.llm.blocks import answer_words, code_blocks, finish_blocks, pack, ragged, unpack
+from tallyframe.llm.blocks import answer_words, code_blocks, finish_blocks, pack, ragged, unpack, unpack_words
 
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, n_tokens long, ids_sha256 string, text string"
@@ -46,7 +46,8 @@ def _word_encoder(path: str):
     def make():
         tokenizer, known = load_tokenizer(path), {}
 
-        def answer(words: list[bytes], row: dict) -> bytes:
+        def answer(row: dict) -> bytes:
+            words = unpack_words(row["data"])
             new = [w for w in words if w not in known]
             for word, found in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
                 known[word] = np.array(found.ids, np.uint32)
@@ -57,8 +58,9 @@ def _word_encoder(path: str):
     return make
 
 
-def _join_ids(doc_ids: pa.Array, counts: np.ndarray, codes: np.ndarray, answers: list[bytes]) -> pa.Table:
+def _join_ids(row: dict, answers: list[bytes]) -> pa.Table:
     """ids of each document: those of its words, by position."""
+    codes, counts = unpack(row["data"]), np.array(row["counts"], np.int64)
     lengths, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for data in answers:
         cut = 8 + int.from_bytes(data[:8], "little")
@@ -67,13 +69,13 @@ def _join_ids(doc_ids: pa.Array, counts: np.ndarray, codes: np.ndarray, answers:
     ids, n = ragged(np.concatenate(values), np.concatenate(lengths), codes)
     word_ends, id_ends = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(n)])
     lists = pa.ListArray.from_arrays(pa.array(id_ends[word_ends], pa.int32()), pa.array(ids, pa.int32()))
-    return pa.table([doc_ids, lists], ["doc_id", "ids"])
+    return pa.table([pa.array(row["ids"], pa.int64()), lists], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every whole text, without special tokens added."""
     blocks, words = code_blocks(docs, id_col, text_col)
-    answers = answer_words(words.drop("counts"), _word_encoder(tokenizer_path))
+    answers = answer_words(words, _word_encoder(tokenizer_path))
     return finish_blocks(blocks, answers, _join_ids, ENCODED)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, byte_cnn, chat, decontaminate, near_dup, quality_rules, url_filters, warc
+from tallyframe.llm import bpe, byte_cnn, chat, decontaminate, hmm, near_dup, quality_rules, url_filters, warc
 from tallyframe.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "base_failed", "kept", "posterior")
 
 
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the contract.
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/"))
