@@ -88,8 +88,8 @@ def vocabulary_pieces(tokenizer_path: str) -> pa.Array:
     return pa.array(pieces, pa.string())
 
 
-def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, text) of (doc_id, ids), special tokens kept.
+def decode(encoded: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, text) of (doc_id, ids), special tokens kept; also ids if wanted.
 
     ``ids_sha256`` is the digest of the ids read, as little-endian 32-bit numbers.
     A tokenizer file without a decoder joins pieces by a space; others are asked.
@@ -112,7 +112,9 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
                 raw = np.asarray(ids.flatten(), np.uint32)
                 ends = np.concatenate([[0], np.cumsum(sizes[a:z])])
                 digests = [hashlib.sha256(raw[x:y].tobytes()).hexdigest() for x, y in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes[a:z], pa.int64()),
-                                                  pa.array(digests, pa.string()), texts],
-                                                 ["doc_id", "n_tokens", "ids_sha256", "text"])
-    return encoded.mapInArrow(run, DECODED)
+                columns = [part.column("doc_id"), pa.array(sizes[a:z], pa.int64()), pa.array(digests, pa.string()), texts]
+                names = ["doc_id", "n_tokens", "ids_sha256", "text"]
+                if keep_ids:
+                    columns, names = [*columns, ids], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+    return encoded.mapInArrow(run, f"{DECODED}, ids array<int>" if keep_ids else DECODED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, byte_cnn, chat, decontaminate, hmm, near_dup, quality_rules, url_filters, warc
+from tallyframe.llm import bpe, byte_cnn, chat, decontaminate, hmm, near_dup, quality_rules, suffix_dedup, url_filters, warc
 from tallyframe.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -63,6 +63,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op4_suffix_array_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = quality_rules.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
