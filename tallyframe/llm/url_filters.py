@@ -142,6 +142,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url",
     distinct = parsed.where(F.col("host") != "").select("host", "path").distinct()
     best = (sweep(_keys(distinct), pieces).where(F.col("piece.rule").isNotNull())
             .groupBy("host", "path").agg(F.max_by("piece", F.struct("piece.width", "piece.rule")).alias("piece")))
-    return (parsed.join(best, ["host", "path"], "left")
-            .select(*[F.col(f"`{c}`") for c in parsed.columns], F.col("piece.rule").alias("rule"),
-                    F.coalesce("piece.verdict", F.lit(default)).alias("verdict")))
+    same = (parsed["host"] == best["host"]) & (parsed["path"] == best["path"])
+    return parsed.join(best, same, "left").select(
+        *[parsed[f"`{c}`"] for c in parsed.columns], best["piece"]["rule"].alias("rule"),
+        F.coalesce(best["piece"]["verdict"], F.lit(default)).alias("verdict"))

@@ -1,8 +1,8 @@
 """WARC archives compressed record by record with one Zstandard dictionary.
 
-The dictionary is built from a bounded sample of the records (``SAMPLE_RECORDS``
-of them, by smallest hash of the id, ``SAMPLE_BYTES`` of each); it only helps
-compression. Every archive begins with a skippable frame that holds it, and every
+The dictionary is built from a bounded sample of the records (about
+``SAMPLE_RECORDS`` of them, chosen by the hash of the id, and never more than twice
+as many; ``SAMPLE_BYTES`` of each); it only helps compression. Every archive begins with a skippable frame that holds it, and every
 record is a frame of its own. Archives are written by Spark's own file writer: a
 line is a frame and the line separator is an empty skippable frame, which every
 Zstandard reader passes over. So archives reach any file system that Spark
@@ -109,6 +109,12 @@ def frames(archive: bytes) -> Iterator[bytes]:
         at = end
 
 
+def _rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    return pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"),
+                        F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"),
+                        F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"))
+
+
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                   min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is set for revisits.
@@ -116,22 +122,24 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Payloads are compared by SHA-256; the largest id of each is a partial
     aggregate, so a payload that a third of all pages share does not gather.
     """
-    payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"),
-                        F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("_same", F.sha2("payload", 256))
+    rows = _rows(pages, id_col, url_col, payload_col).withColumn("_same", F.sha2("payload", 256))
     last = (rows.select("page_id", "_same").groupBy("_same")
             .agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     revisit = (F.octet_length("payload") >= min_bytes) & F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return rows.join(last, "_same", "left").select("page_id", "url", "payload", F.when(revisit, F.col("_last")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Writes (page_id, url, payload, refers_to) rows as archives under ``path``, one per task."""
-    sample = (records.select(F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), "page_id", "url")
-              .orderBy(F.xxhash64("page_id")).limit(SAMPLE_RECORDS).collect())
-    dictionary = train_dictionary([record_bytes(r.page_id, r.url, "response", bytes(r.payload), None) for r in sample])
+def sample_dictionary(pages: DataFrame) -> bytes:
+    """A dictionary for (page_id, url, payload) rows."""
+    share = min(1.0, SAMPLE_RECORDS / max(1, pages.count()))
+    chosen = F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30)), F.lit(False))
+    rows = (pages.where(chosen | F.lit(share == 1.0)).select(F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), "page_id", "url")
+            .limit(2 * SAMPLE_RECORDS).collect())
+    return train_dictionary([record_bytes(r.page_id, r.url, "response", bytes(r.payload), None) for r in rows])
 
+
+def write_archives(records: DataFrame, path: str, dictionary: bytes) -> None:
+    """Writes (page_id, url, payload, refers_to) rows as archives under ``path``, one per task."""
     def compress(batches) -> Iterator[pa.RecordBatch]:
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         lead = [struct.pack("<II", _DICTIONARY, len(dictionary)) + dictionary]
@@ -165,5 +173,5 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, path: str | None = None)
     """Writes every page as a record and returns what the archives hold."""
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(mark_revisits(pages, min_bytes=min_bytes), path)
+    write_archives(mark_revisits(pages, min_bytes=min_bytes), path, sample_dictionary(_rows(pages)))
     return read_archives(spark, path)
