@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(stars)
     sized = groups.join(groups.groupBy("label").agg(F.count("*").alias("size")), "label").select(
         F.col("node").alias("doc_id"), F.col("label").alias("grp"), "size")
-    members = texts.join(sized, "doc_id")
+    members = texts.join(sized.hint("merge"), "doc_id")  # the same plan at every size
     shingled = members.mapInArrow(_shingle_rows, "doc_id long, grp long, size long, hashes binary, registers binary")
     blocks = F.ceil(F.col("size") / block).cast("int")
     side = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
