@@ -1,22 +1,22 @@
 """Texts as blocks of dictionary-coded words, and a distinct-word table over all blocks.
 
 A block is a run of documents with about ``BLOCK_BYTES`` of text: the words of
-each document as codes, and every distinct word of the block once. Words go to
-one of ``BUCKETS`` buckets by hash; a block numbers its words bucket by bucket, so
-what a bucket says about its words lines up with the codes. Each word leaves a
+each document as codes, frequent words first, and every distinct word of the
+block once. Words go to one of ``BUCKETS`` buckets by hash. Each word leaves a
 block once however often it occurs, so no word gathers more rows than there are
 blocks, and words travel packed and compressed.
 
-The coded table is written to the shared folder before it is used twice.
+A block is named by a hash of its content, so that making it again, after a lost
+executor or for a second use, gives the same name.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,23 +26,32 @@ from tallyframe.session import materialize
 
 BLOCK_BYTES = 16 << 20
 BUCKETS = 512
-#: One row per block (bucket -1; data: codes, more: what ``describe`` says of each
-#: word) and one per block and bucket (data: words, more: how often each counts).
-CODED = "block string, bucket int, data binary, more binary, ids array<long>, counts array<long>"
+#: One row per block (bucket -1; data: codes, places: the bucket of each word, more:
+#: what ``describe`` says of each word) and one per block and bucket (data: words in
+#: the order of their codes, more: how often each counts).
+CODED = "block long, bucket int, data binary, places binary, more binary, ids array<long>, counts array<long>"
 _CODED_NAMES = [f.split()[0] for f in CODED.split(", ")]
-_CODED_TYPES = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_CODED_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers in the narrowest type that holds them, compressed."""
+    """Whole numbers, byte by byte of their significance, compressed."""
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
     top = int(values.max()) if len(values) else 0
-    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
+    planes = [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw[:, k]).tobytes())
+              for k in range((top.bit_length() + 7) // 8)]
+    head = [len(values), *map(len, planes)]
+    return np.array([len(head), *head], "<u8").tobytes() + b"".join(planes)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(memoryview(data)[1:])
-    return np.frombuffer(raw, f"<u{data[0]}")
+    n = int.from_bytes(data[:8], "little")
+    size, *planes = np.frombuffer(data, "<u8", n, 8).tolist()
+    raw, at = np.zeros((size, 8), np.uint8), 8 * (n + 1)
+    for k, length in enumerate(planes):
+        raw[:, k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[at:at + length]), np.uint8)
+        at += length
+    return raw.reshape(-1).view("<u8").astype(np.int64 if len(planes) < 8 else np.uint64)
 
 
 def pack_words(words: pa.Array) -> bytes:
@@ -54,39 +63,54 @@ def unpack_words(data: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
 
 
-def _code(lower: bool, count_in: Callable | None, describe: Callable | None):
+def _code(lower: bool, count_in: Callable | None, describe: Callable | None, documents: bool, vocabulary: bool):
     """The mapInArrow function that makes blocks of (doc_id, text)."""
     def code(batches) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", BLOCK_BYTES):
             words = words_of(part.column("text"), lower)
-            bucket = (hash_strings(words.vocabulary) % np.uint64(BUCKETS)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            codes = place[words.codes]
-            vocabulary = words.vocabulary.take(pa.array(order))
-            ids, block = part.column("doc_id"), uuid.uuid4().hex
-            rows = [(block, -1, pack(codes), pack(describe(vocabulary)) if describe else None, ids.to_pylist(), words.counts.tolist())]
-            if count_in is not None:
-                tally = np.bincount(codes[np.repeat(count_in(ids), words.counts)], minlength=len(order))
-            edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                a, z = int(edges[b]), int(edges[b + 1])
-                rows.append((block, b, pack_words(vocabulary.slice(a, z - a)), pack(tally[a:z]) if count_in else None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CODED_TYPES)], _CODED_NAMES)
+            order = np.argsort(-np.bincount(words.codes, minlength=len(words.vocabulary)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            codes, texts = rank[words.codes], words.vocabulary.take(pa.array(order))
+            hashes, ids, counts = hash_strings(texts), part.column("doc_id").to_pylist(), words.counts
+            name = xxhash.xxh3_64(codes.tobytes() + hashes.tobytes() + counts.tobytes() + repr(ids).encode())
+            block, bucket = name.intdigest() >> 1, (hashes % np.uint64(BUCKETS)).astype(np.int64)
+            rows = []
+            if documents:
+                more = pack(describe(texts)) if describe else None
+                rows.append((block, -1, pack(codes), pack(bucket), more, ids, counts.tolist()))
+            if vocabulary:
+                if count_in is not None:
+                    tally = np.bincount(codes[np.repeat(count_in(part.column("doc_id")), counts)], minlength=len(order))
+                by = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+                for b in np.flatnonzero(np.diff(edges)).tolist():
+                    own = by[edges[b]:edges[b + 1]]
+                    rows.append((block, b, pack_words(texts.take(pa.array(own))), None, pack(tally[own]) if count_in else None, None, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _CODED_TYPES)], _CODED_NAMES)
     return code
 
 
 def code_blocks(docs: DataFrame, id_col: str, text_col: str, lower: bool = False, count_in: Callable | None = None,
-                describe: Callable | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents by block, words by block and bucket); both read the written table.
+                describe: Callable | None = None, write: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents by block, words by block and bucket).
 
     ``count_in(ids)`` marks the documents whose words are counted, and
-    ``describe(words)`` gives a whole number for each word.
+    ``describe(words)`` gives a whole number for each word. With ``write`` both read
+    a table in the shared folder, which pays when they are used several times;
+    otherwise each codes the texts for itself, and ``docs`` must then give the same
+    rows in the same order each time, as a scan of files does. Blocks that do not
+    fit together are noticed.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    coded = materialize(rows.mapInArrow(_code(lower, count_in, describe), CODED), "coded-blocks")
-    return coded.where("bucket < 0").drop("bucket"), coded.where("bucket >= 0").select("block", "bucket", "data", "more")
+    if write:
+        coded = materialize(rows.mapInArrow(_code(lower, count_in, describe, True, True), CODED), "coded-blocks")
+        blocks, words = coded.where("bucket < 0"), coded.where("bucket >= 0")
+    else:
+        blocks = rows.mapInArrow(_code(lower, None, describe, True, False), CODED)
+        words = rows.mapInArrow(_code(lower, count_in, None, False, True), CODED)
+    return blocks.drop("bucket"), words.select("block", "bucket", "data", "more")
 
 
 def by_bucket(words: DataFrame, run: Callable, schema: str, *order: str) -> DataFrame:
@@ -111,20 +135,28 @@ def answer_words(words: DataFrame, make_answer: Callable[[], Callable], *order:
                 if data is not None:
                     out.append((row["block"], row["bucket"], data))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.binary()))],
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))],
                                                  ["block", "bucket", "data"])
-    return by_bucket(words, run, "block string, bucket int, data binary", *order)
+    return by_bucket(words, run, "block long, bucket int, data binary", *order)
 
 
 def finish_blocks(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """Brings every block's documents and answers together.
 
-    ``finish(row, answers)`` returns an Arrow table; answers come in the order of
-    the codes.
+    ``finish(row, codes, answers)`` returns an Arrow table. Laid end to end, the
+    answers follow the words in the order that ``codes`` number them.
     """
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        packed = right.sort_by("bucket").column("data").to_pylist()
-        return pa.concat_tables([finish(row, packed) for row in left.to_pylist()])
+        told = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()))
+        tables = []
+        for row in left.to_pylist():
+            places = unpack(row["places"])
+            if set(np.unique(places).tolist()) != told.keys():
+                raise ValueError("the documents changed between two readings")
+            spot = np.empty(len(places), np.int64)
+            spot[np.argsort(places, kind="stable")] = np.arange(len(places))
+            tables.append(finish(row, spot[unpack(row["data"])], [told[b] for b in sorted(told)]))
+        return pa.concat_tables(tables)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 

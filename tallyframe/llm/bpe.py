@@ -58,9 +58,9 @@ def _word_encoder(path: str):
     return make
 
 
-def _join_ids(row: dict, answers: list[bytes]) -> pa.Table:
+def _join_ids(row: dict, codes: np.ndarray, answers: list[bytes]) -> pa.Table:
     """ids of each document: those of its words, by position."""
-    codes, counts = unpack(row["data"]), np.array(row["counts"], np.int64)
+    counts = np.array(row["counts"], np.int64)
     lengths, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for data in answers:
         cut = 8 + int.from_bytes(data[:8], "little")

@@ -239,7 +239,7 @@ def _tally(batches) -> Iterator[pa.RecordBatch]:
         cls = word_classes(words.cast(pa.string())) if known else np.zeros(0, np.int64)
         sums = np.stack([np.bincount(cls, n, CLASSES), np.bincount(cls, minlength=CLASSES)]).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array([None], pa.string()), pa.array([bucket], pa.int32()), pa.array([pack_words(words) if known else None], pa.binary()),
+            [pa.array([None], pa.int64()), pa.array([bucket], pa.int32()), pa.array([pack_words(words) if known else None], pa.binary()),
              pa.array([pack(n)], pa.binary()), pa.array([pack(sums.ravel())], pa.binary())], ["block", "bucket", "data", "more", "sums"])
 
     last, counts = None, {}
@@ -272,9 +272,9 @@ def _make_lookup():
 def _scorer(model: Model, class_tokens: np.ndarray, class_types: np.ndarray, tokens: int, types: int, end_count: int):
     spread = np.log10(class_tokens + class_types + 1.0)
 
-    def finish(row: dict, answers: list[bytes]) -> pa.Table:
+    def finish(row: dict, codes: np.ndarray, answers: list[bytes]) -> pa.Table:
         ids = pa.array(row["ids"], pa.int64())
-        counts = np.concatenate([np.zeros(0, np.int64), *[unpack(a).astype(np.int64) for a in answers]])[unpack(row["data"])]
+        counts = np.concatenate([np.zeros(0, np.int64), *[unpack(a).astype(np.int64) for a in answers]])[codes]
         lengths = np.array(row["counts"], np.int64)
         counts = np.insert(counts, np.cumsum(lengths), end_count)
         symbols, offsets = _symbols(row)
@@ -293,9 +293,9 @@ def _scorer(model: Model, class_tokens: np.ndarray, class_types: np.ndarray, tok
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Trains on the training folds and scores every whole text."""
-    blocks, words = code_blocks(docs, id_col, text_col, lower=True, count_in=_training, describe=word_classes)
+    blocks, words = code_blocks(docs, id_col, text_col, lower=True, count_in=_training, describe=word_classes, write=True)
     model = fit(blocks, rounds)
-    tables = materialize(by_bucket(words, _tally, "block string, bucket int, data binary, more binary, sums binary"), "word-counts")
+    tables = materialize(by_bucket(words, _tally, "block long, bucket int, data binary, more binary, sums binary"), "word-counts")
     sums = np.zeros((2, CLASSES), np.int64)
     for row in tables.select("sums").collect():  # one row per bucket, of 2 x CLASSES numbers
         sums += unpack(row["sums"]).astype(np.int64).reshape(2, CLASSES)
