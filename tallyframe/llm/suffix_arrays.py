@@ -32,7 +32,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(min(_PACKED, depth)):
         key = key * 257 + padded[j:j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     heads = np.ones(n, bool)
     heads[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.zeros(n + depth, np.int64)
@@ -47,7 +47,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         step = min(known, depth - known)
         members = order[slots]
         follow = rank[members + step]
-        by = np.argsort(rank[members] * (n + 1) + follow, kind="stable")
+        by = np.argsort(rank[members] * (n + 1) + follow)
         members, follow = members[by], follow[by]
         order[slots] = members
         old = rank[members]

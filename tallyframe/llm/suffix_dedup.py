@@ -42,17 +42,18 @@ from tallyframe.session import materialize
 
 WINDOW, GRAM = 100, 32
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: An h that more blocks than this share is spread over several shards.
 BLOCKS_PER_SHARD = 16
 _PIECE = 1 << 19
 _RUN = 256
+_SORT_BYTES = 1 << 20
 _SPAN = WINDOW - GRAM + 1
 _NO_ID = -(1 << 63)
 _TABLES = [mix(np.arange(256, dtype=np.uint64) + np.uint64(256 * k + 1)) for k in (1, 2)]
 _FACTORS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
 _BLOCK = "block long, ids array<long>, ties array<long>, sizes array<long>, data binary"
-_RUNS = "shard long, salt int, spread int, h long, block long, row int, doc_id long, tie long, start long, data binary"
+_RUNS = "shard long, salt int, spread int, near boolean, h long, block long, row int, doc_id long, tie long, start long, data binary"
 _REMOVED = "block long, data binary, h long, part int, firsts binary"
 
 
@@ -99,42 +100,55 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[:len(out) - rest], out[rest:]) if rest else out
 
 
-def window_runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first position, windows, hash) of runs of windows with one smallest hash, and
-    the hash at every place where it is the smallest of a window.
+def window_runs(data: np.ndarray, sizes: np.ndarray, points: bool = True) -> tuple[np.ndarray, ...]:
+    """(first position, windows, hash) of runs of windows with one smallest hash; with
+    ``points`` also the hashes that are smallest at two places, and those of them that
+    are so at two places close to each other.
 
-    Windows never leave their text; a run has at most ``_RUN`` windows.
+    Windows never leave their text; a run has at most ``_RUN`` windows. Work goes
+    piece by piece, so only runs are held for the whole block.
     """
     ends = np.cumsum(sizes)
     whole = sizes >= WINDOW
-    change = np.zeros(len(data) + 1, np.int8)
-    np.add.at(change, (ends - sizes)[whole], 1)
-    np.add.at(change, (ends - WINDOW + 1)[whole], -1)
-    room = np.cumsum(change[:-1], dtype=np.int8) > 0
-    starts, hashes, points, before = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], np.zeros(_SPAN - 1, np.uint64)
+    opens, closes = (ends - sizes)[whole], (ends - WINDOW + 1)[whole]
+    starts, hashes, places, values = [], [], [], []
+    before, last = np.zeros(_SPAN - 1, np.uint64), np.uint64(0)
     for a in range(0, len(data), _PIECE):
         grams = string_hashes(data[a:a + _PIECE + WINDOW - 1], GRAM)
         grams ^= grams >> np.uint64(31)
         grams *= np.uint64(0x94D049BB133111EB)
+        grams |= np.uint64(1)  # 0 stands for no window
         low = _sliding(grams, _SPAN, np.minimum)
-        at = np.flatnonzero(room[a:a + len(low)])
-        starts.append(at + a)
-        hashes.append(low[at])
-        low = np.where(room[a:a + len(low)], low, np.uint64(0))
-        near = np.concatenate([before, low, np.zeros((a + _PIECE >= len(data)) * (_SPAN - 1), np.uint64)])
-        before = near[len(low):len(low) + _SPAN - 1]
-        top = _sliding(near, _SPAN, np.maximum)[:len(grams)]
-        points.append(top[(top == grams[:len(top)]) & (top > 0)])
-    at, h = np.concatenate(starts), np.concatenate(hashes)
-    new = np.ones(len(at), bool)
-    text = np.searchsorted(ends, at, "right")
-    new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(at)))
+        change = np.zeros(len(low) + 1, np.int8)
+        first, over = np.searchsorted(closes, a, "right"), np.searchsorted(opens, a + len(low))
+        np.add.at(change, np.maximum(opens[first:over] - a, 0), 1)
+        np.add.at(change, np.minimum(closes[first:over] - a, len(low)), -1)
+        low = np.where(np.cumsum(change[:-1], dtype=np.int8) > 0, low, np.uint64(0))
+        if len(low):
+            new = np.flatnonzero(low != np.concatenate([[last], low[:-1]]))
+            starts.append(new + a)
+            hashes.append(low[new])
+            last = low[-1]
+        if points:
+            near = np.concatenate([before, low, np.zeros((a + _PIECE >= len(data)) * (_SPAN - 1), np.uint64)])
+            before = near[len(low):len(low) + _SPAN - 1]
+            top = _sliding(near, _SPAN, np.maximum)[:len(grams)]
+            at = np.flatnonzero((top == grams[:len(top)]) & (top > 0))
+            places.append(at + a)
+            values.append(top[at])
+    at = np.concatenate([np.zeros(0, np.int64), *starts])
+    h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    n = np.diff(np.append(at, max(0, len(data) - WINDOW + 1)))
+    at, h, n = at[h > 0], h[h > 0], n[h > 0]
     cuts = -(-n // _RUN)
     piece = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    return (np.repeat(at[first], cuts) + piece * _RUN, np.minimum(np.repeat(n, cuts) - piece * _RUN, _RUN),
-            np.repeat(h[first], cuts), np.concatenate(points))
+    runs = np.repeat(at, cuts) + piece * _RUN, np.minimum(np.repeat(n, cuts) - piece * _RUN, _RUN), np.repeat(h, cuts)
+    if not points:
+        return runs
+    place, value = np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.uint64), *values])
+    close = (value[1:] == value[:-1]) & (np.diff(place) <= _SPAN)
+    own, count = np.unique(value, return_counts=True)
+    return *runs, own[count > 1], np.unique(value[1:][close])
 
 
 def _make_blocks(batches) -> Iterator[pa.RecordBatch]:
@@ -155,7 +169,7 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
 def _block_hashes(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            _, _, h, _ = window_runs(*_open(row))
+            _, _, h = window_runs(*_open(row), points=False)
             h = np.unique(h).view(np.int64)
             for a in range(0, len(h), 1 << 16):
                 part = h[a:a + (1 << 16)]
@@ -168,12 +182,11 @@ def _extract(shards: int):
         out: list[tuple] = []
         for block in left.to_pylist():
             data, sizes = _open(block)
-            at, n, h, points = window_runs(data, sizes)
+            at, n, h, repeated, close = window_runs(data, sizes)
             shared = right.column("h").to_numpy().view(np.uint64)
             order = np.argsort(shared)
             shared, blocks = shared[order], right.column("blocks").to_numpy()[order]
-            own, count = np.unique(points, return_counts=True)
-            again = np.isin(h, own[count > 1])
+            again, near = np.isin(h, repeated), np.isin(h, close)
             slot = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
             found = shared[slot] == h if len(shared) else np.zeros(len(h), bool)
             spread = np.where(found, -(-blocks[slot] // BLOCKS_PER_SHARD), 1) if len(shared) else np.ones(len(h), np.int64)
@@ -194,25 +207,25 @@ def _extract(shards: int):
                         first[int(h[k]), text] = mine
                         mine, other = other, mine
                     if mine[0] == other[0]:
-                        out.append(_run_row(h, spread, shards, block["block"], mine, text))
+                        out.append(_run_row(h, spread, near, shards, block["block"], mine, text))
                     else:
                         repeats.append((mine[1], mine[0][2], int(n[mine[2]])))
             for (_, text), mine in first.items():
-                out.append(_run_row(h, spread, shards, block["block"], mine, text))
+                out.append(_run_row(h, spread, near, shards, block["block"], mine, text))
             if repeats:
                 packed = pack_arrays(*np.array(repeats, np.int64).T)
-                out.append((block["block"] % shards, -1, 0, 0, block["block"], -1, 0, 0, 0, packed))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                out.append((block["block"] % shards, -1, 0, False, 0, block["block"], -1, 0, 0, 0, packed))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         columns = list(zip(*out)) if out else [()] * len(kinds)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _RUNS.split(", ")])
     return extract
 
 
-def _run_row(h: np.ndarray, spread: np.ndarray, shards: int, block: int, mine: tuple, text: bytes) -> tuple:
+def _run_row(h: np.ndarray, spread: np.ndarray, near: np.ndarray, shards: int, block: int, mine: tuple, text: bytes) -> tuple:
     (doc_id, tie, start), row, k = mine
     code, parts = int(h[k].view(np.int64)), int(spread[k])
     salt = -1 if parts == 1 else int(mix(np.array([hash_bytes(text)], np.uint64))[0] % np.uint64(parts))
-    return (code % shards if parts == 1 else code, salt, parts, code, block, row, doc_id, tie, start, text)
+    return (code % shards if parts == 1 else code, salt, parts, bool(near[k]), code, block, row, doc_id, tie, start, text)
 
 
 def hash_bytes(text: bytes) -> int:
@@ -267,34 +280,42 @@ def find_repeats(group: pa.Table) -> pa.Table:
     code[which] = h
     parts = np.ones(len(ids), np.int64)
     parts[which] = spread
-    # A string alone with its hash shares windows with no other, but may with itself.
+    # A string alone with its hash shares no window, unless that hash comes again close by.
     _, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
-    chosen = np.flatnonzero((count[inverse] > 1) | (parts > 1) | (windows > 1))
-    if len(chosen):
-        strings = list(ids)
-        symbols, begins = lay_out([strings[c] for c in chosen])
+    close = np.zeros(len(ids), bool)
+    close[which[group.column("near").to_numpy(zero_copy_only=False)]] = True
+    strings, sizes = list(ids), windows + WINDOW
+    lead_rows = np.flatnonzero(leads)
+    lead_rows = lead_rows[np.argsort(which[lead_rows], kind="stable")]
+    chosen = np.flatnonzero((count[inverse] > 1) | (parts > 1) | close)
+    chosen = chosen[np.argsort(code[chosen], kind="stable")]
+    # Equal windows have one hash, so whole hashes can be sorted part by part.
+    edges = np.flatnonzero(np.append(True, np.diff(code[chosen]) != 0)) if len(chosen) else np.zeros(0, np.int64)
+    batch = (np.cumsum(sizes[chosen]) - sizes[chosen])[edges] // _SORT_BYTES
+    for own in np.split(chosen, edges[1:][np.diff(batch) > 0]):
+        if not len(own):
+            continue
+        symbols, begins = lay_out([strings[c] for c in own])
         order = suffix_array(symbols, WINDOW)
         common = common_prefixes(symbols, begins, order, WINDOW)
         text = np.searchsorted(begins, order, "right") - 1
         offset = order - begins[text]
-        valid = offset < windows[chosen[text]]
-        key = first[chosen[text]] + offset
+        valid = offset < windows[own[text]]
+        key = first[own[text]] + offset
         group_of = np.cumsum(common < WINDOW) - 1
         text, offset, key, group_of = text[valid], offset[valid], key[valid], group_of[valid]
         heads = np.flatnonzero(np.append(True, np.diff(group_of) != 0))
         lowest = np.repeat(np.minimum.reduceat(key, heads), np.diff(np.append(heads, len(key))))
-        t, o, n = _intervals(key > lowest, chosen[text], offset)
-        lead_rows = np.flatnonzero(leads)
-        lead_rows = lead_rows[np.argsort(which[lead_rows], kind="stable")]
+        t, o, n = _intervals(key > lowest, own[text], offset)
         left, right = np.searchsorted(which[lead_rows], t, "left"), np.searchsorted(which[lead_rows], t, "right")
         many = right - left
         at = lead_rows[np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())]
         gone.append((block[at], row[at], start[at] + np.repeat(o, many), np.repeat(n, many)))
-        going_on = (key == lowest) & (parts[chosen[text]] > 1)
+        going_on = (key == lowest) & (parts[own[text]] > 1)
         if going_on.any():
             raw = (np.maximum(symbols, 1) - 1).astype(np.uint8)
             ends = begins[text[going_on]] + offset[going_on]
-            owner = lead_rows[np.searchsorted(which[lead_rows], chosen[text[going_on]])]
+            owner = lead_rows[np.searchsorted(which[lead_rows], own[text[going_on]])]
             out += _send_on(string_hashes(raw, WINDOW)[ends], string_hashes(raw, WINDOW, 1)[ends], h[owner], spread[owner],
                             doc[owner], tie[owner], start[owner] + offset[going_on], block[owner], row[owner])
     return _removed_table(out + _by_block(*(np.concatenate(c) for c in zip(*gone))))
