@@ -10,8 +10,6 @@ from tallyframe.functions.cells import (NUMERIC_NAME_HINTS, RECEIPT_PATTERN, dat
                                         normalize_number, number_of_text, split_annotated_date)
 from tallyframe.functions.text import col, let, strip, unique_slugs
 
-SAMPLE_ROWS = 1000
-
 
 def slug_headers(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rename every column to its unique slug (``keep`` stays as it is)."""
@@ -20,16 +18,13 @@ def slug_headers(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.toDF(*[renamed.get(c, c) for c in df.columns])
 
 
-def numeric_evidence(df: DataFrame, order_col: str, columns: list[str] | None = None,
-                     sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(column, non_missing, numeric_like, is_numeric) from the first rows.
+def numeric_evidence(df: DataFrame, order_col: str, columns: list[str] | None = None) -> DataFrame:
+    """(column, non_missing, numeric_like, is_numeric) over all rows.
 
-    The sample is a top-n by ``order_col``, so nothing but ``sample_rows`` rows
-    leaves the scan tasks.
+    One aggregate of which each task sends one row; nothing is sorted.
     """
     columns = columns or [c for c in df.columns if c != order_col]
-    sample = df.orderBy(col(order_col)).limit(sample_rows)
-    counts = sample.agg(*[
+    counts = df.agg(*[
         F.struct(F.count_if(~is_missing(col(c))).alias("non_missing"),
                  F.count_if(~is_missing(col(c)) & normalize_number(col(c)).isNotNull())
                  .alias("numeric_like")).alias(f"c{i}")
@@ -44,10 +39,9 @@ def numeric_evidence(df: DataFrame, order_col: str, columns: list[str] | None =
         "is_numeric", (hinted & (ratio >= 0.6)) | ((ratio >= 0.95) & (F.col("non_missing") >= 20)))
 
 
-def pick_numeric_columns(df: DataFrame, order_col: str, columns: list[str] | None = None,
-                         sample_rows: int = SAMPLE_ROWS) -> list[str]:
+def pick_numeric_columns(df: DataFrame, order_col: str, columns: list[str] | None = None) -> list[str]:
     """Names of the numeric columns; one row per column reaches the driver."""
-    found = numeric_evidence(df, order_col, columns, sample_rows).where("is_numeric")
+    found = numeric_evidence(df, order_col, columns).where("is_numeric")
     return [r["column"] for r in found.select("column").collect()]
 
 
@@ -98,16 +92,16 @@ def clean_counters(df: DataFrame, columns: list[str], numeric: list[str] = ()) -
 
 
 def normalize_table(df: DataFrame, order_col: str, observation: Observation | None = None,
-                    float_compat: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                    float_compat: bool = False) -> DataFrame:
     """Clean a raw text table: slugged headers, cleaned cells, no shuffle.
 
-    Only the column sample runs ahead of time. ``observation`` collects the
+    Only the count of numeric cells runs ahead of time. ``observation`` collects the
     cleaning counters while the result is being written, without a second scan.
     """
     before = [c for c in df.columns if c != order_col]
     df = slug_headers(df, keep=(order_col,))
     columns = [c for c in df.columns if c != order_col]
-    numeric = pick_numeric_columns(df, order_col, columns, sample_rows)
+    numeric = pick_numeric_columns(df, order_col, columns)
     cleaned = clean_cells(df, columns, numeric, float_compat)
     if observation is not None:
         renamed = sum(a != b for a, b in zip(before, columns))

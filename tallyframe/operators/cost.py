@@ -35,21 +35,24 @@ def price_table(spark: SparkSession) -> DataFrame:
 def prices_for(models: DataFrame, prices: DataFrame, proxy: str = PROXY_MODEL) -> DataFrame:
     """A price row per model; a model without one gets the proxy's prices.
 
-    Both tables have one row per model, hence the broadcasts.
+    The proxy is one row.
     """
     fields = [c for c in prices.columns if c != "model_id"]
     fallback = prices.where(F.col("model_id") == proxy).select(F.struct(*fields).alias("_proxy"))
     own = prices.select("model_id", F.struct(*fields).alias("_own"))
-    return (models.join(F.broadcast(own), "model_id", "left").join(F.broadcast(fallback))
+    return (models.join(own, "model_id", "left").join(F.broadcast(fallback))
             .select("model_id", F.col("_own").isNull().alias("is_proxy"),
                     F.coalesce("_own", "_proxy").alias("p")).select("model_id", "is_proxy", "p.*"))
 
 
 def dataset_volumes(questions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per dataset: questions and dataset tokens with and without a cache."""
+    """Per dataset: questions and dataset tokens with and without a cache.
+
+    A dataset that the catalog lacks keeps its row, with null token counts.
+    """
     counts = questions.groupBy("db_id").agg(F.count(F.lit(1)).alias("questions"))
     tokens, n = F.col("approx_tokens"), F.col("questions")
-    return counts.join(catalog.select("db_id", "approx_tokens"), "db_id").select(
+    return counts.join(catalog.select("db_id", "approx_tokens"), "db_id", "left").select(
         "db_id", "questions", "approx_tokens", (tokens * n).alias("no_cache_tokens"),
         tokens.alias("write_tokens"), (tokens * (n - 1)).alias("read_tokens"),
         (tokens > LONG_CONTEXT).alias("long_context"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import PySparkException
+from pyspark.errors import (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException,
+                            NumberFormatException)
 
 from tallyframe.functions.values import decode_result, result_rows, typed_cell
 from tallyframe.functions.text import col, let
@@ -18,29 +21,41 @@ CELL_DDL = "struct<is_null: boolean, text: string, is_num: boolean, num: double>
 ROWS_DDL = f"array<array<{CELL_DDL}>>"
 
 
+# What a statement itself can do wrong. Anything else, such as a lost executor or
+# a full disk, stops the run instead of passing for a wrong statement.
+SQL_ERRORS = (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException,
+              NumberFormatException)
+STATEMENTS_AT_ONCE = 4
+_STATUS_ROWS = 1000
+GOLD_ROWS_DDL = f"row_no bigint, cells array<{CELL_DDL}>, gold_id string"
+GOLD_STATUS_DDL = "gold_id string, error string"
+
+
 def rows_as_cells(df: DataFrame) -> DataFrame:
-    """(row_no, cells): a result DataFrame in row order, any column types."""
-    types = dict(df.dtypes)
-    cells = [typed_cell(F.col(f"c{i}"), t) for i, t in enumerate(types[c] if c in types else "string"
-                                                                 for c in df.columns)]
+    """(row_no, cells): a result DataFrame in row order, any column types and names."""
+    cells = [typed_cell(F.col(f"c{i}"), kind) for i, (_, kind) in enumerate(df.dtypes)]
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.select(F.monotonically_increasing_id().alias("row_no"),
-                        F.array(*cells).alias("cells"))
+                        F.array(*cells).cast(f"array<{CELL_DDL}>").alias("cells"))
 
 
 def execute_sql(session: SparkSession, sql: str) -> tuple[DataFrame | None, str | None]:
-    """(rows, None) or (None, error text); failures are data, not exceptions."""
+    """(rows, None) or (None, error text); a statement's own failures are data.
+
+    As the source of a query only queries parse, so a command or an insert is
+    refused before anything runs.
+    """
     try:
-        return rows_as_cells(session.sql(sql.strip().rstrip(";"))), None
-    except PySparkException as exc:
+        return rows_as_cells(session.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")), None
+    except SQL_ERRORS as exc:
         return None, str(exc)
 
 
 def namespace(spark: SparkSession, register: Callable[[SparkSession], None]) -> SparkSession:
-    """A session of its own for one dataset's views, with lenient SQL.
+    """A session of its own for one statement's views, with lenient SQL.
 
-    Division by zero and bad casts give NULL, as gold SQL expects. View names
-    of two datasets cannot meet.
+    Division by zero and bad casts give NULL, as gold SQL expects. What one
+    statement does cannot reach another.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.ansi.enabled", "false")
@@ -48,34 +63,45 @@ def namespace(spark: SparkSession, register: Callable[[SparkSession], None]) ->
     return session
 
 
+def dialect_risk(sql: Column) -> Column:
+    """What in a statement another dialect would read differently: ``division``
+    (of whole numbers) and ``like`` (which may ignore case); null if neither."""
+    risks = F.concat_ws(",", F.when(F.regexp_like(sql, F.lit(r"/")), "division"),
+                        F.when(F.regexp_like(sql, F.lit(r"(?i)\blike\b")), "like"))
+    return F.nullif(risks, F.lit(""))
+
+
 def execute_gold(spark: SparkSession, questions: DataFrame,
                  register: Callable[[SparkSession, str], None]) -> tuple[DataFrame, DataFrame]:
     """Run each distinct (db_id, sql) once; returns (gold rows, gold status).
 
     Rows go straight from the query to a table in the shared folder: (gold_id,
-    row_no, cells). Only the SQL texts, one at a time, pass the driver, since a
-    statement has to be planned there. Status: (gold_id, error).
+    row_no, cells). Only the SQL texts pass the driver, since a statement has to
+    be planned there; ``STATEMENTS_AT_ONCE`` run at a time, each in a session of
+    its own. Status: (gold_id, error, dialect_risk), stored in the same folder.
     """
     root = f"{shared_dir(spark)}/gold-{uuid.uuid4().hex}"
     wanted = questions.select("db_id", "sql").distinct()
-    sessions: dict[str, SparkSession] = {}
-    status, written = [], False
-    for q in wanted.toLocalIterator():
-        if q["db_id"] not in sessions:
-            sessions[q["db_id"]] = namespace(spark, lambda s, d=q["db_id"]: register(s, d))
+
+    def run(q) -> tuple[str, str | None]:
         gold_id = gold_key_text(q["db_id"], q["sql"])
-        rows, error = execute_sql(sessions[q["db_id"]], q["sql"] or "")
+        rows, error = execute_sql(namespace(spark, lambda s: register(s, q["db_id"])), q["sql"] or "")
         if rows is not None:
             try:
-                rows.write.mode("overwrite").parquet(f"{root}/gold_id={gold_id}")
-                written = True
-            except PySparkException as exc:
+                rows.write.mode("overwrite").parquet(f"{root}/rows/gold_id={gold_id}")
+            except SQL_ERRORS as exc:
                 error = str(exc)
-        status.append((gold_id, error))
-    schema = f"row_no bigint, cells array<{CELL_DDL}>, gold_id string"
-    rows = (spark.read.schema(schema).option("basePath", root).parquet(root) if written
-            else spark.createDataFrame([], schema))
-    return rows, spark.createDataFrame(status, "gold_id string, error string")
+        return gold_id, error
+
+    spark.createDataFrame([], GOLD_ROWS_DDL).write.mode("overwrite").partitionBy("gold_id").parquet(f"{root}/rows")
+    spark.createDataFrame([], GOLD_STATUS_DDL).write.parquet(f"{root}/status")
+    statements = wanted.toLocalIterator()
+    with ThreadPoolExecutor(STATEMENTS_AT_ONCE) as pool:
+        while group := list(islice(statements, _STATUS_ROWS)):
+            spark.createDataFrame(list(pool.map(run, group)), GOLD_STATUS_DDL).write.mode("append").parquet(f"{root}/status")
+    rows = spark.read.schema(GOLD_ROWS_DDL).option("basePath", f"{root}/rows").parquet(f"{root}/rows")
+    risks = wanted.select(gold_key(F.col("db_id"), F.col("sql")).alias("gold_id"), dialect_risk(F.col("sql")).alias("dialect_risk"))
+    return rows, spark.read.schema(GOLD_STATUS_DDL).parquet(f"{root}/status").join(risks, "gold_id", "left")
 
 
 def gold_key_text(db_id: str, sql: str) -> str:
@@ -110,7 +136,9 @@ def evaluate_run(answers: DataFrame, questions: DataFrame, gold_rows: DataFrame,
                  gold_status: DataFrame, **options) -> DataFrame:
     """One detail row per answer that has a question: status, reason, rows.
 
-    ``options`` go to :func:`compare_rows`.
+    ``detail`` is the whole text behind the reason. Gold rows are carried where
+    they were compared; :func:`mismatch_preview` reads those of any wrong answer
+    by ``gold_id``. ``options`` go to :func:`compare_rows`.
     """
     asked = questions.select("index", "db_id", "sql")
     joined = (answers.select("index", "result").join(asked, "index")
@@ -124,11 +152,13 @@ def evaluate_run(answers: DataFrame, questions: DataFrame, gold_rows: DataFrame,
     full = full.withColumn("gold", F.when(F.coalesce("n_gold", F.lit(0)) == 0, F.array().cast(ROWS_DDL))
                            .otherwise(F.col("gold")))
     return score_rows(full, error=F.col("error"), **options).select(
-        "index", "status", "reason", "gold", "predicted")
+        "index", "status", "reason", "detail", "gold_id", "gold", "predicted")
 
 
 def score_rows(df: DataFrame, error: Column | None = None, **options) -> DataFrame:
-    """Add ``status`` and ``reason`` to rows holding result, sql, gold, predicted.
+    """Add ``status``, ``reason`` and ``detail`` to rows holding result, sql, gold, predicted.
+
+    The reason shows the head of a result or error, the detail all of it.
 
     A gold set that was not gathered (its size differs from the prediction) is
     null and counts as a mismatch.
@@ -144,6 +174,8 @@ def score_rows(df: DataFrame, error: Column | None = None, **options) -> DataFra
                 .when(same, "match").otherwise("value_mismatch"))
     both = F.struct(F.col("predicted").alias("p"), F.col("gold").alias("g"))
     return (df.withColumn("reason", let(both, reason))
+            .withColumn("detail", F.when(F.col("reason").startswith("invalid_result:"), F.col("result"))
+                        .when(F.col("reason").startswith("gold_sql_error:"), error))
             .withColumn("status", F.when(F.col("reason") == "match", "correct").otherwise("wrong")))
 
 
@@ -163,11 +195,26 @@ def wrong_indices(details: DataFrame) -> DataFrame:
     return details.where(F.col("status") == "wrong").select("index")
 
 
-def mismatch_preview(details: DataFrame, n: int = 10, rows: int = 3) -> DataFrame:
-    """The first wrong answers with the first rows of each side."""
-    return (details.where(F.col("status") == "wrong").orderBy("index").limit(n)
-            .select("index", "reason", preview(F.col("gold"), rows).alias("expected"),
-                    preview(F.col("predicted"), rows).alias("predicted")))
+def mismatch_preview(details: DataFrame, n: int = 10, rows: int = 3,
+                     gold_rows: DataFrame | None = None) -> DataFrame:
+    """The first wrong answers with the first rows of each side.
+
+    With ``gold_rows`` the expected rows come from the gold table by key, also
+    where the sizes differ; only ``n`` statements are looked up and ``rows`` rows
+    of each are gathered.
+    """
+    shown = details.where(F.col("status") == "wrong").orderBy("index").limit(n)
+    if gold_rows is None:
+        return shown.select("index", "reason", preview(F.col("gold"), rows).alias("expected"),
+                            preview(F.col("predicted"), rows).alias("predicted"))
+    asked = gold_rows.join(F.broadcast(shown.select("gold_id").distinct()), "gold_id")  # at most n keys
+    heads = (asked.withColumn("_n", F.row_number().over(Window.partitionBy("gold_id").orderBy("row_no")))
+             .where(F.col("_n") <= rows).groupBy("gold_id")
+             .agg(F.sort_array(F.collect_list(F.struct("_n", "cells"))).alias("_r"))
+             .select("gold_id", F.transform("_r", lambda x: x["cells"]).alias("_gold")))
+    return shown.join(heads, "gold_id", "left").select(
+        "index", "reason", "detail", preview(F.col("_gold"), rows).alias("expected"),
+        preview(F.col("predicted"), rows).alias("predicted"))
 
 
 def accuracy_breakdown(details: DataFrame, questions: DataFrame,

@@ -16,8 +16,6 @@ from tallyframe.functions.text import col, strip
 from tallyframe.operators.ordering import with_row_order
 from tallyframe.session import materialize
 
-MIXED_WINDOW = 5000
-
 
 def melt(df: DataFrame, order_col: str) -> DataFrame:
     """(pos, column, value): one trimmed, never-null cell per row and column."""
@@ -87,29 +85,10 @@ def _listed(ranked: DataFrame, item: Column, name: str) -> DataFrame:
         lambda s: s["item"]).alias(name))
 
 
-def mixed_layout_columns(df: DataFrame, order_col: str, stats: DataFrame,
-                         window: int = MIXED_WINDOW) -> DataFrame:
-    """(column) of date columns whose first ``window`` present cells mix layouts.
-
-    A layout counts when fewer than ``window`` present cells come before its
-    first appearance. The candidates (at most one row per column) decide which
-    columns to read; one aggregate over just those counts the cells before each
-    appearance. Nothing is shuffled, ranked or collected but the counts.
-    """
-    spark = df.sparkSession
-    seen = F.size(F.filter("layout_first", lambda p: p.isNotNull())) > 1
-    candidates = stats.where((F.col("date_match_ratio") >= 0.7) & seen).select("column", "layout_first")
-    starts = [(r["column"], p) for r in candidates.collect() for p in r["layout_first"] if p is not None]
-    if not starts:
-        return spark.createDataFrame([], "column string")
-    pos = col(order_col).cast("bigint")
-    counts = df.agg(*[F.count_if(~is_missing(col(name).cast("string")) & (pos < start)).alias(f"c{i}")
-                      for i, (name, start) in enumerate(starts)])
-    rows = counts.select(F.explode(F.array(*[
-        F.struct(F.lit(name).alias("column"), F.col(f"c{i}").alias("before"))
-        for i, (name, _) in enumerate(starts)])).alias("s")).select("s.*")
-    return (rows.where(F.col("before") < window).groupBy("column")
-            .agg(F.count(F.lit(1)).alias("layouts")).where(F.col("layouts") > 1).select("column"))
+def mixed_layout_columns(stats: DataFrame) -> DataFrame:
+    """(column) of date columns whose present cells hold more than one layout."""
+    seen = F.size(F.filter("layout_first", lambda p: p.isNotNull()))
+    return stats.where((F.col("date_match_ratio") >= 0.7) & (seen > 1)).select("column")
 
 
 def profile_columns(df: DataFrame, order_col: str | None = None, k: int = 5,
@@ -179,8 +158,7 @@ def semantic_groups(stats: DataFrame) -> DataFrame:
 
 
 def profile_document(df: DataFrame, db_id: str, order_col: str | None = None,
-                     encoding: str = "utf-8", delimiter: str = ",", file_path: str = "",
-                     mixed_window: int = MIXED_WINDOW) -> DataFrame:
+                     encoding: str = "utf-8", delimiter: str = ",", file_path: str = "") -> DataFrame:
     """The nested one-row profile of a dataset.
 
     The per-column statistics are computed once and kept as a small table, from
@@ -190,7 +168,7 @@ def profile_document(df: DataFrame, db_id: str, order_col: str | None = None,
         df, order_col = with_row_order(df, "_pos"), "_pos"
     names = [c for c in df.columns if c != order_col]
     stats = materialize(profile_columns(df, order_col), "profile")
-    mixed = mixed_layout_columns(df, order_col, stats, mixed_window).agg(
+    mixed = mixed_layout_columns(stats).agg(
         F.sort_array(F.collect_list("column")).alias("mixed_date_format_columns"))
     entry = F.struct("column", F.struct(
         "missing_count", "missing_ratio", "unique_count", "unique_ratio",

@@ -20,6 +20,7 @@ GUIDELINES = (
     ("non_comma_delimiter", "- CSV may not be comma-delimited; use robust read_csv settings."),
     ("has_bom", "- File may have UTF-8 BOM; handle encoding carefully when loading."),
 )
+# The heads of the two optional sections.
 GUIDELINE_HEAD = "\nDATASET-AWARE RULES (must follow):\n"
 KNOWLEDGE_HEAD = "\nEXTERNAL KNOWLEDGE (important — use this to interpret the question correctly):\n"
 RESPONSES_ENDPOINT = "/v1/responses"
@@ -66,11 +67,12 @@ def user_prompts(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     """Add ``prompt``: dataset header, rules, optional knowledge, question.
 
     The contexts are per dataset and carry no data rows; AQE broadcasts them
-    when their measured size allows and splits a hot dataset otherwise.
+    when their measured size allows and splits a hot dataset otherwise. A question
+    of an unknown dataset has a null prompt and ``error_class`` says so.
     """
-    return questions.join(contexts, "db_id").withColumn("prompt", F.concat(
-        "header", "rules", knowledge_section(F.col("external_knowledge")),
-        F.lit("\nQUESTION: "), "question")).drop("header", "rules")
+    return (questions.join(contexts, "db_id", "left").withColumn("prompt", F.concat(
+        "header", "rules", knowledge_section(F.col("external_knowledge")), F.lit("\nQUESTION: "), "question"))
+        .withColumn("error_class", F.when(F.col("header").isNull(), "unknown_dataset")).drop("header", "rules"))
 
 
 def token_estimate(text: Column) -> Column:

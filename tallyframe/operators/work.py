@@ -13,9 +13,6 @@ from tallyframe.operators.ordering import BUCKET_WIDTH
 QUESTION_FIELDS = ("index", "db_id", "sql_complexity", "question_style", "question",
                    "external_knowledge", "cot", "sql")
 
-# Questions per mini-batch, by kind of runner.
-BATCH_SIZES = {"batch": 10_000, "concurrent": 20, "claude_async": 5}
-
 
 def is_error(result: str = "result"):
     return F.coalesce(F.col(result), F.lit("")).startswith("ERROR:")
@@ -92,9 +89,11 @@ def resume_merge(answers: DataFrame, questions: DataFrame, responses: DataFrame,
                  retry_errors: bool = False) -> DataFrame:
     """Stored answers plus those of a finished batch for questions not yet done.
 
-    Only questions present in the batch are appended. With retry, stored error
-    rows go even where the batch has no replacement.
+    Only questions present in the batch are appended, each once: of a repeated
+    index the last response counts. With retry, stored error rows go even where
+    the batch has no replacement.
     """
+    responses = latest_per_key(responses.withColumn("_v", F.monotonically_increasing_id()), "index", "_v").drop("_v")
     kept = drop_errors(answers) if retry_errors else answers
     todo = remaining_work(questions, answers, retry_errors)
     present = todo.join(responses.select("index"), "index", "left_semi")

@@ -80,21 +80,25 @@ def missing_markers(spark, sf_dir):
 
 @query("pick_numeric_columns", oracle=f"""
 WITH {MESSY_ORDERS},
-sampled AS (SELECT * FROM messy_orders ORDER BY pos LIMIT 1000),
+late AS (SELECT *, CASE WHEN pos > (SELECT max(o_orderkey) // 2 FROM orders) THEN '$' || (pos % 900) ELSE 'n/a' END AS late_fee
+         FROM messy_orders),
 cells AS (SELECT "column", trim(value) AS value FROM (
-  UNPIVOT sampled ON {', '.join(MESSY_COLUMNS)} INTO NAME "column" VALUE value)),
+  UNPIVOT late ON late_fee, {', '.join(MESSY_COLUMNS)} INTO NAME "column" VALUE value)),
 counted AS (
   SELECT "column", count(*) FILTER (lower(value) NOT IN ('', 'n/a', '-')) AS non_missing,
     count(*) FILTER (TRY_CAST(replace(replace(replace(value, '$', ''), ',', ''), ' USD', '') AS DOUBLE)
                      IS NOT NULL) AS numeric_like
   FROM cells GROUP BY "column")
 SELECT "column", non_missing, numeric_like,
-  (("column" IN ('total_price', 'mixed_score') AND numeric_like / non_missing >= 0.6)
+  (("column" IN ('total_price', 'mixed_score', 'late_fee') AND numeric_like / non_missing >= 0.6)
    OR (numeric_like / non_missing >= 0.95 AND non_missing >= 20)) AS is_numeric
 FROM counted""")
 def pick_numeric_columns(spark, sf_dir):
-    """The 1000-row sample is the operator's own definition."""
-    return numeric_evidence(messy_orders(spark, sf_dir), "pos")
+    """All rows decide: the fee column is missing in the first half of the table."""
+    rows = messy_orders(spark, sf_dir)
+    half = table(spark, sf_dir, "orders").agg(F.expr("max(o_orderkey) div 2").alias("half"))  # one row
+    late = F.when(F.col("pos") > F.col("half"), F.concat(F.lit("$"), (F.col("pos") % 900).cast("string"))).otherwise("n/a")
+    return numeric_evidence(rows.join(F.broadcast(half)).withColumn("late_fee", late).drop("half"), "pos")
 
 
 CLEANED = f"""

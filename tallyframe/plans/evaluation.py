@@ -12,6 +12,7 @@ from tallyframe.operators.evaluate import (accuracy_breakdown, accuracy_score, e
                                            execute_gold, execution_accuracy, gold_key,
                                            mismatch_preview, score_rows, summarize, wrong_indices)
 from tallyframe.plans.messy import by_key, money
+from tallyframe.session import materialize
 from tallyframe.plans.registry import TABLES, query, table
 
 
@@ -218,10 +219,34 @@ def wrong(spark, sf_dir):
     return wrong_indices(scored(spark, sf_dir))
 
 
-@query("eval_preview", oracle=f"""
-WITH {DETAILS} SELECT "index", reason FROM details WHERE status = 'wrong' ORDER BY "index" LIMIT 10""")
+@query("eval_preview", oracle="""
+SELECT 3 :: BIGINT AS "index", 'value_mismatch' AS reason, min(year(o_orderdate)) || '|' || (min(year(o_orderdate)) + 1) AS expected,
+  (min(year(o_orderdate)) + 1) || '|' || (min(year(o_orderdate)) + 2) AS predicted, true AS whole FROM orders
+UNION ALL SELECT 2, 'value_mismatch', string_agg(o_orderkey, '|' ORDER BY o_totalprice DESC, o_orderkey),
+  string_agg(o_orderkey, '|' ORDER BY o_orderkey), true FROM (
+  SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)
+UNION ALL SELECT 5, 'gold_sql_error', NULL, '', true
+UNION ALL SELECT 6, 'value_mismatch', 'a', 'b', true""")
 def eval_preview(spark, sf_dir):
-    return mismatch_preview(scored(spark, sf_dir)).select("index", "reason")
+    """Expected beside predicted rows, also where sizes differ: first cells of the first two rows.
+
+    The top-k answer (2) is compared by its two largest orders.
+    """
+    asked = gold_questions(spark).where("index IN (2, 3, 5)").withColumn("sql", F.regexp_replace(
+        F.regexp_replace("sql", "LIMIT 5", "LIMIT 2"), "GROUP BY 1;", "GROUP BY 1 ORDER BY 1;"))
+    twin = spark.createDataFrame([(6, "warehouse", "SELECT 'a' AS x, 1 AS x")], asked.schema)
+    answers = worked_answers(spark, sf_dir, top=2).where("index IN (2, 3, 5)").unionByName(
+        table(spark, sf_dir, "orders").agg(F.lit(6).cast("bigint").alias("index"), F.lit('[["b",1]]').alias("result")))
+    asked = asked.unionByName(twin)
+    rows, status = execute_gold(spark, asked, _register(sf_dir))
+    shown = mismatch_preview(evaluate_run(answers, asked, rows, status), 10, 2, rows)
+
+    def first_cells(side: str) -> Column:
+        return F.array_join(F.transform(side, lambda r: F.try_element_at(r, F.lit(1))), "|")
+    return shown.select("index", F.regexp_replace("reason", "(?s):.*", "").alias("reason"),
+                        F.when(F.col("expected").isNotNull(), first_cells("expected")).alias("expected"),
+                        first_cells("predicted").alias("predicted"),
+                        ((F.col("reason") == "value_mismatch") | F.col("detail").contains("no_such_column")).alias("whole"))
 
 
 @query("preview_rows", oracle="""
@@ -253,7 +278,7 @@ def accuracy_cube(spark, sf_dir):
 
 
 # Gold statements over the given tables: having, in-list, top-k, derived key,
-# an empty result and a statement that fails.
+# an empty result, a statement that fails, repeated names and a command.
 GOLD_SQL = {
     "having": "SELECT o_orderpriority, AVG(o_totalprice) AS a FROM orders GROUP BY o_orderpriority HAVING AVG(o_totalprice) > 1000",
     "in_list": "SELECT c_mktsegment, COUNT(*) FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment",
@@ -261,6 +286,9 @@ GOLD_SQL = {
     "by_year": "SELECT CAST(YEAR(o_orderdate) AS INT) AS y, SUM(o_totalprice) FROM orders GROUP BY 1;",
     "empty": "SELECT p_name FROM part WHERE p_size < 0",
     "broken": "SELECT no_such_column FROM region",
+    "same_names": "SELECT 'abc' AS x, 7/2 AS x, r_name AS x FROM region WHERE r_name LIKE 'EU%'",
+    "command": "DROP VIEW region",
+    "after_command": "SELECT COUNT(*) FROM region",
 }
 
 
@@ -281,31 +309,40 @@ SELECT * FROM (
   SELECT 0 :: BIGINT AS "index", o_orderpriority AS key, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 2
   UNION ALL SELECT 1, c_mktsegment, count(*) FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 2
   UNION ALL (SELECT 2, CAST(o_orderkey AS VARCHAR), round(o_totalprice, 2) FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5)
-  UNION ALL SELECT 3, CAST(year(o_orderdate) AS VARCHAR), round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 2) FROM orders GROUP BY 2)""")
+  UNION ALL SELECT 3, CAST(year(o_orderdate) AS VARCHAR), round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 2) FROM orders GROUP BY 2
+  UNION ALL SELECT 6, 'abc', 3.5 FROM region WHERE r_name LIKE 'EU%'
+  UNION ALL SELECT 8, CAST(count(*) AS VARCHAR), NULL FROM region)""")
 def gold_execution(spark, sf_dir):
     """The statements' rows as cells, each statement run once."""
     asked = gold_questions(spark)
     rows, _ = execute_gold(spark, asked, _register(sf_dir))
     ids = asked.select("index", gold_key(F.col("db_id"), F.col("sql")).alias("gold_id"))
     return rows.join(F.broadcast(ids), "gold_id").select(
-        "index", F.col("cells")[0]["text"].alias("key"), F.round(F.col("cells")[1]["num"], 2).alias("value"))
+        "index", F.col("cells")[0]["text"].alias("key"),
+        F.round(F.try_element_at("cells", F.lit(2))["num"], 2).alias("value"))
 
 
-@query("evaluation_run", oracle="""
-SELECT * FROM (VALUES (0 :: BIGINT, 'correct', 'match'), (1, 'correct', 'match'), (2, 'wrong', 'value_mismatch'),
-  (3, 'wrong', 'value_mismatch'), (4, 'correct', 'match'), (5, 'wrong', 'gold_sql_error')) t("index", status, reason)
-WHERE (SELECT count(*) FROM orders) > 5""")
-def evaluation_run(spark, sf_dir):
-    """Answers worked out from the tables against executed gold SQL.
+@query("gold_status", oracle="""
+SELECT i :: BIGINT AS "index", i IN (5, 7) AS failed, CASE WHEN i = 6 THEN 'division,like' END AS dialect_risk FROM range(9) t(i)
+WHERE (SELECT count(*) FROM region) > 0""")
+def gold_status(spark, sf_dir):
+    """Which statements failed; a command fails and changes nothing for the others."""
+    asked = gold_questions(spark)
+    _, status = execute_gold(spark, asked, _register(sf_dir))
+    ids = asked.select("index", gold_key(F.col("db_id"), F.col("sql")).alias("gold_id"))
+    return ids.join(status, "gold_id").select("index", F.col("error").isNotNull().alias("failed"), "dialect_risk")
 
-    Averages rounded to two decimals match; a top-k in the wrong order, a year
-    left out and a failing statement do not. Each answer holds one row per
-    priority, segment, year or rank, so its array is small by construction.
+
+def worked_answers(spark, sf_dir: str, top: int = 5) -> DataFrame:
+    """(index, result) for the gold statements, worked out from the tables.
+
+    Each answer holds one row per priority, segment, year or rank, so its array is
+    small by construction.
     """
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
 
     def answer(index: int, df: DataFrame, *cells: Column) -> DataFrame:
-        # to_json keeps numbers as numbers: one array per row, of mixed cells.
+        # Cells are JSON texts already: numbers stay numbers in one array of mixed cells.
         row = F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]"))
         return df.agg(F.sort_array(F.collect_list(row)).alias("r")).select(
             F.lit(index).cast("bigint").alias("index"),
@@ -316,18 +353,37 @@ def evaluation_run(spark, sf_dir):
     by_priority = orders.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 2).alias("a"))
     segments = (customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
                 .groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")))
-    top = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5)
+    best = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(top)
     years = orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.round(F.sum("o_totalprice"), 2).alias("s"))
     first_year = years.agg(F.min("y").alias("y0"))
     late = years.join(F.broadcast(first_year), F.col("y") > F.col("y0"))
-    none = F.lit("[]")
+    europe = table(spark, sf_dir, "region").where("r_name LIKE 'EU%'")
     answers = answer(0, by_priority, quoted("o_orderpriority"), F.col("a").cast("string"))
-    answers = answers.unionByName(answer(1, segments, quoted("c_mktsegment"), F.col("n").cast("string")))
-    answers = answers.unionByName(answer(2, top, F.col("o_orderkey").cast("string"), money(F.col("o_totalprice"))))
-    answers = answers.unionByName(answer(3, late, F.col("y").cast("string"), money(F.col("s"))))
-    for i in (4, 5):
-        answers = answers.unionByName(customer.limit(1).select(
-            F.lit(i).cast("bigint").alias("index"), none.alias("result")))
+    for part in (answer(1, segments, quoted("c_mktsegment"), F.col("n").cast("string")),
+                 answer(2, best, F.lpad(F.col("o_orderkey").cast("string"), 12, " "), money(F.col("o_totalprice"))),
+                 answer(3, late, F.col("y").cast("string"), money(F.col("s"))),
+                 answer(4, orders.where("false"), quoted("o_orderpriority")),
+                 answer(5, orders.where("false"), quoted("o_orderpriority")),
+                 answer(6, europe, F.lit('"abc"'), F.lit("3.5"), quoted("r_name")),
+                 answer(7, europe, quoted("r_name")),
+                 answer(8, table(spark, sf_dir, "region").groupBy().count(), F.col("count").cast("string"))):
+        answers = answers.unionByName(part)
+    return answers
+
+
+@query("evaluation_run", oracle="""
+SELECT * FROM (VALUES (0 :: BIGINT, 'correct', 'match'), (1, 'correct', 'match'), (2, 'wrong', 'value_mismatch'),
+  (3, 'wrong', 'value_mismatch'), (4, 'correct', 'match'), (5, 'wrong', 'gold_sql_error'), (6, 'correct', 'match'),
+  (7, 'wrong', 'gold_sql_error'), (8, 'correct', 'match')) t("index", status, reason)
+WHERE (SELECT count(*) FROM orders) > 5""")
+def evaluation_run(spark, sf_dir):
+    """Answers worked out from the tables against executed gold SQL.
+
+    Averages rounded to two decimals match; a top-k in key order, a year left
+    out, a failing statement and a command do not. Answers are stored once, since
+    scoring reads them more than once.
+    """
+    answers = materialize(worked_answers(spark, sf_dir), "answers")
     asked = gold_questions(spark)
     rows, status = execute_gold(spark, asked, _register(sf_dir))
     return evaluate_run(answers, asked, rows, status).select(

@@ -21,11 +21,11 @@ def _values(spark, sf_dir):
 
 
 @query("profile_counts", oracle="""
-SELECT count(*) AS row_count, 6 :: BIGINT AS column_count FROM orders""")
+SELECT 'orders' AS db_id, count(*) AS row_count, 6 :: BIGINT AS column_count FROM orders""")
 def profile_counts(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return orders.agg(F.count(F.lit(1)).alias("row_count"),
-                      F.lit(len(orders.columns)).cast("bigint").alias("column_count"))
+    """Rows and columns as the profile document reports them."""
+    cells = table(spark, sf_dir, "orders").withColumn("pos", F.col("o_orderkey"))
+    return profile_document(cells, "orders", "pos").select("db_id", "row_count", "column_count")
 
 
 @query("profile_melt", oracle=f"""
@@ -118,15 +118,13 @@ def profile_groups(spark, sf_dir):
 
 @query("profile_mixed_dates", oracle=f"""
 WITH {MELTED},
-first_cells AS (
-  SELECT "column", value FROM flagged JOIN stats USING ("column") WHERE present AND date_match_ratio >= 0.7
-  QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY pos) <= 5000)
-SELECT "column" FROM first_cells GROUP BY "column"
+date_cells AS (
+  SELECT "column", value FROM flagged JOIN stats USING ("column") WHERE present AND date_match_ratio >= 0.7)
+SELECT "column" FROM date_cells GROUP BY "column"
 HAVING count(DISTINCT CASE WHEN regexp_full_match(value, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'iso'
   WHEN value LIKE '%/%' THEN 'dmy' ELSE 'd-m-y' END) > 1""")
 def profile_mixed_dates(spark, sf_dir):
-    orders = messy_orders(spark, sf_dir)
-    return mixed_layout_columns(orders, "pos", column_stats(value_counts(melt(orders, "pos"))))
+    return mixed_layout_columns(column_stats(_values(spark, sf_dir)))
 
 
 @query("profile_document", oracle=f"""

@@ -50,6 +50,11 @@ def write_questions(questions: DataFrame, path: str) -> None:
     questions.write.mode("overwrite").json(path)
 
 
+def _absent(exc: AnalysisException) -> bool:
+    """Whether a read failed because nothing is stored; any other failure is raised."""
+    return exc.getCondition() == "PATH_NOT_FOUND"
+
+
 def run_dir(root: str, checkpoint: str, model_id: str) -> str:
     return f"{root}/checkpoint={checkpoint}/model_id={model_id.replace('/', '%2F')}"
 
@@ -62,7 +67,9 @@ def read_answer_parts(spark: SparkSession, root: str, checkpoint: str, model_id:
     ddl = ANSWER_DDL + ", origin string, epoch bigint"
     try:
         return spark.read.schema(ddl).parquet(run_dir(root, checkpoint, model_id))
-    except AnalysisException:
+    except AnalysisException as exc:
+        if not _absent(exc):
+            raise
         return spark.createDataFrame([], ddl)
 
 
@@ -85,7 +92,9 @@ def read_answer_array(spark: SparkSession, path: str) -> DataFrame:
     """Answers from a stored JSON array; unreadable or absent gives no rows."""
     try:
         raw = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if not _absent(exc):
+            raise
         return spark.createDataFrame([], ANSWER_DDL)
     items = raw.select(F.explode(F.from_json("value", f"array<struct<{ANSWER_DDL}>>")).alias("a"))
     return items.select("a.*").withColumn("raw_output", F.coalesce("raw_output", F.lit("")))

@@ -102,3 +102,65 @@ def test_profile_counts_values_once(hot):
     df.collect()
     final = plan_of(df)
     assert "ReusedExchange" in final[:final.find("Initial Plan")]
+
+
+def test_late_evidence_counts(spark):
+    """Cells far behind the first thousands decide like the first ones."""
+    from tallyframe.operators.clean import normalize_table, pick_numeric_columns
+    from tallyframe.operators.profile import column_stats, melt, mixed_layout_columns, value_counts
+    rows = spark.range(9000).select(
+        F.col("id").alias("pos"), F.when(F.col("id") < 5500, "n/a").otherwise("$1,500").alias("fee"),
+        F.when(F.col("id") < 8000, "2024-01-05").otherwise("5/1/2024").alias("day"))
+    assert pick_numeric_columns(rows, "pos") == ["fee"]
+    cleaned = normalize_table(rows, "pos").where("pos = 8999").first()
+    assert (cleaned["fee"], cleaned["day"]) == ("1500", "2024-01-05")
+    mixed = mixed_layout_columns(column_stats(value_counts(melt(rows, "pos"))))
+    assert [r["column"] for r in mixed.collect()] == ["day"]
+
+
+def test_questions_of_unknown_datasets_are_not_lost(spark):
+    from tallyframe.operators.cost import dataset_volumes
+    from tallyframe.operators.prompts import user_prompts
+    from tallyframe.operators.select import require_datasets, select_smallest, unknown_datasets
+    questions = spark.createDataFrame([(0, "a", "q0", ""), (1, "gone", "q1", "")],
+                                      "index long, db_id string, question string, external_knowledge string")
+    catalog = spark.createDataFrame([("a", 40, 10)], "db_id string, size_bytes long, approx_tokens long")
+    assert [r["index"] for r in select_smallest(questions, catalog).collect()] == [0, 1]
+    contexts = spark.createDataFrame([("a", "H", "")], "db_id string, header string, rules string")
+    got = {r["index"]: (r["prompt"] is None, r["error_class"]) for r in user_prompts(questions, contexts).collect()}
+    assert got == {0: (False, None), 1: (True, "unknown_dataset")}
+    assert {r["db_id"]: r["approx_tokens"] for r in dataset_volumes(questions, catalog).collect()} == {"a": 10, "gone": None}
+    assert [tuple(r) for r in unknown_datasets(questions, catalog).collect()] == [("gone", 1)]
+    with pytest.raises(ValueError):
+        require_datasets(questions, catalog)
+
+
+def test_resume_takes_a_repeated_response_once(spark):
+    from tallyframe.operators.work import QUESTION_FIELDS, resume_merge
+    ddl = "index long, " + ", ".join(f"{f} string" for f in QUESTION_FIELDS[1:])
+    questions = spark.createDataFrame([(0, *"abcdefg"), (1, *"abcdefg")], ddl)
+    answers = spark.createDataFrame([(0, *"abcdefg", "[]", "")], ddl + ", result string, raw_output string")
+    batch = spark.createDataFrame([(1, "[[1]]", "x"), (1, "[[2]]", "y")], "index long, result string, raw_output string").coalesce(1)
+    got = sorted((r["index"], r["result"]) for r in resume_merge(answers, questions, batch).collect())
+    assert got == [(0, "[]"), (1, "[[2]]")]
+
+
+def test_gold_statements_are_isolated(spark):
+    from tallyframe.operators.evaluate import evaluate_run, execute_gold, mismatch_preview
+
+    def register(session, db_id):
+        session.createDataFrame([("a", 1), ("b", 2)], "k string, v int").createOrReplaceTempView("t")
+    sql = ["DROP VIEW t", "SELECT 'abc' AS x, k AS x FROM t", "INSERT INTO t VALUES ('c', 3)", "CREATE VIEW u AS SELECT 1",
+           "SELECT v FROM t", "SELECT k, v FROM t ORDER BY v DESC -- newest first", "SELECT v / 0 FROM t WHERE k LIKE 'a'"]
+    questions = spark.createDataFrame([(i, "d", s) for i, s in enumerate(sql)], "index long, db_id string, sql string")
+    results = ["[]", '[["abc","a"],["abc","b"]]', "[]", "[]", "[[1]]", '[["b",2],["a",1]]', "[[null]]"]
+    answers = spark.createDataFrame(list(enumerate(results)), "index long, result string")
+    rows, status = execute_gold(spark, questions, register)
+    details = evaluate_run(answers, questions, rows, status)
+    got = {r["index"]: r["reason"].split(":")[0] for r in details.collect()}
+    failed = "gold_sql_error"
+    assert got == {0: failed, 1: "match", 2: failed, 3: failed, 4: "value_mismatch", 5: "match", 6: "match"}
+    shown = {r["index"]: r for r in mismatch_preview(details, 10, 3, rows).collect()}
+    assert shown[4]["expected"] == [["1"], ["2"]] and shown[4]["predicted"] == [["1"]]
+    assert len(shown[0]["detail"]) >= len(shown[0]["reason"]) - len("gold_sql_error:")
+    assert sorted(r["dialect_risk"] or "" for r in status.collect())[-1] == "division,like"
