@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -48,7 +49,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     left composed.
     """
     source, target, removed, wide = [], [], [], {}
-    for code in [*range(0x80, 0x10000), *range(0x1D400, 0x1D800)]:
+    for code in range(0x80, sys.maxunicode + 1):
         ch = chr(code)
         if code in _HANGUL or 0xD800 <= code < 0xE000:
             continue

@@ -19,19 +19,25 @@ REL_TOLERANCE = 1e-9
 _SENTINEL = "␅end␅"
 
 
+#: A number whose exponent may pass that of any double.
+_HUGE = r"\d[eE]\+?0*(?:30[89]|3[1-9]\d|[4-9]\d\d|\d{4,})"
+
+
 def strict_json(c: Column, single_quotes: bool = False) -> Column:
     """VARIANT of a text that is one complete JSON document, else null.
 
     ``parse_json`` ignores what follows the first document, so the text is put
-    inside an array before a sentinel that must come out as the second item.
+    inside an array before a sentinel that must come out as the second item. A
+    text that may hold a number beyond the range of doubles is not taken.
     """
     wrapped = F.concat(F.lit("["), c, F.lit(f',"{_SENTINEL}"]'))
     if single_quotes:
         doc = F.from_json(wrapped, "variant", {"allowSingleQuotes": "true"})
     else:
         doc = F.try_parse_json(wrapped)
-    return let(doc, lambda d: F.when(F.try_variant_get(d, "$[1]", "string") == _SENTINEL,
+    read = let(doc, lambda d: F.when(F.try_variant_get(d, "$[1]", "string") == _SENTINEL,
                                      F.try_variant_get(d, "$[0]", "variant")))
+    return F.when(~c.rlike(_HUGE), read)
 
 
 def json_list(c: Column) -> Column:

@@ -103,7 +103,7 @@ def profile_columns(df: DataFrame, order_col: str | None = None, k: int = 5,
     cells = melt(df, order_col)
     if not exact:
         return _approximate_stats(cells)
-    values = value_counts(cells)
+    values = materialize(value_counts(cells), "values")  # counted once, read three times
     stats = column_stats(values)
     top = _listed(ranked_values(values, k, True),
                   F.struct("value", F.col("n").alias("count")), "top_values")

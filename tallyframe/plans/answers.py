@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.work import (attach_responses, done_indices, drop_errors, error_total,
@@ -9,6 +10,7 @@ from tallyframe.operators.work import (attach_responses, done_indices, drop_erro
                                        remaining_work, resume_merge)
 from tallyframe.plans.registry import query, table
 from tallyframe.plans.selection import questions
+from tallyframe.session import materialize
 
 
 def stored(spark, sf_dir):
@@ -70,9 +72,20 @@ def dropped(spark, sf_dir):
     return drop_errors(stored(spark, sf_dir)).select("index", "result")
 
 
-@query("locality_order", oracle=f'WITH {BASE} SELECT "index", db_id FROM questions')
+@query("locality_order", oracle=f"""
+WITH {BASE} SELECT "index", db_id, true AS in_order, true AS after_earlier_tasks FROM questions""")
 def locality(spark, sf_dir):
-    return locality_order(questions(spark, sf_dir).select("index", "db_id"))
+    """Order is part of the result: inside each task, and from task to task."""
+    placed = materialize(locality_order(questions(spark, sf_dir).select("index", "db_id"), 6).select(
+        "*", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("place")), "locality")
+    key = F.struct("db_id", "index")
+    inside = Window.partitionBy("task").orderBy("place")
+    ends = placed.groupBy("task").agg(F.max(key).alias("last"))
+    before = ends.select("task", F.max("last").over(
+        Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # one row per task
+    return (placed.withColumn("in_order", F.coalesce(F.lag(key).over(inside) < key, F.lit(True)))
+            .join(before, "task").select("index", "db_id", "in_order",
+                                         F.coalesce(F.col("before") < key, F.lit(True)).alias("after_earlier_tasks")))
 
 
 @query("mini_batches", oracle=f"""

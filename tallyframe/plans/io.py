@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.clean import normalize_table
+from tallyframe.operators.compare import preview
 from tallyframe.operators.evaluate import namespace
 from tallyframe.operators.profile import profile_document
 from tallyframe.operators.prompts import request_lines
 from tallyframe.plans.messy import MESSY_ORDERS, messy_orders
 from tallyframe.plans.cleaning import CLEANED
+from tallyframe.plans.evaluation import DETAILS, scored
 from tallyframe.plans.registry import query, table
 from tallyframe.plans.selection import questions
 from tallyframe.session import shared_dir
@@ -238,13 +240,19 @@ def profile_roundtrip(spark, sf_dir):
                          F.col("quality_flags.non_comma_delimiter").alias("non_comma"))
 
 
-@query("report_roundtrip", oracle="""
-SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1""")
+@query("report_roundtrip", oracle=f"""
+WITH {DETAILS} SELECT "index", status, reason, true AS complete
+FROM details WHERE status = 'wrong'""")
 def report_roundtrip(spark, sf_dir):
+    """The report of a run: every wrong answer with both sides, written and read back."""
     folder = fresh_dir(spark, "report")
-    records.write_report(table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"))
-                         .agg(F.count(F.lit(1)).alias("n")), folder)
-    return spark.read.schema("status string, n bigint").json(folder)
+    wrong = scored(spark, sf_dir).where("status = 'wrong'")
+    records.write_report(wrong.select("index", "status", "reason", "detail", preview(F.col("gold")).alias("expected"),
+                                      preview(F.col("predicted")).alias("predicted")), folder)
+    back = spark.read.schema("index bigint, status string, reason string, detail string, expected array<array<string>>, "
+                             "predicted array<array<string>>").json(folder)
+    sides = F.col("expected").isNotNull() & (F.col("predicted").isNotNull() | F.col("detail").isNotNull())
+    return back.select("index", "status", "reason", sides.alias("complete"))
 
 
 @query("gold_tables", oracle="SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")

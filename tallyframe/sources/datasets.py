@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.text import col
 from tallyframe.operators.ordering import with_row_order
 
-HEAD_BYTES = 64 * 1024
-SNIFF_CHARS = 8192
+READ_BYTES = 64 * 1024
 DELIMITERS = ",;\t|"
 DIALECT = T.StructType([T.StructField("encoding", T.StringType()),
                        T.StructField("delimiter", T.StringType()),
@@ -43,7 +41,8 @@ def _dialect(head: pd.Series) -> pd.DataFrame:
         encoding = "utf-8-sig" if raw.startswith(b"\xef\xbb\xbf") else "utf-8"
         text = raw.decode(encoding, errors="replace")
         try:
-            delimiter = csv.Sniffer().sniff(text[:SNIFF_CHARS], delimiters=DELIMITERS).delimiter
+            whole_lines = text[:text.rfind("\n") + 1] or text  # the last line may be cut
+            delimiter = csv.Sniffer().sniff(whole_lines, delimiters=DELIMITERS).delimiter
         except csv.Error:
             delimiter = ","
         header = next(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), [])
@@ -51,16 +50,31 @@ def _dialect(head: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read(h) for h in head], columns=["encoding", "delimiter", "columns"])
 
 
+def _record_ends(head: bytes) -> bool:
+    """Whether the first record is complete: a line break outside quotes."""
+    at = head.find(b"\n")
+    while at >= 0 and head.count(b'"', 0, at) % 2:
+        at = head.find(b"\n", at + 1)
+    return at >= 0
+
+
 @F.pandas_udf(T.BinaryType())
 def _head(paths: pd.Series) -> pd.Series:
-    """The first bytes of each file, by a ranged read inside the task."""
+    """Each file up to the end of its first record, and at least one read's worth,
+    by ranged reads inside the task."""
     def read(path):
         if path.startswith("file:"):
             store, inner = fs.LocalFileSystem(), path[len("file:"):]
         else:
             store, inner = fs.FileSystem.from_uri(quote(path, safe=":/%"))
         with store.open_input_file(inner) as stream:
-            return stream.read(HEAD_BYTES)
+            head = stream.read(READ_BYTES)
+            while not _record_ends(head):
+                more = stream.read(READ_BYTES)
+                if not more:
+                    break
+                head += more
+            return head
     return pd.Series([read(p) for p in paths], dtype=object)
 
 
@@ -140,6 +154,3 @@ def dataset_texts(spark: SparkSession, folder: str, pattern: str = "*.csv") -> D
              .select(F.col("_metadata.file_name").alias("f"), F.col("value").alias("text")))
     return texts.select(F.regexp_replace("f", r"\.[^.]*$", "").alias("db_id"), "text")
 
-
-def select_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*map(col, names))

@@ -40,9 +40,10 @@ def merge_micro_batch(lines: DataFrame, epoch: int, questions: DataFrame, root:
     spark = lines.sparkSession
     parts = read_answer_parts(spark, root, checkpoint, model_id)
     stored = parts.where((F.col("origin") != origin) | (F.col("epoch") != epoch))
-    todo = remaining_work(questions, stored, retry_errors)
     bodies = parse_batch_lines(with_line_order(lines, F.col("_split")), "_order")
-    present = todo.join(bodies.select("index"), "index", "left_semi")
+    # The batch first: what is stored is looked up for its questions only.
+    asked = questions.join(bodies.select("index"), "index", "left_semi")
+    present = remaining_work(asked, stored, retry_errors)
     results = extract_results(bodies.withColumn("shape", F.lit(shape)))
     store_answers(attach_responses(present, results), root, checkpoint, model_id, origin, epoch)
 

@@ -147,3 +147,21 @@ def test_own_batch_function(spark):
     got = process_batches(asked, answer, "index bigint, result string, raw_output string")
     rows = attach_responses(asked, got).orderBy("index").collect()
     assert [r["result"] for r in rows] == ["[[1]]", "ERROR:no_response"] * 3
+
+
+def test_header_longer_than_one_read(spark, tmp_path):
+    from tallyframe.sources import datasets
+    names = [f"column_number_{i:05d}" for i in range(6000)]
+    (tmp_path / "wide.csv").write_text(";".join(names) + "\n" + ";".join("x" for _ in names) + "\n")
+    (tmp_path / "quoted.csv").write_text('"a\nb",c\n1,2\n')
+    got = {r["db_id"]: (r["delimiter"], r["columns"]) for r in datasets.dataset_catalog(spark, str(tmp_path)).collect()}
+    assert got["wide"] == (";", names) and got["quoted"] == (",", ["a\nb", "c"])
+
+
+def test_a_broken_store_is_not_an_empty_one(spark, tmp_path):
+    import pytest
+
+    from tallyframe.sources import records
+    assert records.read_answer_array(spark, str(tmp_path / "none.json")).count() == 0
+    with pytest.raises(Exception):
+        records.read_answer_array(spark, "nosuchscheme://x/y.json").count()
