@@ -32,6 +32,7 @@ RECEIPT_PATTERN = (r"syt(?:\s+\w+){0,3}?\s*(?:nhan|tiep\s*nhan)"
 
 _CURRENCY_SIGNS = "₫$€£"
 _CURRENCY_WORDS = r"(?iU)\b(?:VND|USD|EUR|GBP)\b"
+# Fixed value: a number with thousands groups.
 _GROUPED = r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?"
 _NUMBER = rf"^(?:[-+]?\d+(?:[.,]\d+)?|{_GROUPED})\z"
 
@@ -129,6 +130,7 @@ def looks_boolean(c: Column) -> Column:
 
 def looks_date(c: Column) -> Column:
     """Shape test only: ``2024-99-99`` has the shape of a date."""
+    # Fixed value: the accepted shapes.
     return c.rlike(r"^(?:\d{4}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}(?::\d{2})?)?"
                    r"|\d{4}/\d{2}/\d{2}"
                    r"|\d{1,2}/\d{1,2}/\d{2,4}"

@@ -138,6 +138,7 @@ SEMANTIC_GROUPS = ("date_columns", "numeric_columns", "boolean_like_columns", "i
 def semantic_flags() -> list[Column]:
     """Boolean group memberships of a column (it may be in several)."""
     num, low = F.col("numeric_match_ratio"), F.lower("column")
+    # The thresholds of the groups.
     tests = (F.col("date_match_ratio") >= 0.7,
              (num >= 0.85) & (F.col("unique_count") >= 5),
              F.col("bool_match_ratio") >= 0.95,
