@@ -56,7 +56,8 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         heads[slots] = fresh
         rank[members] = np.maximum.accumulate(np.where(fresh, slots, 0)) + 1
         known += step
-    return order
+    # Suffixes alike up to ``depth`` stand in the order of their positions.
+    return order[np.argsort(rank[order] * (n + 1) + order)]
 
 
 def common_prefixes(symbols: np.ndarray, starts: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:

@@ -7,8 +7,9 @@ whole texts are judged as given, overlaps included, in these steps:
    window of ``WINDOW`` bytes is the same wherever the window occurs, and is shared
    by runs of neighbouring windows. Each block reports its distinct hashes, and
    only hashes that occur twice can belong to repeated windows.
-2. The bytes of runs with such a hash, each distinct string of a block once, go to
-   the shard of their hash, so equal windows meet there.
+2. Whole copies of an earlier text are settled by their hashes. Of the other texts,
+   the bytes of runs with such a hash, each distinct string of a block once and
+   packed by shard, go to the shard of their hash, so equal windows meet there.
 3. Every shard builds the suffix array of its strings by Larsson-Sadakane
    refinement and common prefixes by Kasai; suffixes that share ``WINDOW`` bytes are
    one window, and all but its first occurrence are removed.
@@ -30,6 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +47,7 @@ WINDOW, GRAM = 100, 32
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
 #: An h that more blocks than this share is spread over several shards.
-BLOCKS_PER_SHARD = 16
+BLOCKS_PER_SHARD = 256
 _PIECE = 1 << 19
 _RUN = 256
 _SORT_BYTES = 1 << 20
@@ -52,8 +55,8 @@ _SPAN = WINDOW - GRAM + 1
 _NO_ID = -(1 << 63)
 _TABLES = [mix(np.arange(256, dtype=np.uint64) + np.uint64(256 * k + 1)) for k in (1, 2)]
 _FACTORS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
-_BLOCK = "block long, ids array<long>, ties array<long>, sizes array<long>, data binary"
-_RUNS = "shard long, salt int, spread int, near boolean, h long, block long, row int, doc_id long, tie long, start long, data binary"
+_BLOCK = "block long, ids array<long>, ties array<long>, others array<long>, sizes array<long>, data binary"
+_RUNS = "shard long, salt int, block long, data binary, texts binary"
 _REMOVED = "block long, data binary, h long, part int, firsts binary"
 
 
@@ -157,8 +160,8 @@ def _make_blocks(batches) -> Iterator[pa.RecordBatch]:
         data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
         yield pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().int >> 65]), *[pa.array([x]) for x in (
-                part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), [len(t) for t in texts], data)]],
-            ["block", "ids", "ties", "sizes", "data"])
+                part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), part.column("other").to_pylist(),
+                [len(t) for t in texts], data)]], ["block", "ids", "ties", "others", "sizes", "data"])
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -176,61 +179,90 @@ def _block_hashes(batches) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), row["block"]))], ["h", "block"])
 
 
+def _places(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A number for each (document, start) that orders like it."""
+    order = np.lexsort((tie, doc))
+    new = np.ones(len(order), np.int64)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (tie[order][1:] != tie[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return (rank << 40) + start
+
+
+def _numbered(texts: list[bytes], place: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct texts, number of each, first place of every distinct text)."""
+    ids: dict[bytes, int] = {}
+    which = np.fromiter((ids.setdefault(t, len(ids)) for t in texts), np.int64, len(texts))
+    first = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(first, which, place)
+    return list(ids), which, first
+
+
 def _extract(shards: int):
     def extract(left: pa.Table, right: pa.Table) -> pa.Table:
         """The strings of a block that may repeat, and what is removed already."""
         out: list[tuple] = []
+        told_h, told_n = right.column("h").to_numpy(), right.column("blocks").to_numpy()
+        copies = told_h[told_n < 0]
+        shared, blocks = told_h[told_n > 0].view(np.uint64), told_n[told_n > 0]
+        order = np.argsort(shared)
+        shared, blocks = shared[order], blocks[order]
         for block in left.to_pylist():
             data, sizes = _open(block)
             at, n, h, repeated, close = window_runs(data, sizes)
-            shared = right.column("h").to_numpy().view(np.uint64)
-            order = np.argsort(shared)
-            shared, blocks = shared[order], right.column("blocks").to_numpy()[order]
-            again, near = np.isin(h, repeated), np.isin(h, close)
-            slot = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
-            found = shared[slot] == h if len(shared) else np.zeros(len(h), bool)
-            spread = np.where(found, -(-blocks[slot] // BLOCKS_PER_SHARD), 1) if len(shared) else np.ones(len(h), np.int64)
-            begin = np.cumsum(sizes) - sizes
-            take = np.flatnonzero(found | again)
-            rows = np.searchsorted(np.cumsum(sizes), at[take], "right")
+            spread = np.zeros(len(h), np.int64)
+            if len(shared):
+                slot = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+                spread = np.where(shared[slot] == h, -(-blocks[slot] // BLOCKS_PER_SHARD), 0)
+            row = np.searchsorted(np.cumsum(sizes), at, "right")
+            take = np.flatnonzero(((spread > 0) | np.isin(h, repeated)) & ~np.isin(row, copies))
+            at, n, h, row, spread = at[take], n[take], h[take].view(np.int64), row[take], np.maximum(spread[take], 1)
+            near = np.isin(h.view(np.uint64), close)
+            start = at - (np.cumsum(sizes) - sizes)[row]
             raw = data.tobytes()
-            first: dict[tuple, tuple] = {}
-            repeats: list[tuple] = []
-            for k, row in zip(take.tolist(), rows.tolist()):
-                p = int(at[k])
-                text = raw[p:p + int(n[k]) + WINDOW - 1]
-                place = (block["ids"][row], block["ties"][row], p - int(begin[row]))
-                mine = (place, row, k)
-                other = first.setdefault((int(h[k]), text), mine)
-                if other is not mine:
-                    if place < other[0]:
-                        first[int(h[k]), text] = mine
-                        mine, other = other, mine
-                    if mine[0] == other[0]:
-                        out.append(_run_row(h, spread, near, shards, block["block"], mine, text))
-                    else:
-                        repeats.append((mine[1], mine[0][2], int(n[mine[2]])))
-            for (_, text), mine in first.items():
-                out.append(_run_row(h, spread, near, shards, block["block"], mine, text))
-            if repeats:
-                packed = pack_arrays(*np.array(repeats, np.int64).T)
-                out.append((block["block"] % shards, -1, 0, False, 0, block["block"], -1, 0, 0, 0, packed))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            texts = [raw[p:z] for p, z in zip(at.tolist(), (at + n + WINDOW - 1).tolist())]
+            ids, ties = np.array(block["ids"], np.int64), np.array(block["ties"], np.int64)
+            place = _places(ids[row], ties[row], start)
+            _, which, first = _numbered(texts, place)
+            leads = place == first[which]
+            late = np.flatnonzero(~leads)
+            whole = np.sort(copies)
+            gone = pack_arrays(np.concatenate([row[late], whole]), np.concatenate([start[late], np.zeros(len(whole), np.int64)]),
+                               np.concatenate([n[late], sizes[whole] - WINDOW + 1]))
+            if len(late) or len(whole):
+                out.append((block["block"] % shards, -1, block["block"], gone, None))
+            lead = np.flatnonzero(leads)
+            salt = np.full(len(lead), -1, np.int64)
+            for k in np.flatnonzero(spread[lead] > 1).tolist():
+                salt[k] = xxhash.xxh64_intdigest(texts[lead[k]]) % int(spread[lead[k]])
+            shard = np.where(spread[lead] > 1, h[lead], h[lead] % shards)
+            order = np.lexsort((salt, shard))
+            lead, shard, salt = lead[order], shard[order], salt[order]
+            edges = np.flatnonzero(np.append(True, (np.diff(shard) != 0) | (np.diff(salt) != 0))) if len(lead) else []
+            for k, z in zip(edges, [*edges[1:], len(lead)]):
+                g = lead[k:z]
+                docs, own = np.unique(row[g], return_inverse=True)
+                packed = pack_arrays(h[g].view(np.uint64), spread[g], near[g], own, start[g], n[g], docs,
+                                     ids[docs].view(np.uint64), ties[docs].view(np.uint64))
+                joined = zstandard.ZstdCompressor(level=1).compress(b"".join([texts[i] for i in g.tolist()]))
+                out.append((int(shard[k]), int(salt[k]), block["block"], packed, joined))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         columns = list(zip(*out)) if out else [()] * len(kinds)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _RUNS.split(", ")])
     return extract
 
 
-def _run_row(h: np.ndarray, spread: np.ndarray, near: np.ndarray, shards: int, block: int, mine: tuple, text: bytes) -> tuple:
-    (doc_id, tie, start), row, k = mine
-    code, parts = int(h[k].view(np.int64)), int(spread[k])
-    salt = -1 if parts == 1 else int(mix(np.array([hash_bytes(text)], np.uint64))[0] % np.uint64(parts))
-    return (code % shards if parts == 1 else code, salt, parts, bool(near[k]), code, block, row, doc_id, tie, start, text)
-
-
-def hash_bytes(text: bytes) -> int:
-    import xxhash
-    return xxhash.xxh64_intdigest(text)
+def _unpack_runs(group: pa.Table) -> tuple:
+    """Columns of all packed runs of a shard, and their strings."""
+    parts, texts = [], []
+    for block, data, joined in zip(*(group.column(c).to_pylist() for c in ("block", "data", "texts"))):
+        h, spread, near, own, start, n, docs, ids, ties = unpack_arrays(data)
+        docs, ids, ties = docs.astype(np.int64), ids.astype(np.uint64).view(np.int64), ties.astype(np.uint64).view(np.int64)
+        parts.append((np.full(len(h), block), docs[own], ids[own], ties[own], start, h.astype(np.uint64).view(np.int64), spread, near > 0))
+        raw = zstandard.ZstdDecompressor().decompress(joined)
+        ends = np.cumsum(n + WINDOW - 1)
+        texts.extend(raw[a:z] for a, z in zip((ends - n - WINDOW + 1).tolist(), ends.tolist()))
+    return (*(np.concatenate(c) for c in zip(*parts)), texts)
 
 
 def _intervals(removed: np.ndarray, text: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,19 +291,14 @@ def _removed_table(rows: list[tuple]) -> pa.Table:
 
 def find_repeats(group: pa.Table) -> pa.Table:
     """The removed windows of one shard; first windows of spread hashes go on to the merge."""
-    told = group.filter(pa.compute.less(group.column("row"), 0))
+    told = group.filter(pc.is_null(group.column("texts")))
     out = [(b, d, None, None, None) for b, d in zip(told.column("block").to_pylist(), told.column("data").to_pylist())]
-    group = group.filter(pa.compute.greater_equal(group.column("row"), 0))
+    group = group.filter(pc.is_valid(group.column("texts")))
     if not len(group):
         return _removed_table(out)
-    block, row, doc, tie, start, h, spread = (group.column(c).to_numpy() for c in ("block", "row", "doc_id", "tie", "start", "h", "spread"))
-    texts = group.column("data").to_pylist()
-    _, same_doc = np.unique(np.stack([doc, tie]), axis=1, return_inverse=True)
-    place = (same_doc.ravel().astype(np.int64) << 40) + start
-    ids: dict[bytes, int] = {}
-    which = np.fromiter((ids.setdefault(t, len(ids)) for t in texts), np.int64, len(texts))
-    first = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(first, which, place)
+    block, row, doc, tie, start, h, spread, near, texts = _unpack_runs(group)
+    place = _places(doc, tie, start)
+    ids, which, first = _numbered(texts, place)
     leads = place == first[which]
     windows = np.array([len(t) - WINDOW + 1 for t in ids], np.int64)
     late = np.flatnonzero(~leads)
@@ -283,8 +310,8 @@ def find_repeats(group: pa.Table) -> pa.Table:
     # A string alone with its hash shares no window, unless that hash comes again close by.
     _, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
     close = np.zeros(len(ids), bool)
-    close[which[group.column("near").to_numpy(zero_copy_only=False)]] = True
-    strings, sizes = list(ids), windows + WINDOW
+    close[which[near]] = True
+    sizes = windows + WINDOW
     lead_rows = np.flatnonzero(leads)
     lead_rows = lead_rows[np.argsort(which[lead_rows], kind="stable")]
     chosen = np.flatnonzero((count[inverse] > 1) | (parts > 1) | close)
@@ -295,7 +322,7 @@ def find_repeats(group: pa.Table) -> pa.Table:
     for own in np.split(chosen, edges[1:][np.diff(batch) > 0]):
         if not len(own):
             continue
-        symbols, begins = lay_out([strings[c] for c in own])
+        symbols, begins = lay_out([ids[c] for c in own])
         order = suffix_array(symbols, WINDOW)
         common = common_prefixes(symbols, begins, order, WINDOW)
         text = np.searchsorted(begins, order, "right") - 1
@@ -408,14 +435,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"),
-                       F.xxhash64(text).alias("tie"), text.alias("text"))
+                       F.xxhash64(text).alias("tie"), F.xxhash64(F.lit(WINDOW), text).alias("other"), text.alias("text"))
     blocks = materialize(rows.mapInArrow(_make_blocks, _BLOCK), "text-blocks")
     total = blocks.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0]
     shards = max(1, -(-(total or 0) // SHARD_BYTES))
     hashes = blocks.mapInArrow(_block_hashes, "h long, block long")
     shared = (hashes.withColumn("blocks", F.count("*").over(Window.partitionBy("h")).cast("int"))
               .where("blocks > 1").select("block", "h", "blocks"))
-    runs = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_extract(shards), _RUNS)
+    # Of the copies of a text all but the first are settled: (block, row as h, -1).
+    rows_of = blocks.select("block", F.posexplode(F.arrays_zip("ids", "ties", "others", "sizes")).alias("h", "r"))
+    rows_of = rows_of.where(F.col("r.sizes") >= WINDOW).select("block", F.col("h").cast("long").alias("h"), "r.*")
+    same = ["ties", "others", "sizes"]
+    first = rows_of.groupBy(*same).agg(F.min("ids").alias("low"), F.max("ids").alias("high")).where("low < high").drop("high")
+    copies = rows_of.join(first, same).where("ids > low").select("block", "h", F.lit(-1).alias("blocks"))
+    runs = blocks.groupBy("block").cogroup(shared.unionByName(copies).groupBy("block")).applyInArrow(_extract(shards), _RUNS)
     found = materialize(runs.groupBy("shard", "salt").applyInArrow(find_repeats, _REMOVED), "repeats")
     merged = found.where("h IS NOT NULL").groupBy("h", "part").applyInArrow(merge_shards, _REMOVED)
     removed = found.where("block IS NOT NULL").unionByName(merged).select("block", "data")
