@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.words import hash_strings, slices, words_of
 from tallyframe.session import materialize
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKETS = 512
 #: One row per block (bucket -1; data: codes, places: the bucket of each word, more:
 #: what ``describe`` says of each word) and one per block and bucket (data: words in

@@ -27,7 +27,7 @@ from tallyframe.llm.blocks import answer_words, code_blocks, finish_blocks, pack
 
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, n_tokens long, ids_sha256 string, text string"
-_OUT_BYTES = 16 << 20
+_OUT_BYTES = 8 << 20
 
 
 @functools.lru_cache(maxsize=2)

@@ -44,7 +44,7 @@ from tallyframe.llm.words import mix, slices
 from tallyframe.session import materialize
 
 WINDOW, GRAM = 100, 32
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 4 << 20
 #: An h that more blocks than this share is spread over several shards.
 BLOCKS_PER_SHARD = 256
