@@ -1,17 +1,21 @@
 """Ranks and running sums over huge groups, without one task per group.
 
 ``row_number() OVER (PARTITION BY key ORDER BY pos)`` puts a whole key into one
-task. Every order in this library is carried by a BIGINT position, so the key
-is cut into position buckets instead: a small table of per-bucket totals gives
-each bucket its offset, and the window then runs per (key, bucket).
+task. Here rows are range-partitioned by (keys, position) and kept with the
+number of their range; one total per key and range gives every range its offset,
+and windows run per (key, range). A key that holds a third of all rows spreads
+over a third of the ranges, however its positions are spaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_WIDTH = 100_000
+from tallyframe.session import materialize
 
 
 def with_row_order(df: DataFrame, name: str = "pos") -> DataFrame:
@@ -19,58 +23,60 @@ def with_row_order(df: DataFrame, name: str = "pos") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def _bucket(pos: str, width: int) -> Column:
-    return F.floor(F.col(pos) / F.lit(width)).cast("bigint")
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """Rows range-partitioned by ``order``, with their range's number ``_part``.
+
+    Written to the shared folder: the bounds of the ranges come from a sample, so
+    rows and offsets have to be taken from one and the same partitioning.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
-def bucket_offsets(df: DataFrame, keys: list[str], pos: str, total: Column,
-                   width: int = BUCKET_WIDTH) -> DataFrame:
-    """(keys, _bucket, _offset): the total of everything in earlier buckets.
+def range_offsets(placed: DataFrame, keys: list[str], total: Column) -> DataFrame:
+    """(_part, keys, _offset): the total of a key in all earlier ranges.
 
-    One row per non-empty bucket; the pre-aggregation runs map-side, so a key
-    holding a third of all rows costs its number of buckets, not its rows.
+    A key lies in neighbouring ranges, so there is about one row per key and one
+    per range; without keys it is one row per range.
     """
-    totals = df.groupBy(*keys, _bucket(pos, width).alias("_bucket")).agg(total.alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    return totals.select(*keys, "_bucket", "_total",
-                         F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-
-
-def rank_within(df: DataFrame, keys: list[str], pos: str, name: str = "rn",
-                width: int = BUCKET_WIDTH) -> DataFrame:
-    """Exact ``row_number`` per key by unique BIGINT ``pos``, bucket by bucket."""
-    offsets = bucket_offsets(df, keys, pos, F.count(F.lit(1)), width).drop("_total")
-    local = Window.partitionBy(*keys, "_bucket").orderBy(pos)
-    return (df.withColumn("_bucket", _bucket(pos, width))
-            .join(offsets, [*keys, "_bucket"])
-            .withColumn(name, F.col("_offset") + F.row_number().over(local))
-            .drop("_bucket", "_offset"))
-
-
-def first_within(df: DataFrame, keys: list[str], pos: str, n: int,
-                 width: int = BUCKET_WIDTH) -> DataFrame:
+    totals = placed.groupBy("_part", *keys).agg(total.alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("_part", *keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+
+
+def _with_offset(placed: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows beside the offset of their key and range; null keys are keys too."""
+    names = ["_part", *keys]
+    other = offsets.select(*[F.col(f"`{c}`").alias(f"_offset_{i}") for i, c in enumerate(names)], "_offset")
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"_offset_{i}")) for i, c in enumerate(names)])
+    return placed.join(other, same).drop(*[f"_offset_{i}" for i in range(len(names))])
+
+
+def rank_within(df: DataFrame, keys: list[str], pos: str, name: str = "rn") -> DataFrame:
+    """Exact ``row_number`` per key by unique ``pos``."""
+    placed = in_ranges(df, *keys, pos)
+    offsets = range_offsets(placed, keys, F.count(F.lit(1)))
+    local = Window.partitionBy("_part", *keys).orderBy(pos)
+    return (_with_offset(placed, offsets, keys)
+            .withColumn(name, F.col("_offset") + F.row_number().over(local)).drop("_part", "_offset"))
+
+
+def first_within(df: DataFrame, keys: list[str], pos: str, n: int) -> DataFrame:
     """The first ``n`` rows of every key by ``pos``, whatever ``n`` is.
 
-    Buckets beyond the quota are dropped before anything is ranked, so the
-    rows sorted are those returned plus at most one bucket per key.
+    Ranges beyond the quota are dropped before anything is ranked.
     """
-    offsets = bucket_offsets(df, keys, pos, F.count(F.lit(1)), width).where(
-        F.col("_offset") < n).drop("_total")
-    local = Window.partitionBy(*keys, "_bucket").orderBy(pos)
-    return (df.withColumn("_bucket", _bucket(pos, width)).join(offsets, [*keys, "_bucket"])
-            .withColumn("_rn", F.col("_offset") + F.row_number().over(local))
-            .where(F.col("_rn") <= n).drop("_bucket", "_offset", "_rn"))
-
-
-def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, name: str,
-                width: int = BUCKET_WIDTH) -> DataFrame:
-    """Cumulative ``value`` per key in ``pos`` order, bucket by bucket."""
-    valued = df.withColumn("_value", value)
-    offsets = bucket_offsets(valued, keys, pos, F.sum("_value"), width).drop("_total")
-    local = (Window.partitionBy(*keys, "_bucket").orderBy(pos)
+    placed = in_ranges(df, *keys, pos)
+    offsets = range_offsets(placed, keys, F.count(F.lit(1))).where(F.col("_offset") < n)
+    local = Window.partitionBy("_part", *keys).orderBy(pos)
+    return (_with_offset(placed, offsets, keys).withColumn("_rn", F.col("_offset") + F.row_number().over(local))
+            .where(F.col("_rn") <= n).drop("_part", "_offset", "_rn"))
+
+
+def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, name: str) -> DataFrame:
+    """Cumulative ``value`` per key in ``pos`` order."""
+    placed = in_ranges(df.withColumn("_value", value), *keys, pos)
+    offsets = range_offsets(placed, keys, F.sum("_value"))
+    local = (Window.partitionBy("_part", *keys).orderBy(pos)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (valued.withColumn("_bucket", _bucket(pos, width))
-            .join(offsets, [*keys, "_bucket"])
-            .withColumn(name, F.col("_offset") + F.sum("_value").over(local))
-            .drop("_bucket", "_offset", "_value"))
+    return (_with_offset(placed, offsets, keys)
+            .withColumn(name, F.col("_offset") + F.sum("_value").over(local)).drop("_part", "_offset", "_value"))

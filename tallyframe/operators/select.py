@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.ordering import bucket_offsets, first_within
+from tallyframe.operators.ordering import first_within
 
 
 def with_dataset_size(questions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -83,7 +83,6 @@ def require_sample_size(questions: DataFrame, n: int) -> None:
         raise ValueError(f"sample of {n} rows is larger than the source")
 
 
-def quota_totals(questions: DataFrame, keys: list[str], order: str = "index") -> DataFrame:
-    """Questions per key, read off the bucket totals."""
-    return (bucket_offsets(questions, keys, order, F.count(F.lit(1)))
-            .groupBy(*keys).agg(F.sum("_total").alias("questions")))
+def quota_totals(questions: DataFrame, keys: list[str]) -> DataFrame:
+    """Questions per key."""
+    return questions.groupBy(*keys).agg(F.count(F.lit(1)).alias("questions"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.ordering import BUCKET_WIDTH
+from tallyframe.operators.ordering import in_ranges, range_offsets
 
 QUESTION_FIELDS = ("index", "db_id", "sql_complexity", "question_style", "question",
                    "external_knowledge", "cot", "sql")
@@ -46,28 +46,18 @@ def locality_order(questions: DataFrame, partitions: int | None = None) -> DataF
     return ranged.sortWithinPartitions(*keys)
 
 
-def mini_batches(questions: DataFrame, size: int, width: int = BUCKET_WIDTH) -> DataFrame:
+def mini_batches(questions: DataFrame, size: int) -> DataFrame:
     """Add ``batch`` = position in (db_id, index) order // size.
 
-    Positions come from counts per (db_id, index bucket): the one global window
-    runs over that small count table, never over the questions.
+    Positions come from one count per range of that order; no window sees more
+    than a range.
     """
-    bucketed = questions.withColumn("_bucket", F.floor(F.col("index") / width).cast("bigint"))
-    counts = bucketed.groupBy("db_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # Datasets first, then buckets inside a dataset: two small windows, the
-    # global one over one row per dataset.
-    per_db = counts.groupBy("db_id").agg(F.sum("_n").alias("_db_n"))
-    earlier_db = Window.orderBy("db_id").rowsBetween(Window.unboundedPreceding, -1)
-    db_start = per_db.select("db_id", F.coalesce(F.sum("_db_n").over(earlier_db), F.lit(0)).alias("_db_start"))
-    earlier = Window.partitionBy("db_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (counts.withColumn("_in_db", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-              .join(db_start, "db_id")
-              .select("db_id", "_bucket", (F.col("_db_start") + F.col("_in_db")).alias("_start")))
-    local = Window.partitionBy("db_id", "_bucket").orderBy("index")
-    return (bucketed.join(starts, ["db_id", "_bucket"])
-            .withColumn("batch", F.floor((F.col("_start") + F.row_number().over(local) - 1)
-                                         / F.lit(size)).cast("bigint"))
-            .drop("_bucket", "_start"))
+    placed = in_ranges(questions, "db_id", "index")
+    starts = range_offsets(placed, [], F.count(F.lit(1)))
+    local = Window.partitionBy("_part").orderBy("db_id", "index")
+    return (placed.join(starts, "_part")
+            .withColumn("batch", F.floor((F.col("_offset") + F.row_number().over(local) - 1) / F.lit(size)).cast("bigint"))
+            .drop("_part", "_offset"))
 
 
 def latest_per_key(rows: DataFrame, key: str, version: str) -> DataFrame:

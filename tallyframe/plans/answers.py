@@ -91,7 +91,7 @@ def locality(spark, sf_dir):
 @query("mini_batches", oracle=f"""
 WITH {BASE} SELECT "index", db_id, (row_number() OVER (ORDER BY db_id, "index") - 1) // 20 AS batch FROM questions""")
 def batches(spark, sf_dir):
-    return mini_batches(questions(spark, sf_dir).select("index", "db_id"), 20, width=101)
+    return mini_batches(questions(spark, sf_dir).select("index", "db_id"), 20)
 
 
 ATTACHED = """

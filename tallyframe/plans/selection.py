@@ -93,15 +93,15 @@ def sample(spark, sf_dir):
 @query("rank_within_dataset", oracle=f"""
 WITH {BASE} SELECT "index", db_id, row_number() OVER (PARTITION BY db_id ORDER BY "index") AS rn FROM questions""")
 def rank_within_dataset(spark, sf_dir):
-    """Positions inside each dataset, bucket by bucket."""
-    return rank_within(_brief(questions(spark, sf_dir)), ["db_id"], "index", width=97)
+    """Positions inside each dataset, range by range."""
+    return rank_within(_brief(questions(spark, sf_dir)), ["db_id"], "index")
 
 
 @query("first_within_dataset", oracle=f"""
 WITH {BASE} SELECT "index", db_id FROM questions
 QUALIFY row_number() OVER (PARTITION BY db_id ORDER BY "index") <= 30""")
 def first_within_dataset(spark, sf_dir):
-    return first_within(_brief(questions(spark, sf_dir)), ["db_id"], "index", 30, width=97)
+    return first_within(_brief(questions(spark, sf_dir)), ["db_id"], "index", 30)
 
 
 @query("questions_per_dataset", oracle=f"""

@@ -189,7 +189,7 @@ SELECT l_suppkey, l_orderkey, sum(n) OVER (PARTITION BY l_suppkey ORDER BY l_ord
 FROM (SELECT l_suppkey, l_orderkey, count(*) AS n FROM lineitem GROUP BY 1, 2)""")
 def wk_cumulative_per_group(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return running_sum(items, ["l_suppkey"], "l_orderkey", F.col("n"), "so_far", width=5000).select(
+    return running_sum(items, ["l_suppkey"], "l_orderkey", F.col("n"), "so_far").select(
         "l_suppkey", "l_orderkey", "so_far")
 
 
