@@ -61,8 +61,10 @@ def prob_min_hash(hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray,
         np.minimum.at(first, at[early], time[early])
         won = early[first[at[early]] == time[early]]
         who[at[won]] = h[won]
-        latest = first.reshape(texts, registers).max(axis=1)
-        going = time < latest[text]
+        new = np.ones(len(text), bool)
+        new[1:] = text[1:] != text[:-1]  # texts stay in order
+        latest = first.reshape(texts, registers)[text[new]].max(axis=1)
+        going = time < latest[np.cumsum(new) - 1]
         h, w, time, text = h[going], w[going], time[going], text[going]
     return who.reshape(texts, registers)
 
