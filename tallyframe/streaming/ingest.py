@@ -20,13 +20,18 @@ def batch_output_stream(spark: SparkSession, folder: str, files_per_batch: int =
     return lines.select("value", split_order().alias("_split"))
 
 
-def first_per_id(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per id over the life of the stream.
+def first_per_id(stream: DataFrame, keys: list[str], time_col: str | None = None,
+                 within: str | None = None) -> DataFrame:
+    """One row per id over the life of the stream, or ``within`` a delay of ``time_col``.
 
     The state holds one small entry per distinct id and is spread over the
-    state partitions by id, so repeats of a hot id cost a lookup each.
+    state partitions by id, so repeats of a hot id cost a lookup each. With a
+    delay, entries older than the watermark are dropped and the state stays
+    bounded; repeats must then come no later than that.
     """
-    return stream.dropDuplicates(keys)
+    if time_col is None:
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark(time_col, within or "1 hour").dropDuplicatesWithinWatermark(keys)
 
 
 def merge_micro_batch(lines: DataFrame, epoch: int, questions: DataFrame, root: str,

@@ -165,3 +165,16 @@ def test_a_broken_store_is_not_an_empty_one(spark, tmp_path):
     assert records.read_answer_array(spark, str(tmp_path / "none.json")).count() == 0
     with pytest.raises(Exception):
         records.read_answer_array(spark, "nosuchscheme://x/y.json").count()
+
+
+def test_stream_dedupe_with_bounded_state(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyframe.streaming.ingest import first_per_id
+    rows = spark.createDataFrame([(i % 5, f"2024-01-01 00:{i % 50:02d}:00") for i in range(100)], "id int, at string")
+    rows.withColumn("at", F.to_timestamp("at")).write.parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    (first_per_id(stream, ["id"], "at", "2 hours").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+     .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(5))
