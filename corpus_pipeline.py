@@ -23,8 +23,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; base failures go."""
-    whole = docs.select(F.struct("*").alias("_doc"), "text")  # so that no column of the input can clash
-    return quality.quality_rules(whole).where("kept").select("_doc.*")
+    return quality.keep_good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,15 +168,29 @@ def quality_rules(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     return judge(materialize(counted.select(*[F.col(f"`{c}`") for c in (*carried, *COUNTS)]), "quality-counts"))
 
 
-def judge(counted: DataFrame) -> DataFrame:
-    """Fits the votes of a counted table and adds the verdicts."""
-    votes = rule_votes()
-    names = [f"v{i}" for i in range(len(votes))]
-    rows = (counted.select(*[v.alias(n) for v, n in zip(votes, names)])
+def fit(counted: DataFrame) -> VoteModel:
+    """The vote model of a counted table, from the number of documents per vote pattern."""
+    names = [f"v{i}" for i in range(len(RULES))]
+    rows = (counted.select(*[v.alias(n) for v, n in zip(rule_votes(), names)])
             .groupBy(*names).agg(F.count("*").alias("n")).collect())
-    model = fit_votes(sorted((tuple(r[n] for n in names), r["n"]) for r in rows), len(votes))
-    odds = model.log_odds(votes)
+    return fit_votes(sorted((tuple(r[n] for n in names), r["n"]) for r in rows), len(names))
+
+
+def judge(counted: DataFrame, model: VoteModel | None = None) -> DataFrame:
+    """Adds the verdicts to a counted table; the model is fitted to it unless given."""
+    model = model or fit(counted)
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     return (counted.withColumn("base_failed", failed)
-            .withColumn("posterior", 1 / (1 + F.exp(-odds)))
+            .withColumn("posterior", 1 / (1 + F.exp(-model.log_odds(rule_votes()))))
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that are kept, all their columns as they were.
+
+    Texts are counted once to fit the model and once to apply it: nothing is
+    written or shuffled but the vote patterns.
+    """
+    whole = docs.select(F.struct("*").alias("_doc"), F.col(f"`{text_col}`").alias("_text"))  # no column can clash
+    counted = text_counts(whole, "_text")
+    return judge(counted, fit(counted)).where("kept").select("_doc.*")
