@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from check_queries import compare, connect
 
 #: Queries that pair their rows with one total, one price row or one threshold.
-ONE_ROW_SIDES: set[str] = set()
+ONE_ROW_SIDES = {"cost_scenarios", "cost_active", "profile_counts", "profile_document", "prompt_guidelines"}
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = {name: fn for name, fn in entry.queries().items() if name not in entry.LLM_QUERIES}
 ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
