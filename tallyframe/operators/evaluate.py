@@ -15,7 +15,7 @@ from pyspark.errors import (AnalysisException, ArithmeticException, ArrayIndexOu
 from tallyframe.functions.values import decode_result, result_rows, typed_cell
 from tallyframe.functions.text import col, let
 from tallyframe.operators.compare import compare_rows, is_order_sensitive, preview
-from tallyframe.session import shared_dir
+from tallyframe.session import materialize, shared_dir
 
 CELL_DDL = "struct<is_null: boolean, text: string, is_num: boolean, num: double>"
 ROWS_DDL = f"array<array<{CELL_DDL}>>"
@@ -204,7 +204,9 @@ def mismatch_preview(details: DataFrame, n: int = 10, rows: int = 3,
     of each are gathered.
     """
     shown = details.where(F.col("status") == "wrong").orderBy("index").limit(n)
-    if gold_rows is None:
+    if gold_rows is not None:
+        shown = materialize(shown, "wrong-answers")  # n rows, looked up twice below
+    else:
         return shown.select("index", "reason", preview(F.col("gold"), rows).alias("expected"),
                             preview(F.col("predicted"), rows).alias("predicted"))
     asked = gold_rows.join(F.broadcast(shown.select("gold_id").distinct()), "gold_id")  # at most n keys

@@ -235,10 +235,10 @@ def eval_preview(spark, sf_dir):
     asked = gold_questions(spark).where("index IN (2, 3, 5)").withColumn("sql", F.regexp_replace(
         F.regexp_replace("sql", "LIMIT 5", "LIMIT 2"), "GROUP BY 1;", "GROUP BY 1 ORDER BY 1;"))
     twin = spark.createDataFrame([(6, "warehouse", "SELECT 'a' AS x, 1 AS x")], asked.schema)
-    answers = worked_answers(spark, sf_dir, top=2).where("index IN (2, 3, 5)").unionByName(
-        table(spark, sf_dir, "orders").agg(F.lit(6).cast("bigint").alias("index"), F.lit('[["b",1]]').alias("result")))
+    answers = materialize(worked_answers(spark, sf_dir, top=2).where("index IN (2, 3, 5)").unionByName(
+        table(spark, sf_dir, "orders").agg(F.lit(6).cast("bigint").alias("index"), F.lit('[["b",1]]').alias("result"))), "answers")
     asked = asked.unionByName(twin)
-    rows, status = execute_gold(spark, asked, _register(sf_dir))
+    rows, status = execute_gold(spark, asked, _register(spark, sf_dir))
     shown = mismatch_preview(evaluate_run(answers, asked, rows, status), 10, 2, rows)
 
     def first_cells(side: str) -> Column:
@@ -297,10 +297,13 @@ def gold_questions(spark) -> DataFrame:
     return spark.createDataFrame(rows, "index bigint, db_id string, sql string")
 
 
-def _register(sf_dir: str):
+def _register(spark: SparkSession, sf_dir: str):
+    """Registers the tables as views; their schemas are read once for all statements."""
+    schemas = {name: table(spark, sf_dir, name).schema for name in TABLES}
+
     def register(session: SparkSession, db_id: str) -> None:
-        for name in TABLES:
-            session.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        for name, schema in schemas.items():
+            session.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return register
 
 
@@ -315,7 +318,7 @@ SELECT * FROM (
 def gold_execution(spark, sf_dir):
     """The statements' rows as cells, each statement run once."""
     asked = gold_questions(spark)
-    rows, _ = execute_gold(spark, asked, _register(sf_dir))
+    rows, _ = execute_gold(spark, asked, _register(spark, sf_dir))
     ids = asked.select("index", gold_key(F.col("db_id"), F.col("sql")).alias("gold_id"))
     return rows.join(F.broadcast(ids), "gold_id").select(
         "index", F.col("cells")[0]["text"].alias("key"),
@@ -328,7 +331,7 @@ WHERE (SELECT count(*) FROM region) > 0""")
 def gold_status(spark, sf_dir):
     """Which statements failed; a command fails and changes nothing for the others."""
     asked = gold_questions(spark)
-    _, status = execute_gold(spark, asked, _register(sf_dir))
+    _, status = execute_gold(spark, asked, _register(spark, sf_dir))
     ids = asked.select("index", gold_key(F.col("db_id"), F.col("sql")).alias("gold_id"))
     return ids.join(status, "gold_id").select("index", F.col("error").isNotNull().alias("failed"), "dialect_risk")
 
@@ -385,6 +388,6 @@ def evaluation_run(spark, sf_dir):
     """
     answers = materialize(worked_answers(spark, sf_dir), "answers")
     asked = gold_questions(spark)
-    rows, status = execute_gold(spark, asked, _register(sf_dir))
+    rows, status = execute_gold(spark, asked, _register(spark, sf_dir))
     return evaluate_run(answers, asked, rows, status).select(
         "index", "status", F.regexp_replace("reason", "(?s):.*", "").alias("reason"))
