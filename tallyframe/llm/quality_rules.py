@@ -192,5 +192,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     written or shuffled but the vote patterns.
     """
     whole = docs.select(F.struct("*").alias("_doc"), F.col(f"`{text_col}`").alias("_text"))  # no column can clash
-    counted = text_counts(whole, "_text")
-    return judge(counted, fit(counted)).where("kept").select("_doc.*")
+    # The row number keeps the filter above the counts; pushed below them it would
+    # count every text once for each place where the verdict names a count.
+    counted = text_counts(whole, "_text").withColumn("_row", F.monotonically_increasing_id())
+    return judge(counted, fit(counted.drop("_row"))).where("kept AND _row >= 0").select("_doc.*")
