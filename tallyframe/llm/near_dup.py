@@ -1,11 +1,12 @@
 """Near-duplicates by ProbMinHash, banding and exact verification.
 
-A document is its distinct five-word shingles, lower-cased, weighted by
-1 + ln(count). Each shingle is a Poisson process whose rate is its weight: its
+A document is the set of its five-word shingles, lower-cased; how often one occurs
+does not count. Each shingle is a Poisson process whose rate is its weight: its
 arrivals, drawn from its hash, fall on random registers, and a register keeps the
 shingle that arrived first. Two registers agree with the probability Jaccard
-similarity of the documents. A shingle stops as soon as its next arrival is later
-than every register's, so most draw only a few.
+similarity of the documents, which for equal weights is the Jaccard similarity of
+their sets, the measure that decides. A shingle stops as soon as its next arrival
+is later than every register's, so most draw only a few.
 
 Texts with the same words are one node. Registers are banded; documents that
 share a band of any kind form a candidate group, found as connected components,
@@ -69,15 +70,11 @@ def prob_min_hash(hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray,
     return who.reshape(texts, registers)
 
 
-def _weights(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.log(counts)
-
-
 def _sketch(batches) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", _SLICE):
         words = words_of(part.column("text"))
-        h, counts, offsets = distinct_shingles(words)
-        who = prob_min_hash(h, _weights(counts), offsets)
+        h, _, offsets = distinct_shingles(words)
+        who = prob_min_hash(h, np.ones(len(h)), offsets)
         keys = np.zeros((len(who), BANDS), np.uint64)
         for row in range(ROWS):
             keys = mix(keys * np.uint64(31) + who[:, row::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -91,8 +88,8 @@ def _sketch(batches) -> Iterator[pa.RecordBatch]:
 
 def _shingle_rows(batches) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", _SLICE):
-        h, counts, offsets = distinct_shingles(words_of(part.column("text")))
-        who = (mix(prob_min_hash(h, _weights(counts), offsets)) & np.uint64(0xFFFF)).astype(np.uint16)
+        h, _, offsets = distinct_shingles(words_of(part.column("text")))
+        who = (mix(prob_min_hash(h, np.ones(len(h)), offsets)) & np.uint64(0xFFFF)).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), part.column("grp"), part.column("size"),
              pa.array([h[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:])], pa.binary()),

@@ -50,6 +50,15 @@ def test_large_groups_are_compared_in_blocks(spark):
     assert got == classes_by_brute_force(rows)
 
 
+def test_repeated_passages_do_not_hide_equal_shingle_sets(spark):
+    cycle, rest = prose(100, 31) + " ", prose(20, 32)
+    rows = [(1, cycle * 2 + rest), (2, cycle * 1000 + rest), (3, rest * 1 + " " + prose(180, 33)), (4, (rest + " ") * 1000 + rest + " " + prose(180, 33))]
+    want = classes_by_brute_force(rows)
+    assert want[2] == 1
+    got = {r.doc_id: r.class_id for r in n.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     h = np.unique(rng.integers(1, 1 << 48, 400).astype(np.uint64))
