@@ -27,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest doc_id."""
+    """Of every group of near-duplicates the document with the smallest doc_id; rows of one or no id are told apart."""
     return near_dup.keep_one(docs)
 
 
@@ -43,8 +43,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold no benchmark item; rows of one or no id are judged one by one."""
+    return leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), per_row=True)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.words import distinct_shingles, shingles_of, slices, words_of
+from tallyframe.llm.words import distinct_shingles, row_key, shingles_of, slices, words_of
 
 THRESHOLD = 0.8
 ITEM_BLOCK = 2_000_000
@@ -120,6 +120,13 @@ def find_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_
                item_block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for each item found in a document."""
     texts = docs.select(F.col(f"`{doc_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _find(texts, items, item_col, threshold, item_block)
+
+
+def _find(texts: DataFrame, items: DataFrame, item_col: str = "item_id", threshold: float = THRESHOLD,
+          item_block: int = ITEM_BLOCK) -> DataFrame:
+    """``find_items`` in texts (doc_id, text); doc_id may be of any type."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
     shingled = (items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col("text")).distinct()
                 .mapInArrow(_shingle_rows, "item_id long, hashes binary, n long"))
     total = shingled.agg(F.sum("n")).first()[0] or 0
@@ -128,12 +135,15 @@ def find_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_
     for b in range(blocks):
         rows = shingled.where(F.pmod(F.xxhash64("hashes"), F.lit(blocks)) == b).collect()
         match = _matcher([r.item_id for r in rows], [np.frombuffer(r.hashes, np.uint64) for r in rows], threshold)
-        found = texts.mapInArrow(match, "doc_id long, item_id long, n_shared long, n_item long")
+        found = texts.mapInArrow(match, f"doc_id {kind}, item_id long, n_shared long, n_item long")
         out = found if out is None else out.unionAll(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    found = find_items(docs, items, doc_col, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[doc_col].cast("long").eqNullSafe(F.col("_found")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
+                  per_row: bool = False, **options) -> DataFrame:
+    """The documents that hold no benchmark item; an id goes with all its rows, with ``per_row`` only the rows that hold one."""
+    key = row_key(doc_col, text_col) if per_row else F.col(f"`{doc_col}`").cast("long")
+    found = _find(docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), items, **options)
+    found = found.select(F.col("doc_id").alias("_found")).distinct()
+    return docs.withColumn("_row", key).join(found, F.col("_row").eqNullSafe(F.col("_found")), "left_anti").drop("_row")

@@ -18,8 +18,9 @@ in blocks against blocks. Classes are the components of the verified links.
 
 Defined results: null and empty texts have no words and are copies of each
 other; a text of one to four words has one shingle, all its words; rows that
-share a doc_id are one document; a null doc_id is a document of its own kind and
-comes back as null; other columns are ignored.
+share a doc_id and their words are one document, different words under one doc_id
+are documents of their own; a null doc_id is an id like any other, comes before
+all others and back as null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components
-from tallyframe.llm.words import distinct_shingles, mix, slices, words_of
+from tallyframe.llm.words import distinct_shingles, mix, row_key, slices, words_of
 from tallyframe.session import materialize
 
 THRESHOLD = 0.8
@@ -41,8 +42,6 @@ BANDS, ROWS = 30, 6
 REGISTERS = BANDS * ROWS
 BLOCK = 1000
 _SLICE = 16 << 20
-#: Stands for a null doc_id inside the operator.
-_NULL_ID = -(1 << 63)
 _DRAW, _CHOOSE, _WORD = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, (1 << 64) - 1
 
 
@@ -83,7 +82,8 @@ def _sketch(batches) -> Iterator[pa.RecordBatch]:
         same = [xxhash.xxh3_128_digest(code[a:z].tobytes()) for a, z in zip(words.offsets[:-1], words.offsets[1:])]
         flat = pa.array(keys[~empty].ravel().view(np.int64))
         bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~empty) * BANDS]), pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(same, pa.binary()), bands], ["doc_id", "same", "bands"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(same, pa.binary()), bands],
+                                         ["doc_id", "row", "same", "bands"])
 
 
 def _shingle_rows(batches) -> Iterator[pa.RecordBatch]:
@@ -91,9 +91,9 @@ def _shingle_rows(batches) -> Iterator[pa.RecordBatch]:
         h, _, offsets = distinct_shingles(words_of(part.column("text")))
         who = (mix(prob_min_hash(h, np.ones(len(h)), offsets)) & np.uint64(0xFFFF)).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("grp"), part.column("size"),
+            [part.column("node"), part.column("grp"), part.column("size"),
              pa.array([h[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:])], pa.binary()),
-             pa.array([row.tobytes() for row in who], pa.binary())], ["doc_id", "grp", "size", "hashes", "registers"])
+             pa.array([row.tobytes() for row in who], pa.binary())], ["node", "grp", "size", "hashes", "registers"])
 
 
 def _verifier(threshold: float):
@@ -101,7 +101,7 @@ def _verifier(threshold: float):
 
     def verify(group: pa.Table) -> pa.Table:
         """Verified links that join two parts of a block, or of two blocks."""
-        node, side = group.column("doc_id").to_numpy(), group.column("side").to_numpy()
+        node, side = group.column("node").to_numpy(), group.column("side").to_numpy()
         first, second = group.column("first")[0].as_py(), group.column("second")[0].as_py()
         sets = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
         registers = np.stack([np.frombuffer(x, np.uint16) for x in group.column("registers").to_pylist()])
@@ -133,41 +133,53 @@ def _verifier(threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                    block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id): one row per document; the class is its smallest doc_id."""
-    texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("doc_id"),
-                        F.col(f"`{text_col}`").alias("text"))
-    sketches = materialize(texts.mapInArrow(_sketch, "doc_id long, same binary, bands array<long>"), "sketches")
-    # Texts with the same words are one node: the smallest of their ids.
-    nodes = sketches.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    copies = (sketches.select("doc_id", "same").join(nodes.where("n > 1"), "same")
-              .where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    single = sketches.groupBy("same").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("s")).select("s.*")
-    banded = materialize(single.select("doc_id", F.explode("bands").alias("band")), "bands")
-    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top")
-    stars = (banded.join(buckets.select("band", "hub"), "band").where("doc_id <> hub")
-             .select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
+def _classes(texts: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, same) of every row of texts (doc_id, text, row), and (same, class_id, class_row) of their distinct words."""
+    sketches = materialize(texts.mapInArrow(_sketch, "doc_id long, row binary, same binary, bands array<long>"), "sketches")
+    # Texts with the same words are one node, the row with the smallest id stands for it.
+    nodes = materialize(sketches.groupBy("same").agg(F.min(F.struct("doc_id", "row", "bands")).alias("s"))
+                        .select("same", "s.*", F.monotonically_increasing_id().alias("node")), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
+    stars = (banded.join(buckets.select("band", "hub"), "band").where("node <> hub")
+             .select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     groups = components(stars)
     sized = groups.join(groups.groupBy("label").agg(F.count("*").alias("size")), "label").select(
-        F.col("node").alias("doc_id"), F.col("label").alias("grp"), "size")
-    members = texts.join(sized.hint("merge"), "doc_id")  # the same plan at every size
-    shingled = members.mapInArrow(_shingle_rows, "doc_id long, grp long, size long, hashes binary, registers binary")
+        "node", F.col("label").alias("grp"), "size")
+    chosen = nodes.select("node", "row").join(sized, "node").select("row", "node", "grp", "size")
+    # The same plan at every size; rows that repeat id and text come once.
+    members = texts.select("row", "text").join(chosen.hint("merge"), "row").dropDuplicates(["row"])
+    shingled = members.mapInArrow(_shingle_rows, "node long, grp long, size long, hashes binary, registers binary")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    side = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    side = F.pmod(F.xxhash64("node"), blocks).cast("int")
     placed = shingled.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("grp", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"),
-                           "doc_id", "side", "hashes", "registers")
-    links = placed.groupBy("grp", "first", "second").applyInArrow(_verifier(threshold), "a long, b long")
-    labels = components(links.unionByName(copies))
-    classes = (sketches.select("doc_id").distinct().join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-               .select("doc_id", F.coalesce("label", "doc_id").alias("class_id")))
-    return classes.select(*[F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c) for c in ("doc_id", "class_id")])
+                           "node", "side", "hashes", "registers")
+    labels = components(placed.groupBy("grp", "first", "second").applyInArrow(_verifier(threshold), "a long, b long"))
+    labelled = nodes.join(labels, "node", "left").select("same", "doc_id", "row", F.coalesce("label", "node").alias("label"))
+    heads = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("head"))
+    classes = labelled.join(heads, "label").select(
+        "same", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("class_row"))
+    return sketches.select("doc_id", "same"), classes
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                       row_key(id_col, text_col).alias("row"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                    block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, class_row): one row per document; the class is its smallest doc_id, and
+    class_row tells classes apart whose smallest doc_id is the same."""
+    rows, classes = _classes(_keyed(docs, id_col, text_col), threshold, block)
+    return rows.distinct().join(classes, "same").select("doc_id", "class_id", "class_row")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+             block: int = BLOCK) -> DataFrame:
     """The documents that stay: of every class, the one with the smallest doc_id."""
-    heads = near_duplicates(docs, id_col, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("_head"))
-    key = F.col(f"`{id_col}`").cast("long")
-    return docs.join(heads, key.eqNullSafe(F.col("_head")), "left_semi").dropDuplicates([id_col])
+    _, classes = _classes(_keyed(docs, id_col, text_col), threshold, block)
+    heads = classes.select(F.col("class_row").alias("_head")).distinct()
+    return (docs.withColumn("_row", row_key(id_col, text_col)).join(heads, F.col("_row") == F.col("_head"), "left_semi")
+            .dropDuplicates(["_row"]).drop("_row"))

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 MAX_TEXTS = 1 << 16
@@ -33,6 +35,12 @@ class Words:
         return np.diff(self.offsets)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and text: rows of one or no id are told apart by their texts."""
+    doc_id, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (id_col, text_col))
+    return F.unhex(F.md5(F.concat(doc_id, F.lit(":"), text).cast("binary")))
+
+
 def slices(batches, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of a slice stay near ``max_bytes``."""
     for batch in batches:

@@ -45,6 +45,12 @@ def test_leaks_go_and_clean_documents_stay(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in DOCS if i not in leaking), key=str)
 
 
+def test_clean_rows_stay_beside_a_leak_of_the_same_id(spark):
+    rows = [(None, prose(30, 50)), (None, prose(40, 90)), (7, prose(30, 50) + " tail"), (7, prose(40, 91)), (7, None)]
+    kept = d.decontaminate(frame(spark, rows), spark.createDataFrame(ITEMS, "item_id long, text string"), per_row=True)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def test_empty_tables(spark):
     assert found(spark, items=[]) == [] and found(spark, docs=[]) == []
 

@@ -80,6 +80,18 @@ def test_one_of_each_class_stays(spark):
     assert sorted(kept, key=order) == sorted(set(want.values()), key=order)
 
 
+def test_rows_of_one_or_no_id_are_told_apart(spark):
+    one, two = prose(80, 41), prose(80, 42)
+    rows = [(None, one), (None, two), (None, prose(80, 43)), (None, prose(80, 43)), (5, one + " more"), (9, two + " more"),
+            (7, prose(80, 44)), (7, prose(80, 45)), (7, prose(80, 45).upper())]
+    kept = [(r.doc_id, r.text.lower()) for r in n.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, one), (None, two), (None, prose(80, 43)), (7, prose(80, 44)), (7, prose(80, 45))], key=str)
+    classes = [(r.doc_id, r.class_id, r.class_row) for r in n.near_duplicates(frame(spark, rows)).collect()]
+    assert len(classes) == 7 and len({c for *_, c in classes}) == 5
+    of = {i: c for i, _, c in classes}
+    assert of[5] != of[9]
+
+
 def test_components_of_paths_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

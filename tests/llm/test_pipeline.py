@@ -63,6 +63,13 @@ def test_suffix_stage_keeps_other_columns(spark):
     assert "end é" in got[2].text and len(got[2].text) < 20 and got[1].lang == "en" and got[1].block == "c"
 
 
+def test_leaks_take_no_clean_row_of_their_id_along(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = frame(spark, [(None, leak), (None, prose(60, 9)), (4, "see " + leak), (4, prose(60, 10))])
+    got = {(r.doc_id, r.text) for r in p.decontamination_stage(spark, docs, SF).collect()}
+    assert got == {(None, prose(60, 9)), (4, prose(60, 10))}
+
+
 def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in p.STAGES:
