@@ -56,11 +56,15 @@ _PAIR = ("filter(array(named_struct('role', 'system', 'text', {system}), "
          "t -> t.text IS NOT NULL OR t.role <> 'system')")
 _NAMED = ("transform({%s}, m -> named_struct('role', CASE m.%s WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' "
           "ELSE m.%s END, 'text', m.%s))")
+#: A system text beside the turns leads them, unless they hold it themselves.
+_LED = ("transform(array(%s), t -> concat(filter(array(named_struct('role', 'system', 'text', {system})), "
+        "s -> s.text IS NOT NULL AND NOT coalesce(exists(t, x -> x.role = 'system' AND x.text = s.text), false)), t))[0]")
 MAPPINGS = (
     Mapping("turn_rows", ("conv_id", "turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
-    Mapping("messages", ("messages[].role", "messages[].content"), turns=_NAMED % ("messages", "role", "role", "content")),
-    Mapping("from_value", ("conversations[].from", "conversations[].value"),
-            turns=_NAMED % ("conversations", "from", "from", "value")),
+    Mapping("messages", ("messages[].role", "messages[].content"), ("system",),
+            turns=_LED % (_NAMED % ("messages", "role", "role", "content"))),
+    Mapping("from_value", ("conversations[].from", "conversations[].value"), ("system",),
+            turns=_LED % (_NAMED % ("conversations", "from", "from", "value"))),
     Mapping("instruction", ("instruction", "output"), ("input", "system"),
             turns=_PAIR % ("concat_ws('\\n\\n', {instruction}, nullif({input}, ''))", "{output}")),
     Mapping("prompt_completion", ("prompt", "completion"), ("system",), turns=_PAIR % ("{prompt}", "{completion}")),
@@ -125,23 +129,38 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapp
                     .alias("turns")))
 
 
+def _has(path: str) -> Column:
+    """Whether a record has the path; one inside an array counts if any element has it."""
+    head, _, field = path.partition("[].")
+    if not field:
+        return F.try_variant_get("_record", f"$.{path}", "variant").isNotNull()
+    return F.exists(F.try_variant_get("_record", f"$.{head}", "array<variant>"),
+                    lambda m: F.try_variant_get(m, f"$.{field}", "variant").isNotNull())
+
+
+def _elements(name: str, fields: list[str]) -> str:
+    """SQL for an array of a record, each element read by itself."""
+    pairs = ", ".join(f"'{f}', try_variant_get(e, '$.{f}', 'string')" for f in fields)
+    return f"transform(try_variant_get(_record, '$.{name}', 'array<variant>'), e -> named_struct({pairs}))"
+
+
 def canonical_records(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Adds ``fingerprint``, ``layout`` and ``turns`` to records of mixed layouts, given as JSON text."""
     whole = [m for m in mappings if not m.rows]
     record = F.try_parse_json(F.col(f"`{json_col}`"))
     parsed = df.withColumn("_record", record)
-    present = F.filter(F.array(*[
-        F.when(F.try_variant_get("_record", "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p))
-        for p in known_paths(tuple(whole))]), lambda p: p.isNotNull())
-    parsed = parsed.withColumn("fingerprint", F.sha2(F.array_join(present, "\n"), 256))
+    present = F.filter(F.array(*[F.when(_has(p), F.lit(p)) for p in known_paths(tuple(whole))]), lambda p: p.isNotNull())
+    parsed = parsed.withColumn("_present", present)
+    parsed = parsed.withColumn("fingerprint", F.sha2(F.array_join("_present", "\n"), 256))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for code, (m, paths) in registry(tuple(whole)).items():
-        kinds = {p.partition("[")[0]: f"array<struct<{','.join(f'`{q.partition('.')[2]}`:string' for q in m.paths)}>>"
-                 if "[" in p else "string" for p in m.paths + m.optional}
-        sql = _turns_sql(m, paths, lambda f, kinds=kinds: f"try_variant_get(_record, '$.{f}', '{kinds[f]}')")
-        chosen = F.col("fingerprint") == code
+    # As for tables, the largest complete layout counts: it is the last one wrapped around the others.
+    for m, paths in sorted(registry(tuple(whole)).values(), key=lambda w: (len(w[1]), w[0].name)):
+        lists = {p.partition("[")[0]: [q.partition(".")[2] for q in m.paths if q.startswith(p.partition(".")[0] + ".")]
+                 for p in m.paths if "[" in p}
+        sql = _turns_sql(m, paths, lambda f, lists=lists: _elements(f, lists[f]) if f in lists else f"try_variant_get(_record, '$.{f}', 'string')")
+        chosen = F.size(F.array_except(F.array(*map(F.lit, sorted(paths))), "_present")) == 0
         layout, turns = F.when(chosen, F.lit(m.name)).otherwise(layout), F.when(chosen, F.expr(sql)).otherwise(turns)
-    return parsed.withColumns({"layout": layout, "turns": turns}).drop("_record")
+    return parsed.withColumns({"layout": layout, "turns": turns}).drop("_record", "_present")
 
 
 def escape(text: Column) -> Column:

@@ -71,5 +71,20 @@ def test_records_of_mixed_layouts(spark):
         7: ("from_value", [("assistant", "g")]), 8: ("question_answer", [("system", "s"), ("user", "q"), ("assistant", "a")])}
 
 
+def test_extra_known_fields_and_gaps_lose_no_record(spark):
+    rows = [(1, '{"prompt":"p","messages":[{"role":"user","content":"u"},{"role":"assistant","content":"v"}]}'),
+            (2, '{"system":"s","conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}'),
+            (3, '{"messages":[{"role":"user"},{"role":"assistant","content":"v"}]}'),
+            (4, '{"system":"s","messages":[{"role":"system","content":"s"},{"role":"user","content":"u"}]}'),
+            (5, '{"prompt":"p","completion":"c","input":"x","question":"q"}'), (6, '{"messages":["x",{"role":"user","content":"u"}]}'),
+            (7, '{"prompt":"p","messages":[{"role":"user"}]}')]
+    got = {r.id: (r.layout, [tuple(t) for t in r.turns] if r.turns is not None else None)
+           for r in chat.canonical_records(spark.createDataFrame(rows, "id long, body string"), "body").collect()}
+    assert got == {
+        1: ("messages", [("user", "u"), ("assistant", "v")]), 2: ("from_value", [("system", "s"), ("user", "a"), ("assistant", "b")]),
+        3: ("messages", [("user", None), ("assistant", "v")]), 4: ("messages", [("system", "s"), ("user", "u")]),
+        5: ("prompt_completion", [("user", "p"), ("assistant", "c")]), 6: ("messages", [(None, None), ("user", "u")]), 7: (None, None)}
+
+
 def test_fingerprint_ignores_order_and_repeats():
     assert chat.fingerprint(["b", "a", "a"]) == chat.fingerprint(["a", "b"]) == hashlib.sha256(b"a\nb").hexdigest()
