@@ -116,7 +116,8 @@ def window_runs(data: np.ndarray, sizes: np.ndarray, points: bool = True) -> tup
     opens, closes = (ends - sizes)[whole], (ends - WINDOW + 1)[whole]
     starts, hashes, places, values = [], [], [], []
     before, last = np.zeros(_SPAN - 1, np.uint64), np.uint64(0)
-    for a in range(0, len(data), _PIECE):
+    windows = max(0, len(data) - WINDOW + 1)
+    for a in range(0, windows, _PIECE):
         grams = string_hashes(data[a:a + _PIECE + WINDOW - 1], GRAM)
         grams ^= grams >> np.uint64(31)
         grams *= np.uint64(0x94D049BB133111EB)
@@ -133,7 +134,7 @@ def window_runs(data: np.ndarray, sizes: np.ndarray, points: bool = True) -> tup
             hashes.append(low[new])
             last = low[-1]
         if points:
-            near = np.concatenate([before, low, np.zeros((a + _PIECE >= len(data)) * (_SPAN - 1), np.uint64)])
+            near = np.concatenate([before, low, np.zeros((a + _PIECE >= windows) * (_SPAN - 1), np.uint64)])
             before = near[len(low):len(low) + _SPAN - 1]
             top = _sliding(near, _SPAN, np.maximum)[:len(grams)]
             at = np.flatnonzero((top == grams[:len(top)]) & (top > 0))
@@ -141,7 +142,7 @@ def window_runs(data: np.ndarray, sizes: np.ndarray, points: bool = True) -> tup
             values.append(top[at])
     at = np.concatenate([np.zeros(0, np.int64), *starts])
     h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-    n = np.diff(np.append(at, max(0, len(data) - WINDOW + 1)))
+    n = np.diff(np.append(at, windows))
     at, h, n = at[h > 0], h[h > 0], n[h > 0]
     cuts = -(-n // _RUN)
     piece = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)

@@ -60,6 +60,20 @@ def test_hashes_spread_over_shards_merge(spark, monkeypatch):
     check(spark, CASES)
 
 
+def test_a_short_rest_behind_the_last_piece_hides_nothing(monkeypatch):
+    text = np.frombuffer(prose(400, 6).encode(), np.uint8)
+    for rest in (*range(1, 100), 100, 130, 699):
+        data = np.concatenate([text[:600 + rest], text[rest:rest + 100]])  # 700 bytes and the rest, the end stands twice
+        data[600:600 + rest] ^= 1
+        data[-100:] = data[150:250]
+        want = suffix_dedup.window_runs(data, np.array([len(data)]))
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "_PIECE", 700)
+            got = suffix_dedup.window_runs(data, np.array([len(data)]))
+        assert all((a == b).all() if a.shape == b.shape else False for a, b in zip(want, got, strict=True)), rest
+        assert len(want[3])
+
+
 def test_merge_keeps_the_earliest_window():
     import pyarrow as pa
     rng = np.random.default_rng(4)
