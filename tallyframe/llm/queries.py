@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, byte_cnn, chat, decontaminate, hmm, near_dup, quality_rules, suffix_dedup, url_filters, warc
+from tallyframe.llm import (bpe, byte_cnn, chat, cross_tokens, decontaminate, hmm, near_dup, quality_rules, repair, suffix_dedup, url_filters,
+                            warc, wrapper)
 from tallyframe.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -21,10 +22,10 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-def tokenizer_path() -> str:
-    """Where the public tokenizer file of the contract lies."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer file of the contracts lies."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_bpe")
@@ -136,3 +137,91 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_html_extraction", oracle=r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages),
+    t AS (SELECT page_id, url, replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g'),
+                 '&amp(;?)', chr(1), 'g'), '&quot;', '"'), chr(1), '&') AS x FROM a)
+    SELECT page_id, url, trim(regexp_replace(x, '[\s\x{a0}]+', ' ', 'g')) AS text,
+      length(trim(regexp_replace(x, '[\s\x{a0}]+', ' ', 'g')))::BIGINT AS n_chars FROM t
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = wrapper.main_texts(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _repair_sql() -> str:
+    """The automaton of the contract, one row of a conversation after the other."""
+    dead, far = "1000000", "1000000"
+
+    def step(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+    def insert(state: str, role: str) -> str:
+        return step(state, "5", "I", f"chr(10) || '{role}:'")
+
+    def rerole(state: str, role: str) -> str:
+        return step(state, f"1 + r.extra + r.dead * {dead}", "R", f"chr(10) || '{role}:' || r.text")
+
+    def keep(state: str, initial: str) -> str:
+        return step(state, f"r.extra + r.dead * {dead} + (r.initial <> '{initial}')::INT * {dead}", "K", "chr(10) || r.role || ':' || r.text")
+
+    def drop(state: str) -> str:
+        return step(state, "2", "D")
+
+    closed = (f"least(b2, {insert('b0', 'user')}, {insert('b1', 'user')}, {insert('b3', 'user')})",
+              f"least(b3, {insert('b2', 'assistant')}, {insert('m0', 'assistant')}, {insert('m1', 'assistant')})")
+    start = "{'c': 0, 'a': '', 't': ''}"
+    none = f"{{'c': {far}, 'a': '', 't': ''}}"
+    to_user = ", ".join(f"{keep(s, 'u')}, {rerole(s, 'user')}" for s in ("b0", "b1", "i3"))
+    return rf"""
+    WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+    coded AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+        lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 20 AS kind FROM named),
+    damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM coded WHERE kind <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+        left(role, 1) AS initial FROM damaged),
+    judged AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS seen,
+        regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS open,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
+    faults AS (SELECT conv_id, n, turn, role, initial, text, blank, NOT blank AND seen AS duplicate, NOT blank AND NOT seen AND open AS truncated,
+        coalesce(illegal, false) AS illegal, (blank OR seen)::INT AS dead,
+        (NOT blank AND NOT seen AND open)::INT * 5 AS extra FROM judged),
+    ids AS (SELECT DISTINCT conv_id FROM conversations),
+    walk AS (SELECT conv_id, 0::BIGINT AS n, {start} AS b0, {none} AS b1, {none} AS b2, {none} AS b3 FROM ids
+      UNION ALL
+      SELECT conv_id, n, {drop('b0')}, least({drop('b1')}, {keep('b0', 's')}), least({drop('i2')}, {to_user}),
+        least({drop('i3')}, {keep('i2', 'a')}, {rerole('i2', 'assistant')})
+      FROM (SELECT w.conv_id, r.n, b0, b1, r, {closed[0]} AS i2, {closed[1]} AS i3
+            FROM (SELECT *, {insert('b0', 'user')} AS m0, {insert('b1', 'user')} AS m1 FROM walk) w
+            JOIN faults r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.n = w.n + 1)),
+    ends AS (SELECT conv_id, least(b0, {closed[1]}) AS e
+      FROM (SELECT *, {insert('b0', 'user')} AS m0, {insert('b1', 'user')} AS m1 FROM
+            (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) AS latest FROM walk) WHERE latest = 1)),
+    counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(blank) AS blank,
+        count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(illegal) AS illegal FROM faults GROUP BY conv_id)
+    SELECT ends.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+      coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, e.c::BIGINT AS cost, e.a AS audit,
+      sha256(substr(e.t, 2)) AS repaired_sha256
+    FROM ends LEFT JOIN counts ON ends.conv_id IS NOT DISTINCT FROM counts.conv_id
+"""
+
+
+@query("op12_conversation_repair", oracle=_repair_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = repair.repair(repair.damage(rows), rows)
+    return fixed.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    aligned = cross_tokens.align_texts(table(spark, sf_dir, "documents"), *paths)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")

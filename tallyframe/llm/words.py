@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 MAX_TEXTS = 1 << 16
 SHINGLE = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -41,6 +42,13 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(doc_id, F.lit(":"), text).cast("binary")))
 
 
+def bound_batches(spark: SparkSession, max_bytes: int = BATCH_BYTES) -> None:
+    """Let Arrow batches of this session end after ``max_bytes``, so that long texts do not come by the ten thousand."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > max_bytes:
+        spark.conf.set(key, str(max_bytes))
+
+
 def slices(batches, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of a slice stay near ``max_bytes``."""
     for batch in batches:
@@ -99,7 +107,7 @@ def shingles_of(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     rolled = h.copy()
     for j in range(1, size):
         rolled *= _MULTIPLIER
-        rolled[:len(h) - j] += h[j:]
+        rolled[:max(0, len(h) - j)] += h[j:]
     keep = np.ones(len(h), bool)
     for j in range(1, size):
         keep[(ends - j)[counts >= j]] = False
