@@ -7,28 +7,32 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException,
-                            NumberFormatException)
 
 from tallyframe.functions.values import decode_result, result_rows, typed_cell
 from tallyframe.functions.text import col, let
 from tallyframe.operators.compare import compare_rows, is_order_sensitive, preview
+from tallyframe.operators.longform import compare_long
 from tallyframe.session import materialize, shared_dir
 
 CELL_DDL = "struct<is_null: boolean, text: string, is_num: boolean, num: double>"
 ROWS_DDL = f"array<array<{CELL_DDL}>>"
 
 
-# What a statement itself can do wrong. Anything else, such as a lost executor or
-# a full disk, stops the run instead of passing for a wrong statement.
-SQL_ERRORS = (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException,
-              NumberFormatException)
+#: Classes of SQLSTATE that name what a statement itself does wrong: unsupported features,
+#: cardinality, data, constraints, routines, names, syntax, limits, raised errors. Anything
+#: else, such as a lost executor or a full disk, stops the run instead of passing for a
+#: wrong statement.
+STATEMENT_STATES = frozenset("07 0A 20 21 22 23 2B 2F 34 38 39 3D 3F 42 44 46 54 P0".split())
 STATEMENTS_AT_ONCE = 4
 _STATUS_ROWS = 1000
+#: Result sets of up to so many rows are gathered into one cell; larger ones stay tables.
+CELL_ROWS = 1_000_000
 GOLD_ROWS_DDL = f"row_no bigint, cells array<{CELL_DDL}>, gold_id string"
-GOLD_STATUS_DDL = "gold_id string, error string"
+GOLD_STATUS_DDL = "gold_id string, error string, condition string"
 
 
 def rows_as_cells(df: DataFrame) -> DataFrame:
@@ -39,16 +43,53 @@ def rows_as_cells(df: DataFrame) -> DataFrame:
                         F.array(*cells).cast(f"array<{CELL_DDL}>").alias("cells"))
 
 
-def execute_sql(session: SparkSession, sql: str) -> tuple[DataFrame | None, str | None]:
-    """(rows, None) or (None, error text); a statement's own failures are data.
+def _thrown(exc: BaseException):
+    """The exceptions of the engine behind a Python one, outermost first."""
+    cause = getattr(exc, "java_exception", None) or getattr(exc, "_origin", None)
+    while cause is not None:
+        yield cause
+        cause = cause.getCause()
+
+
+def statement_failure(exc: BaseException) -> tuple[str, str] | None:
+    """(condition, message) if the statement itself is wrong, None for any other failure.
+
+    The innermost cause that carries a SQLSTATE decides: a failed task or write only
+    wraps what the statement did.
+    """
+    state, condition, message = None, None, str(exc)
+    if isinstance(exc, PySparkException):
+        state, condition = exc.getSqlState(), exc.getCondition()
+    for cause in _thrown(exc):
+        # Only exceptions of the engine name a condition and a state.
+        if hasattr(cause, "getSqlState") and cause.getClass().getName().startswith("org.apache.spark"):
+            found = _call(cause, "getSqlState")
+            if found:
+                state, condition, message = found, _call(cause, "getCondition"), cause.getMessage()
+    return (condition or "", message) if (state or "")[:2] in STATEMENT_STATES else None
+
+
+def _call(cause, name: str):
+    """A getter that exceptions of the engine may lack."""
+    try:
+        return getattr(cause, name)()
+    except Py4JError:
+        return None
+
+
+def execute_sql(session: SparkSession, sql: str) -> tuple[DataFrame | None, tuple[str, str] | None]:
+    """(rows, None) or (None, (condition, error text)); a statement's own failures are data.
 
     As the source of a query only queries parse, so a command or an insert is
     refused before anything runs.
     """
     try:
         return rows_as_cells(session.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")), None
-    except SQL_ERRORS as exc:
-        return None, str(exc)
+    except Exception as exc:
+        failure = statement_failure(exc)
+        if failure is None:
+            raise
+        return None, failure
 
 
 def namespace(spark: SparkSession, register: Callable[[SparkSession], None]) -> SparkSession:
@@ -78,20 +119,23 @@ def execute_gold(spark: SparkSession, questions: DataFrame,
     Rows go straight from the query to a table in the shared folder: (gold_id,
     row_no, cells). Only the SQL texts pass the driver, since a statement has to
     be planned there; ``STATEMENTS_AT_ONCE`` run at a time, each in a session of
-    its own. Status: (gold_id, error, dialect_risk), stored in the same folder.
+    its own. Status: (gold_id, error, condition, dialect_risk), stored in the same
+    folder; a statement that fails while it runs is an error like one that fails to plan.
     """
     root = f"{shared_dir(spark)}/gold-{uuid.uuid4().hex}"
     wanted = questions.select("db_id", "sql").distinct()
 
-    def run(q) -> tuple[str, str | None]:
+    def run(q) -> tuple[str, str | None, str | None]:
         gold_id = gold_key_text(q["db_id"], q["sql"])
-        rows, error = execute_sql(namespace(spark, lambda s: register(s, q["db_id"])), q["sql"] or "")
+        rows, failure = execute_sql(namespace(spark, lambda s: register(s, q["db_id"])), q["sql"] or "")
         if rows is not None:
             try:
                 rows.write.mode("overwrite").parquet(f"{root}/rows/gold_id={gold_id}")
-            except SQL_ERRORS as exc:
-                error = str(exc)
-        return gold_id, error
+            except Exception as exc:
+                failure = statement_failure(exc)
+                if failure is None:
+                    raise
+        return gold_id, failure and failure[1], failure and failure[0]
 
     spark.createDataFrame([], GOLD_ROWS_DDL).write.mode("overwrite").partitionBy("gold_id").parquet(f"{root}/rows")
     spark.createDataFrame([], GOLD_STATUS_DDL).write.parquet(f"{root}/status")
@@ -114,60 +158,70 @@ def gold_key(db_id: Column, sql: Column) -> Column:
     return F.md5(F.concat(db_id, F.lit("\x1f"), F.coalesce(sql, F.lit(""))))
 
 
-def gold_for_answers(answers: DataFrame, gold_rows: DataFrame) -> DataFrame:
-    """(gold_id, n_gold, gold): gold rows gathered where a comparison needs them.
+def gold_for_answers(answers: DataFrame, gold_rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(gold_id, n_gold, gold): the gold rows of the statements that answers belong to.
 
-    A prediction with another row count cannot match, so rows are gathered only
-    for statements whose size equals that of some prediction. The array built
-    is thereby no longer than one already held in a single answer.
+    Sets of more than ``cell_rows`` rows stay in ``gold_rows`` and have a null here.
     """
-    counts = gold_rows.groupBy("gold_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    sizes = answers.select("gold_id", F.size("predicted").alias("n")).distinct()
-    needed = counts.join(sizes, (counts.gold_id == sizes.gold_id) & (counts.n_gold == sizes.n),
-                         "left_semi")
-    gathered = (gold_rows.join(needed.select("gold_id"), "gold_id", "left_semi")
-                .groupBy("gold_id").agg(F.sort_array(F.collect_list(F.struct("row_no", "cells")))
-                                        .alias("r"))
+    asked = gold_rows.join(answers.select("gold_id").distinct(), "gold_id", "left_semi")
+    counts = asked.groupBy("gold_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    gathered = (asked.join(counts.where(F.col("n_gold") <= cell_rows).select("gold_id"), "gold_id", "left_semi")
+                .groupBy("gold_id").agg(F.sort_array(F.collect_list(F.struct("row_no", "cells"))).alias("r"))
                 .select("gold_id", F.transform("r", lambda x: x["cells"]).alias("gold")))
     return counts.join(gathered, "gold_id", "left")
 
 
+def _same_beyond_cells(full: DataFrame, gold_rows: DataFrame, cell_rows: int, options: dict) -> DataFrame:
+    """(index, same) of the answers to gold sets that are too large for a cell, compared in long form."""
+    large = full.where((F.col("n_gold") > cell_rows) & F.col("predicted").isNotNull() & (F.size("predicted") == F.col("n_gold")))
+    pairs = large.select("index", "gold_id", is_order_sensitive(F.col("sql")).alias("ordered"))
+    predicted = large.select("index", F.posexplode("predicted").alias("row_no", "cells")).withColumn("row_no", F.col("row_no").cast("long"))
+    gold = gold_rows.join(pairs.select("gold_id").distinct(), "gold_id", "left_semi")
+    return compare_long(pairs, predicted, gold, **options)
+
+
 def evaluate_run(answers: DataFrame, questions: DataFrame, gold_rows: DataFrame,
-                 gold_status: DataFrame, **options) -> DataFrame:
+                 gold_status: DataFrame, cell_rows: int = CELL_ROWS, **options) -> DataFrame:
     """One detail row per answer that has a question: status, reason, rows.
 
-    ``detail`` is the whole text behind the reason. Gold rows are carried where
-    they were compared; :func:`mismatch_preview` reads those of any wrong answer
-    by ``gold_id``. ``options`` go to :func:`compare_rows`.
+    ``detail`` is the whole text behind the reason; ``gold`` and ``predicted`` are both
+    sides, whatever their sizes. A gold set of more than ``cell_rows`` rows is compared
+    in long form and stays a table: ``gold`` is null there, ``n_gold`` its size and
+    :func:`report_tables` gives its rows. ``options`` go to :func:`compare_rows`; a set
+    beyond a cell takes ``order`` and ``tolerance`` only.
     """
     asked = questions.select("index", "db_id", "sql")
     joined = (answers.select("index", "result").join(asked, "index")
               .withColumn("gold_id", gold_key(F.col("db_id"), F.col("sql")))
               .withColumn("predicted", decode_result(F.col("result"))))
-    gold = gold_for_answers(joined.where(F.col("predicted").isNotNull()), gold_rows)
+    gold = gold_for_answers(joined, gold_rows, cell_rows)
     # One row per statement, then a single join: AQE can split a statement that
     # a third of all answers belong to, which it cannot in a chain of joins.
     per_statement = gold_status.join(gold, "gold_id", "left")
-    full = joined.join(per_statement, "gold_id", "left")
-    full = full.withColumn("gold", F.when(F.coalesce("n_gold", F.lit(0)) == 0, F.array().cast(ROWS_DDL))
+    full = joined.join(per_statement, "gold_id", "left").withColumn("n_gold", F.coalesce("n_gold", F.lit(0)))
+    full = full.withColumn("gold", F.when(F.col("error").isNull() & (F.col("n_gold") == 0), F.array().cast(ROWS_DDL))
                            .otherwise(F.col("gold")))
-    return score_rows(full, error=F.col("error"), **options).select(
-        "index", "status", "reason", "detail", "gold_id", "gold", "predicted")
+    same = None
+    if not gold_rows.groupBy("gold_id").count().where(F.col("count") > cell_rows).isEmpty():
+        beyond = _same_beyond_cells(full, gold_rows, cell_rows, options)
+        full, same = full.join(beyond.withColumnRenamed("same", "_same"), "index", "left"), F.col("_same")
+    return score_rows(full, error=F.col("error"), same=same, **options).select(
+        "index", "status", "reason", "detail", "gold_id", "gold", "predicted", "n_gold")
 
 
-def score_rows(df: DataFrame, error: Column | None = None, **options) -> DataFrame:
+def score_rows(df: DataFrame, error: Column | None = None, same: Column | None = None, **options) -> DataFrame:
     """Add ``status``, ``reason`` and ``detail`` to rows holding result, sql, gold, predicted.
 
-    The reason shows the head of a result or error, the detail all of it.
-
-    A gold set that was not gathered (its size differs from the prediction) is
-    null and counts as a mismatch.
+    The reason shows the head of a result or error, the detail all of it. ``same`` is a
+    verdict found elsewhere, for gold sets beyond a cell; a null gold set without one
+    is a mismatch.
     """
     error = F.lit(None).cast("string") if error is None else error
+    known = F.lit(None).cast("boolean") if same is None else same
     ordered = is_order_sensitive(F.col("sql"))
 
     def reason(sides: Column) -> Column:
-        same = F.coalesce(compare_rows(sides["p"], sides["g"], ordered, **options), F.lit(False))
+        same = F.coalesce(known, compare_rows(sides["p"], sides["g"], ordered, **options), F.lit(False))
         return (F.when(sides["p"].isNull(),
                        F.concat(F.lit("invalid_result:"), F.left("result", F.lit(80))))
                 .when(error.isNotNull(), F.concat(F.lit("gold_sql_error:"), F.left(error, F.lit(120))))
@@ -219,6 +273,22 @@ def mismatch_preview(details: DataFrame, n: int = 10, rows: int = 3,
         preview(F.col("predicted"), rows).alias("predicted"))
 
 
+def report_tables(details: DataFrame, gold_rows: DataFrame) -> dict[str, DataFrame]:
+    """The report of a run as tables: summary, answers, and both sides of every wrong answer.
+
+    ``expected`` and ``predicted`` have one row per result row (index, row_no, cells as
+    texts), so a set of any size is in the report whole.
+    """
+    wrong = details.where(F.col("status") == "wrong")
+    texts = F.transform("cells", lambda c: F.when(~c["is_null"], c["text"]))
+    expected = gold_rows.join(wrong.select("index", "gold_id"), "gold_id").select("index", "row_no", texts.alias("cells"))
+    predicted = wrong.select("index", F.posexplode("predicted").alias("row_no", "cells")).select(
+        "index", F.col("row_no").cast("long").alias("row_no"), texts.alias("cells"))
+    answers = details.select("index", "status", "reason", "detail", "n_gold",
+                             F.when(F.col("predicted").isNotNull(), F.size("predicted")).cast("long").alias("n_predicted"))
+    return {"summary": summarize(details), "answers": answers, "expected": expected, "predicted": predicted}
+
+
 def accuracy_breakdown(details: DataFrame, questions: DataFrame,
                        by: tuple[str, ...] = ("sql_complexity", "question_style")) -> DataFrame:
     """Accuracy over every combination of the question labels and their totals."""

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.values import (decode_result, json_list, result_rows, scalars_equal)
+from tallyframe.functions.values import (decode_result, json_list, result_rows, scalars_equal, typed_cell)
 from tallyframe.operators.compare import (column_order_mismatch, compare_rows, is_order_sensitive,
                                           preview)
 from tallyframe.operators.evaluate import (accuracy_breakdown, accuracy_score, evaluate_run,
                                            execute_gold, execution_accuracy, gold_key,
-                                           mismatch_preview, score_rows, summarize, wrong_indices)
+                                           mismatch_preview, report_tables, score_rows, summarize, wrong_indices)
+from tallyframe.operators.longform import compare_long
 from tallyframe.plans.messy import by_key, money
 from tallyframe.plans.registry import TABLES, query, table
-from tallyframe.session import materialize
+from tallyframe.session import materialize, shared_dir
 
 
 def _cat(*parts) -> Column:
@@ -391,3 +394,112 @@ def evaluation_run(spark, sf_dir):
     rows, status = execute_gold(spark, asked, _register(spark, sf_dir))
     return evaluate_run(answers, asked, rows, status).select(
         "index", "status", F.regexp_replace("reason", "(?s):.*", "").alias("reason"))
+
+
+#: Statements that fail only when they run, and one that does not.
+FAILING_SQL = ("SELECT (SELECT r_regionkey FROM region) AS x FROM nation",
+               "SELECT raise_error(concat('stop at ', r_name)) AS x FROM region",
+               "SELECT n_regionkey, COUNT(*) FROM nation GROUP BY n_regionkey")
+
+
+@query("gold_runtime_errors", oracle="""
+SELECT 0 :: BIGINT AS "index", 'SCALAR_SUBQUERY_TOO_MANY_ROWS' AS condition, 0 :: BIGINT AS n_gold, 'wrong' AS status, 'gold_sql_error' AS reason
+WHERE (SELECT count(*) FROM region) > 1
+UNION ALL SELECT 1, 'USER_RAISED_EXCEPTION', 0, 'wrong', 'gold_sql_error' WHERE (SELECT count(*) FROM region) > 0
+UNION ALL SELECT 2, NULL, count(DISTINCT n_regionkey), 'correct', 'match' FROM nation""")
+def gold_runtime_errors(spark, sf_dir):
+    """A failing statement is an error row whenever it fails; the others are scored."""
+    asked = spark.createDataFrame([(i, "warehouse", sql) for i, sql in enumerate(FAILING_SQL)], "index bigint, db_id string, sql string")
+    per_region = table(spark, sf_dir, "nation").groupBy("n_regionkey").count()
+    row = F.concat(F.lit("["), F.col("n_regionkey").cast("string"), F.lit(","), F.col("count").cast("string"), F.lit("]"))
+    right = per_region.agg(F.array_join(F.sort_array(F.collect_list(row)), ",").alias("r")).select(
+        F.concat(F.lit("["), "r", F.lit("]")).alias("result"))
+    answers = materialize(spark.range(3).withColumnRenamed("id", "index").crossJoin(F.broadcast(right)), "answers")
+    rows, status = execute_gold(spark, asked, _register(spark, sf_dir))
+    details = evaluate_run(answers, asked, rows, status)
+    found = details.join(status.select("gold_id", "condition"), "gold_id")
+    return found.select("index", "condition", F.col("n_gold").cast("bigint").alias("n_gold"), "status",
+                        F.regexp_replace("reason", "(?s):.*", "").alias("reason"))
+
+
+#: How an answer of all orders departs from the gold set.
+_LONG_CASES = ("within tolerance", "one cell off", "columns swapped, one more", "one row missing", "other order", "same order")
+
+
+@query("compare_long", oracle="""
+WITH g AS (SELECT o_orderkey AS k, o_orderstatus || o_orderpriority AS s, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders),
+edge AS (SELECT max(k) AS top, count(*) AS n FROM g),
+p AS (SELECT i, CAST(k AS VARCHAR) AS k, s, v + CASE i WHEN 0 THEN 0.004 WHEN 1 THEN CASE WHEN k = top THEN 0.5 ELSE 0 END ELSE 0 END AS v,
+        CASE i WHEN 4 THEN -k ELSE k END AS place FROM g, edge, range(6) t(i) WHERE NOT (i = 3 AND k = top)),
+gold AS (SELECT i, 'k' AS c, CAST(k AS VARCHAR) AS x, NULL AS v, CASE WHEN i >= 4 THEN lpad(CAST(k AS VARCHAR), 20, '0') ELSE CAST(k AS VARCHAR) END AS o FROM g, range(6) t(i)
+  UNION ALL SELECT i, 's', s, NULL, CASE WHEN i >= 4 THEN lpad(CAST(k AS VARCHAR), 20, '0') ELSE s END FROM g, range(6) t(i)
+  UNION ALL SELECT i, 'v', '', v, CASE WHEN i >= 4 THEN lpad(CAST(k AS VARCHAR), 20, '0') ELSE CAST(v AS VARCHAR) END FROM g, range(6) t(i)),
+pred AS (SELECT i, 'k' AS c, k AS x, NULL AS v, CASE WHEN i >= 4 THEN lpad(CAST(place + 1e15 :: BIGINT AS VARCHAR), 20, '0') ELSE k END AS o FROM p
+  UNION ALL SELECT i, 's', s, NULL, CASE WHEN i >= 4 THEN lpad(CAST(place + 1e15 :: BIGINT AS VARCHAR), 20, '0') ELSE s END FROM p
+  UNION ALL SELECT i, 'v', '', v, CASE WHEN i >= 4 THEN lpad(CAST(place + 1e15 :: BIGINT AS VARCHAR), 20, '0') ELSE CAST(v AS VARCHAR) END FROM p),
+a AS (SELECT *, row_number() OVER (PARTITION BY i, c ORDER BY o) AS r FROM gold),
+b AS (SELECT *, row_number() OVER (PARTITION BY i, c ORDER BY o) AS r FROM pred),
+m AS (SELECT a.i, a.c, count(b.r) AS pairs, bool_and(coalesce(a.x = b.x AND (a.v IS NULL AND b.v IS NULL OR abs(a.v - b.v) <= 0.01), false)) AS ok
+      FROM a LEFT JOIN b ON a.i = b.i AND a.c = b.c AND a.r = b.r GROUP BY a.i, a.c)
+SELECT m.i AS "index", bool_and(ok AND pairs = (SELECT n FROM edge)) AS same FROM m GROUP BY m.i""")
+def compare_all_orders(spark, sf_dir):
+    """Gold rows of all orders against six answers of that size, no array per result set."""
+    o = table(spark, sf_dir, "orders")
+    top = F.broadcast(o.agg(F.max("o_orderkey").alias("top")))
+    kind, key = F.concat("o_orderstatus", "o_orderpriority"), F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    gold = o.select("o_orderkey", F.array(typed_cell(key, "bigint"), typed_cell(kind, "string"), typed_cell(price, "decimal(18,2)")).alias("cells"))
+    case = F.col("case")
+    shifted = (price + F.when(case == 0, F.lit(0.004)).when((case == 1) & (key == F.col("top")), F.lit(0.5)).otherwise(F.lit(0.0))
+               .cast("decimal(18,3)")).cast("decimal(18,3)")
+    k, s, v = typed_cell(key, "bigint"), typed_cell(kind, "string"), typed_cell(shifted, "decimal(18,3)")
+    answers = (o.crossJoin(top).withColumn("case", F.explode(F.array(*[F.lit(i) for i in range(len(_LONG_CASES))])))
+               .where(~((case == 3) & (key == F.col("top")))))
+    predicted = answers.select(case.cast("bigint").alias("index"), F.when(case == 4, -key).otherwise(key).alias("row_no"),
+                               F.when(case == 2, F.array(v, s, k, typed_cell(F.lit(1), "int"))).otherwise(F.array(k, s, v)).alias("cells"))
+    pairs = spark.range(len(_LONG_CASES)).select(F.col("id").alias("index"), F.when(F.col("id") < 4, "any").otherwise("ordered").alias("gold_id"),
+                                                 (F.col("id") >= 4).alias("ordered"))
+    golds = gold.select(F.explode(F.array(F.lit("any"), F.lit("ordered"))).alias("gold_id"), F.col("o_orderkey").alias("row_no"), "cells")
+    return compare_long(pairs, predicted, golds)
+
+
+@query("evaluation_report", oracle="""
+SELECT 0 :: BIGINT AS "index", 'wrong' AS status, 'value_mismatch' AS reason, count(*) AS n_gold, 1 :: BIGINT AS n_predicted, count(*) AS expected_rows,
+  CAST(sum(o_orderkey) AS DOUBLE) AS expected_keys, 1 :: BIGINT AS predicted_rows, CAST(min(o_orderkey) AS VARCHAR) AS predicted_first FROM orders
+UNION ALL SELECT 1, 'correct', 'match', count(*), count(*), 0, NULL, 0, NULL FROM nation
+UNION ALL SELECT 2, 'wrong', 'gold_sql_error', 0, 0, 0, NULL, 0, NULL WHERE (SELECT count(*) FROM region) > 1
+UNION ALL SELECT 3, 'wrong', 'value_mismatch', count(*), count(*), count(*), CAST(sum(n_nationkey) AS DOUBLE), count(*), min(CAST(n_nationkey AS VARCHAR)) FROM nation""")
+def evaluation_report(spark, sf_dir):
+    """A run's report, written and read back: every wrong answer beside all gold rows.
+
+    Sets of more than ten rows count as beyond a cell here, so nations are compared in
+    long form, once equal and once with two columns' cells out of step.
+    """
+    sql = ["SELECT o_orderkey, o_totalprice FROM orders", "SELECT n_name, n_regionkey FROM nation", FAILING_SQL[0],
+           "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey"]
+    asked = spark.createDataFrame([(i, "warehouse", s) for i, s in enumerate(sql)], "index bigint, db_id string, sql string")
+    n = table(spark, sf_dir, "nation")
+
+    def answer(index: int, df: DataFrame, row: Column) -> DataFrame:
+        return df.agg(F.array_join(F.sort_array(F.collect_list(row)), ",").alias("r")).select(
+            F.lit(index).cast("bigint").alias("index"), F.concat(F.lit("["), "r", F.lit("]")).alias("result"))
+    first = table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(1)
+    nations = _cat('["', F.col("n_name"), '",', F.col("n_regionkey").cast("string"), "]")
+    shifted = _cat("[", F.col("n_nationkey").cast("string"), ',"', F.col("n_name"), '?"]')
+    answers = materialize(answer(0, first, _cat("[", F.col("o_orderkey").cast("string"), ",0]")).unionByName(answer(1, n, nations))
+                          .unionByName(answer(2, n.where("false"), nations)).unionByName(answer(3, n, shifted)), "answers")
+    rows, status = execute_gold(spark, asked, _register(spark, sf_dir))
+    report = report_tables(materialize(evaluate_run(answers, asked, rows, status, cell_rows=10), "details"), rows)
+    root = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    back = {}
+    for name, part in report.items():
+        part.write.json(f"{root}/{name}")
+        back[name] = spark.read.schema(part.schema).json(f"{root}/{name}")
+    first_cell = F.try_element_at("cells", F.lit(1))
+    expected = back["expected"].groupBy("index").agg(F.count(F.lit(1)).alias("expected_rows"), F.sum(first_cell.cast("double")).alias("expected_keys"))
+    predicted = back["predicted"].groupBy("index").agg(F.count(F.lit(1)).alias("predicted_rows"), F.min(first_cell).alias("predicted_first"))
+    zero = F.lit(0)
+    return back["answers"].join(expected, "index", "left").join(predicted, "index", "left").select(
+        "index", "status", F.regexp_replace("reason", "(?s):.*", "").alias("reason"), F.coalesce("n_gold", zero).alias("n_gold"),
+        F.coalesce("n_predicted", zero).alias("n_predicted"), F.coalesce("expected_rows", zero).alias("expected_rows"), "expected_keys",
+        F.coalesce("predicted_rows", zero).alias("predicted_rows"), "predicted_first")
