@@ -1,7 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
-from samples import ODD_TEXTS, frame, prose, shingles
+from samples import ODD_TEXTS, WORD, ascii_lower, frame, prose, shingles
 
 from tallyframe.llm import near_dup as n
 from tallyframe.llm.components import components
@@ -101,3 +102,85 @@ def test_components_of_paths_stars_and_rings(spark):
 def test_empty_table(spark):
     assert n.near_duplicates(frame(spark, [])).count() == 0
     assert n.keep_one(frame(spark, [])).columns == frame(spark, []).columns
+
+
+def weighted_shingles(text, size=5):
+    words = WORD.findall(ascii_lower(text))
+    if len(words) < size:
+        return Counter([tuple(words)] if words else [])
+    return Counter(tuple(words[i:i + size]) for i in range(len(words) - size + 1))
+
+
+def probability_jaccard(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    return sum(1 / sum(max(a[y] / a[x], b[y] / b[x]) for y in a.keys() | b.keys()) for x in a.keys() & b.keys())
+
+
+def test_exact_similarities():
+    rng = random.Random(8)
+    for _ in range(60):
+        a, b = (Counter(rng.choices(range(30), k=rng.choice([0, 1, 5, 40]))) for _ in range(2))
+        sides = [(np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)], np.uint32)) for x in (a, b)]
+        got = n.similarities(*sides[0], *sides[1])
+        union = len(a.keys() | b.keys())
+        assert abs(got[0] - probability_jaccard(a, b)) < 1e-9
+        assert abs(got[1] - (len(a.keys() & b.keys()) / union if union else 1.0)) < 1e-9
+        assert n.similarities(*sides[0], *sides[0]) == (1.0, 1.0) or abs(n.similarities(*sides[0], *sides[0])[0] - 1) < 1e-9
+
+
+def test_one_minus_similarity_is_a_metric():
+    rng = random.Random(9)
+    for _ in range(200):
+        sets = [Counter(rng.choices(range(8), k=rng.randint(1, 12))) for _ in range(3)]
+        d = [1 - probability_jaccard(sets[i], sets[j]) for i, j in ((0, 1), (1, 2), (0, 2))]
+        assert d[2] <= d[0] + d[1] + 1e-9
+
+
+def test_weighted_sets_against_brute_force(spark):
+    cycles = [prose(40, 60 + k) + " " for k in range(4)]
+    rows = [(2000 + 100 * k + i, cycles[k] * (3 + i) + prose(30, 1000 * k + i)) for k in range(4) for i in range(6)]
+    rows += [(900 + i, prose(120, 70) + " " + prose(4 * i, 71 + i)) for i in range(12)]
+    rows += [(i, t) for i, t in ODD_TEXTS if len(t or "") < 9000]
+    sets = [(i, weighted_shingles(t)) for i, t in rows]
+    ids = sorted({i for i, _ in rows}, key=lambda i: (i is not None, i or 0))
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_weight_only = 0
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            union = len(a.keys() | b.keys())
+            equal = len(a.keys() & b.keys()) / union if union else 1.0
+            alike = probability_jaccard(a, b)
+            by_weight_only += alike >= 0.8 - 1e-9 > equal
+            if max(alike, equal) >= 0.8 - 1e-9:
+                x, y = sorted((root(i), root(j)), key=lambda r: (r is not None, r or 0))
+                parent[y] = x
+    assert by_weight_only > 10
+    got = {r.doc_id: r.class_id for r in n.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: root(i) for i in ids}
+
+
+def test_one_short_text_a_partition(spark):
+    rows = [(i, t) for i, t in enumerate(["two words", "", None, "one", "a b c", "a b c d e", "two words", "a b c d"] * 2)]
+    source = frame(spark, rows).repartition(40)
+    assert {r.doc_id: r.class_id for r in n.near_duplicates(source).collect()} == classes_by_brute_force(rows)
+
+
+def test_each_text_of_a_large_group_is_moved_a_bounded_number_of_times(spark, monkeypatch):
+    moved = []
+    plain = n._shingled
+
+    def counting(texts, nodes, placed):
+        moved.append(placed.count())
+        return plain(texts, nodes, placed)
+    monkeypatch.setattr(n, "_shingled", counting)
+    base = prose(150, 80).split()
+    rows = [(i, " ".join(base[:i % 149] + [f"edit{i}"] + base[i % 149 + 1:])) for i in range(3000)]
+    got = {r.class_id for r in n.near_duplicates(frame(spark, rows), block=100).collect()}
+    assert got == {0} and sum(moved) < 3 * len(rows)
