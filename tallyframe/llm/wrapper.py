@@ -15,8 +15,9 @@ node is wrapped on its own.
 
 Only trees and 64-bit hashes of blocks are grouped by host, and every grouping is by
 (host, node, value) or combines beforehand, so a host with a third of all pages is
-spread. Pages meet their host's template in a join whose strategy is left to the
-measured sizes.
+spread. Templates, one row a host, are broadcast if their measured size is at most
+``BROADCAST_BYTES``, and pages are not shuffled at all; beyond that both sides meet by
+host and salt.
 
 Defined results: a null or empty page has no text; a null url or one without ``://``
 belongs to the host ''; rows may repeat and each is answered; null ids are answered
@@ -42,6 +43,8 @@ MIN_PAGES = 3
 CONSTANT_SHARE = 0.9
 DOMINANT_SHARE = 0.7
 LINK_SHARE = 0.6
+BROADCAST_BYTES = 32 << 20
+SALTS = 64
 #: Elements that may hold an article, and those whose text is a menu if it is all links.
 _CONTAINERS = frozenset("html body div section article main center form table tbody tr td".split())
 _LISTS = frozenset("ul ol li dl dd dt div section table tr td th tbody span".split())
@@ -107,6 +110,17 @@ def _votes(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.values(), types)], list(rows))
 
 
+def _beside_host(rows: DataFrame, hosts: DataFrame, body: str) -> DataFrame:
+    """rows with the ``body`` text of their host, or null."""
+    hosts = materialize(hosts.select("host", body), "hosts")
+    size = hosts.agg(F.sum(F.octet_length(body) + F.octet_length("host"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(hosts), "host", "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    copies = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["host", "_salt"], "left").drop("_salt")
+
+
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, pages, template): the wrapper of every host as JSON.
 
@@ -121,7 +135,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     voters = shapes.groupBy("host", "anchor").agg(F.min_by(body, F.struct("tree_hash", "values")).alias("page")).select("host", "page.*")
     trees = voters.groupBy("host", "tree_hash").agg(F.min("tree").alias("tree"), F.count("*").alias("n"))
     references = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree_hash")).alias("reference"), F.sum("n").alias("pages"))
-    votes = voters.join(references.select("host", "reference"), "host").mapInArrow(
+    votes = _beside_host(voters, references, "reference").mapInArrow(
         _votes, "host string, slot string, value long, chars long, links long")
     values = votes.groupBy("host", "slot", "value").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     slots = values.groupBy("host", "slot").agg(F.sum("n").alias("said"), F.max("n").alias("same"), F.sum("chars").alias("chars"),
@@ -228,8 +242,8 @@ def _extract(batches) -> Iterator[pa.RecordBatch]:
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of every page."""
-    hosts = templates(pages, url_col, html_col).select("host", "template")
+    hosts = templates(pages, url_col, html_col)
     kept = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
-    return (kept.withColumn("host", host_of(F.col("url"))).join(hosts, "host", "left")
+    return (_beside_host(kept.withColumn("host", host_of(F.col("url"))), hosts, "template")
             .select("page_id", "url", "html", "template").mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string"))

@@ -102,6 +102,14 @@ def test_constant_nodes_are_template_and_varying_slots_content(spark):
     assert "Our site needs" in got[100]  # a host of one page has nothing to compare with
 
 
+def test_beyond_the_broadcast_bound_pages_meet_templates_by_salt(spark, monkeypatch):
+    made = {i: page(i) for i in range(30)}
+    rows = [(i, f"http://shop{i % 3}.example/{i}", made[i][0]) for i in made]
+    small = texts(spark, rows)
+    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", 0)
+    assert texts(spark, rows) == small and dict((i, t) for i, _, t in small)[5] == article(made[5][1])
+
+
 def test_copies_make_no_template(spark):
     source, body = page(1, notice="")
     rows = [(i, "http://copy.example/", source) for i in range(30)]
