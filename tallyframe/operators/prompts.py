@@ -105,13 +105,31 @@ def static_prefixes(catalog: DataFrame, texts: DataFrame) -> DataFrame:
     """(db_id, prefix): header and full dataset text, the part prompts share.
 
     Kept apart from the questions: joining it in would repeat the dataset once
-    per question. Requests refer to it by ``db_id``.
+    per question. Requests refer to it by ``db_id``. Datasets that do not fit a row
+    are served by :func:`prefix_chunks`.
     """
     header = dataset_header(F.col("db_id"), F.col("delimiter"), F.col("encoding"), F.col("columns"))
     return catalog.join(texts, "db_id").select(
         "db_id", F.concat(header, F.lit("\nCSV DATA:\n"), "text").alias("prefix"))
 
 
+def prefix_chunks(catalog: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(db_id, block, piece, text, sha256): the prefix of :func:`static_prefixes` in chunks, the header ahead.
+
+    No row holds a whole dataset; equal chunks of several datasets share their address.
+    """
+    header = F.concat(dataset_header(F.col("db_id"), F.col("delimiter"), F.col("encoding"), F.col("columns")), F.lit("\nCSV DATA:\n"))
+    heads = catalog.select("db_id", F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("piece"), header.alias("text"))
+    heads = heads.withColumn("sha256", F.sha2("text", 256))
+    return chunks.join(catalog.select("db_id"), "db_id", "left_semi").select(*heads.columns).unionByName(heads)
+
+
+def write_prefixes(chunks: DataFrame, path: str) -> None:
+    """Text files per dataset whose parts, in order of their names, are its prefix."""
+    ordered = chunks.repartitionByRange("db_id", "block", "piece").sortWithinPartitions("db_id", "block", "piece")
+    ordered.select("db_id", F.col("text").alias("value")).write.option("lineSep", "\u0000").partitionBy("db_id").text(path)
+
+
 def question_suffixes(questions: DataFrame) -> DataFrame:
     """(index, db_id, suffix): the part that differs per question."""
     return questions.select("index", "db_id", F.concat(

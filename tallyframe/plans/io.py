@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.clean import normalize_table
 from tallyframe.operators.compare import preview
 from tallyframe.operators.evaluate import namespace
+from tallyframe.operators.folder import normalize_folder
 from tallyframe.operators.profile import profile_document
-from tallyframe.operators.prompts import request_lines
+from tallyframe.operators.prompts import prefix_chunks, request_lines
 from tallyframe.plans.messy import MESSY_ORDERS, messy_orders
 from tallyframe.plans.cleaning import CLEANED
 from tallyframe.plans.evaluation import DETAILS, scored
@@ -71,7 +72,7 @@ def csv_duplicate_headers(spark, sf_dir):
 def _dialect_folder(spark, sf_dir) -> str:
     """One folder per kind: comma, semicolon, tab and pipe files, some with a mark."""
     root = fresh_dir(spark, "dialects")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").coalesce(1)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     for name, sep, bom in (("comma", ",", False), ("semi", ";", True), ("tab", "\t", False), ("pipe", "|", True)):
         write_csv(s, f"{root}/{name}", sep, bom)
     return root
@@ -82,11 +83,91 @@ SELECT kind, encoding, delimiter, 's_suppkey,s_name,s_acctbal' AS columns FROM (
   ('semi', 'utf-8-sig', ';'), ('tab', 'utf-8', chr(9)), ('pipe', 'utf-8-sig', '|')) t(kind, encoding, delimiter)
 WHERE (SELECT count(*) FROM supplier) > 0""")
 def dialect_detect(spark, sf_dir):
-    """Encoding, delimiter and header of every file, from its head."""
+    """Encoding, delimiter and header of every file, from all its lines."""
     root = _dialect_folder(spark, sf_dir)
     found = datasets.dataset_catalog(spark, f"{root}/*")
     kind = F.element_at(F.split("path", "/"), -2)
-    return found.select(kind.alias("kind"), "encoding", "delimiter", F.array_join("columns", ",").alias("columns"))
+    return found.select(kind.alias("kind"), "encoding", "delimiter", F.array_join("columns", ",").alias("columns")).distinct()
+
+
+@query("dialect_of_all_lines", oracle="""
+SELECT ';' AS delimiter, 'o_orderkey;note;o_orderpriority' AS columns, 'utf-8' AS encoding FROM orders LIMIT 1""")
+def dialect_of_all_lines(spark, sf_dir):
+    """Each file's head holds as many commas as semicolons, the rest of it none."""
+    o = table(spark, sf_dir, "orders")
+    share = F.percent_rank().over(Window.partitionBy("_file").orderBy("o_orderkey"))
+    dealt = o.withColumn("_file", F.spark_partition_id()).withColumn("_share", share)
+    note = F.when(F.col("_share") < 0.3, "first,second,third").otherwise("plain")
+    folder = fresh_dir(spark, "late")
+    write_csv(dealt.select("o_orderkey", note.alias("note"), "o_orderpriority"), folder, ";")
+    found = datasets.dataset_catalog(spark, folder)
+    return found.select("delimiter", F.array_join("columns", ";").alias("columns"), "encoding").distinct()
+
+
+@query("csv_ranges", oracle="""
+SELECT doc_id, md5(replace(text, chr(10), '')) AS text_md5, source, true AS several_ranges FROM documents""")
+def csv_ranges(spark, sf_dir):
+    """Quoted line breaks in files that are cut into many byte ranges, each read by a task of its own."""
+    folder = fresh_dir(spark, "ranges")
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), folder, ",")
+    session = _small_ranges(spark)
+    rows = datasets.read_dataset(session, folder, ["doc_id", "text", "source"], multiline=True, row_order=None)
+    ranges = session.read.text(folder).select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+    files = session.read.text(folder).select("_metadata.file_path").distinct().count()
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), "source",
+                       F.lit(ranges > files).alias("several_ranges"))
+
+
+def _small_ranges(spark: SparkSession) -> SparkSession:
+    """A session that deals files out in ranges of 64 KiB."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    return session
+
+
+@query("question_array_file", oracle="""
+SELECT doc_id AS doc_id, source AS db_id, md5(text) AS question_md5, lang AS question_style, '' AS cot FROM documents""")
+def question_array_file(spark, sf_dir):
+    """A file without line breaks that holds one array of all questions, read by several tasks."""
+    d = table(spark, sf_dir, "documents")
+    item = F.to_json(F.struct(F.col("source").alias("db_id"), F.col("text").alias("question"), F.col("lang").alias("question_style"),
+                              F.struct(F.col("doc_id").alias("n"), F.array(F.lit("]}"), F.lit('"')).alias("odd")).alias("extra"),
+                              F.col("doc_id").cast("string").alias("sql")))
+    folder = fresh_dir(spark, "array")
+    # One document a file of the table: brackets ahead and behind, commas between.
+    dealt = d.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), item.alias("item"))
+    edge = Window.partitionBy("_p")
+    line = F.concat(F.when(F.col("_i") == F.min("_i").over(edge), "[").otherwise(""), F.col("item"),
+                    F.when(F.col("_i") == F.max("_i").over(edge), "]\n").otherwise(","))
+    # One file per document array, its elements in order and without any line break between them.
+    dealt.select("_p", "_i", line.alias("value")).repartition("_p").sortWithinPartitions("_p", "_i").select("value").write.option(
+        "lineSep", " ").text(folder)
+    back = records.read_question_array(_small_ranges(spark), folder)
+    return back.select(F.col("sql").cast("bigint").alias("doc_id"), "db_id", F.md5("question").alias("question_md5"), "question_style", "cot")
+
+
+@query("normalize_folder", oracle=f"""
+WITH {MESSY_ORDERS}
+SELECT 'orders' AS kind, 'utf-8' AS encoding, ';' AS delimiter, count(*) :: BIGINT AS rows, 8 :: BIGINT AS cols, 1 :: BIGINT AS headers_changed,
+  (count(*) FILTER (pos % 50 = 49) + count(*) FILTER (pos % 3 = 2) + count(*) FILTER (pos % 5 = 3)) :: BIGINT AS missing_normalized,
+  count(*) FILTER (pos % 50 <> 49 AND pos % 4 IN (1, 3)) AS dates_normalized, true AS written
+FROM messy_orders
+UNION ALL SELECT 'suppliers', 'utf-8-sig', ',', count(*), 2, 1, 0, 0, true FROM supplier""")
+def normalize_a_folder(spark, sf_dir):
+    """Two folders of files cleaned, a report row per file; counts summed by kind."""
+    root, target = fresh_dir(spark, "folder"), fresh_dir(spark, "cleaned")
+    write_csv(messy_orders(spark, sf_dir).withColumnRenamed("pos", "Order No."), f"{root}/orders", ";")
+    write_csv(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s_suppkey"), F.col("s_name").alias("S Name")),
+              f"{root}/suppliers", ",", bom=True)
+    report = normalize_folder(spark, f"{root}/orders", f"{target}/orders").withColumn("kind", F.lit("orders")).unionByName(
+        normalize_folder(spark, f"{root}/suppliers", f"{target}/suppliers").withColumn("kind", F.lit("suppliers")))
+    back = spark.read.option("header", True).option("recursiveFileLookup", True).csv(target)
+    counted = back.groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("kind")).count()
+    sums = report.groupBy("kind", "encoding", "delimiter").agg(
+        F.sum("rows").alias("rows"), F.max("cols").alias("cols"), F.max("headers_changed").alias("headers_changed"),
+        F.sum("missing_normalized").alias("missing_normalized"), F.sum("dates_normalized").alias("dates_normalized"))
+    return sums.join(counted, "kind").select("*", (F.col("count") == F.col("rows")).alias("written")).drop("count")
 
 
 @query("dataset_catalog", oracle="""
@@ -267,11 +348,34 @@ def gold_tables(spark, sf_dir):
 @query("dataset_texts", oracle="""
 SELECT 'part' AS kind, count(*) + 1 AS lines FROM part""")
 def dataset_texts(spark, sf_dir):
-    """Whole file texts by dataset."""
+    """File texts by dataset, line by line."""
     folder = fresh_dir(spark, "texts")
-    write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name").coalesce(1), folder, ",")
+    write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name"), folder, ",")
     texts = datasets.dataset_texts(spark, folder)
-    return texts.select(F.substring("db_id", 1, 4).alias("kind"),
-                        F.regexp_count("text", F.lit(r"\n")).cast("bigint").alias("lines"))
-
-
+    kind = F.substring("db_id", 1, 4).alias("kind")
+    per_file = texts.groupBy(kind, "db_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line") == "p_partkey,p_name").alias("heads"))
+    return per_file.groupBy("kind").agg((F.sum("lines") - F.sum("heads") + 1).alias("lines"))
+
+
+
+
+@query("prefix_chunks", oracle="""
+SELECT 'CSV DATA:' AS head_ends, true AS in_order, true AS addressed, count(*) AS rows, sum(hash) :: BIGINT AS lengths
+FROM (SELECT length(p_partkey || ',' || p_name) AS hash FROM part)""")
+def prefix_chunks_of_files(spark, sf_dir):
+    """Static prefixes in chunks: header first, the file behind it in order, no row with a whole file."""
+    folder = fresh_dir(spark, "prefix")
+    write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name").sortWithinPartitions("p_partkey"), folder, ",")
+    found = prefix_chunks(datasets.dataset_catalog(spark, folder), datasets.dataset_chunks(spark, folder, chunk_lines=50))
+    lines = F.filter(F.split("text", "\n"), lambda x: (x != "") & (x != "p_partkey,p_name"))
+    body = F.col("block") >= 0
+    keys = F.transform(lines, lambda x: F.split(x, ",")[0].try_cast("bigint"))
+    chunk = found.select("db_id", "block", "piece", body.alias("body"), (F.col("sha256") == F.sha2("text", 256)).alias("same"),
+                         F.when(~body, F.element_at(F.split(F.rtrim("text", F.lit("\n")), "\n"), -1)).alias("head"),
+                         (keys == F.array_sort(keys)).alias("sorted"), F.array_min(keys).alias("low"), F.array_max(keys).alias("high"),
+                         F.size(lines).alias("n"), F.aggregate(lines, F.lit(0), lambda t, x: t + F.length(x)).alias("chars"))
+    earlier = F.max("high").over(Window.partitionBy("db_id").orderBy("block", "piece").rowsBetween(Window.unboundedPreceding, -1))
+    placed = chunk.withColumn("_after", F.coalesce(F.col("low") > earlier, F.lit(True)) & F.col("sorted"))
+    return placed.agg(F.max("head").alias("head_ends"), F.bool_and(F.col("_after") | ~F.col("body")).alias("in_order"),
+                      F.bool_and("same").alias("addressed"), F.sum(F.when(F.col("body"), F.col("n"))).alias("rows"),
+                      F.sum(F.when(F.col("body"), F.col("chars"))).alias("lengths"))

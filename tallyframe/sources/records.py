@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.flatten import PARTS_DDL
 from tallyframe.operators.work import QUESTION_FIELDS, latest_per_key
+from tallyframe.sources.ranges import json_elements
 
 QUESTION_DDL = ("index bigint, db_id string, sql_complexity string, question_style string, "
                 "question string, external_knowledge string, cot string, sql string")
@@ -27,12 +28,14 @@ def question_arrays(texts: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_question_array(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of questions per file.
+    """A JSON array of questions per file, of any size and with or without line breaks.
 
-    A document has to be parsed as one, so this suits files of ordinary size;
-    question sets beyond that belong in :func:`read_questions`' tables.
+    A file is cut at the borders of its elements by all tasks that read it; ``index``
+    is the place in its array. A file that is no array or does not close gives no rows.
     """
-    return question_arrays(spark.read.text(path, wholetext=True))
+    doc = F.from_json("record", f"struct<{_ITEM_DDL}>")
+    items = json_elements(spark, path).select(F.col("number").alias("index"), doc.alias("q"))
+    return _filled(items.where(F.col("q").isNotNull()).select("index", "q.*"))
 
 
 def read_questions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -173,7 +176,9 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
            "mixed_date_format_columns: array<string>, has_bom: boolean, non_comma_delimiter: boolean>")
     try:
         return spark.read.schema(ddl).json(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if not _absent(exc):
+            raise
         return spark.createDataFrame([], ddl)
 
 
