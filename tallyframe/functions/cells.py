@@ -30,10 +30,13 @@ ID_NAME_HINTS = ("id", "code", "ma", "sbd", "stt")
 RECEIPT_PATTERN = (r"syt(?:\s+\w+){0,3}?\s*(?:nhan|tiep\s*nhan)"
                    r"\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})")
 
+# Currency signs and words that stand around numbers.
 _CURRENCY_SIGNS = "₫$€£"
 _CURRENCY_WORDS = r"(?iU)\b(?:VND|USD|EUR|GBP)\b"
 # Fixed value: a number with thousands groups.
 _GROUPED = r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?"
+#: A number that is written as cleaning writes it.
+_PLAIN = r"^(?:0|-?[1-9]\d{0,14}|-?(?:0|[1-9]\d{0,14})\.\d{0,9}[1-9])\z"
 _NUMBER = rf"^(?:[-+]?\d+(?:[.,]\d+)?|{_GROUPED})\z"
 
 # Trailing dots are part of the accepted text.
@@ -101,8 +104,12 @@ def number_of_text(text: Column, float_compat: bool = False) -> Column:
         digits = F.regexp_replace(digits, r"^(?:\+|(-))?0*(?=\d)", "$1")
         digits = F.regexp_replace(digits, r"(?:(\.\d*[1-9])|\.)0+\z", "$1")
         return F.when(text.rlike(_NUMBER), F.regexp_replace(digits, r"^-0\z", "0"))
-    already = text.rlike(r"^(?:0|-?[1-9]\d{0,14}|-?(?:0|[1-9]\d{0,14})\.\d{0,9}[1-9])\z")
-    return F.when(already, text).when(text.rlike(r"\d"), let(_bare(text), plain))
+    return F.when(text.rlike(_PLAIN), text).when(text.rlike(r"\d"), let(_bare(text), plain))
+
+
+def number_shaped(text: Column) -> Column:
+    """Whether an already stripped text is a number to :func:`number_of_text`, which is not written out."""
+    return F.when(text.rlike(_PLAIN), True).when(text.rlike(r"\d"), _bare(text).rlike(_NUMBER)).otherwise(False)
 
 
 def normalize_number(c: Column, float_compat: bool = False) -> Column:

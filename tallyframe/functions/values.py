@@ -37,7 +37,8 @@ def strict_json(c: Column, single_quotes: bool = False) -> Column:
         doc = F.try_parse_json(wrapped)
     read = let(doc, lambda d: F.when(F.try_variant_get(d, "$[1]", "string") == _SENTINEL,
                                      F.try_variant_get(d, "$[0]", "variant")))
-    return F.when(~c.rlike(_HUGE), read)
+    may_be_huge = (c.contains("e") | c.contains("E")) & c.rlike(_HUGE)
+    return F.when(~may_be_huge, read)
 
 
 def json_list(c: Column) -> Column:
@@ -70,15 +71,22 @@ def variant_cell(v: Column) -> Column:
         return F.struct(F.lit(is_null).alias("is_null"), text.alias("text"),
                         F.lit(is_num).alias("is_num"), num.alias("num"))
 
-    def by_kind(kind: Column) -> Column:
-        num = F.try_variant_get(v, "$", "double")
-        return (F.when(kind == "STRING", made(False, F.try_variant_get(v, "$", "string"), False, none))
-                .when((kind == "BIGINT") | kind.startswith("DECIMAL"), made(False, F.to_json(v), True, num))
-                .when((kind == "VOID") | kind.isNull(), made(True, F.lit(""), False, none))
-                .when(kind == "BOOLEAN", made(False, F.initcap(F.to_json(v)), True, num))
-                .when(kind.isin("DOUBLE", "FLOAT"), made(False, number_text(num), True, num))
-                .otherwise(made(False, F.to_json(v), False, none)))
-    return let(F.schema_of_variant(v), by_kind)
+    num = F.try_variant_get(v, "$", "double")
+
+    def fraction(printed: Column) -> Column:
+        # Only here the stored type matters: decimals keep their digits, doubles are printed anew.
+        return F.when(F.schema_of_variant(v).startswith("DECIMAL"), made(False, printed, True, num)).otherwise(
+            made(False, number_text(num), True, num))
+
+    def by_print(printed: Column) -> Column:
+        first = F.left(printed, F.lit(1))
+        return (F.when(printed.isNull() | (printed == "null"), made(True, F.lit(""), False, none))
+                .when(first == '"', made(False, F.try_variant_get(v, "$", "string"), False, none))
+                .when(first.isin("[", "{"), made(False, printed, False, none))
+                .when(printed.isin("true", "false"), made(False, F.initcap(printed), True, num))
+                .when(printed.rlike(r"^-?\d++\z"), made(False, printed, True, num))
+                .otherwise(fraction(printed)))
+    return let(F.to_json(v), by_print)
 
 
 def typed_cell(c: Column, dtype: str) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyframe.functions.cells import (NUMERIC_NAME_HINTS, RECEIPT_PATTERN, date_of_text,
-                                        is_missing, missing_text, normalize_date,
-                                        normalize_number, number_of_text, split_annotated_date)
+                                        missing_text, normalize_date, number_of_text,
+                                        number_shaped, split_annotated_date)
 from tallyframe.functions.text import col, let, strip, unique_slugs
 
 
@@ -24,11 +24,14 @@ def numeric_evidence(df: DataFrame, order_col: str, columns: list[str] | None =
     One aggregate of which each task sends one row; nothing is sorted.
     """
     columns = columns or [c for c in df.columns if c != order_col]
-    counts = df.agg(*[
-        F.struct(F.count_if(~is_missing(col(c))).alias("non_missing"),
-                 F.count_if(~is_missing(col(c)) & normalize_number(col(c)).isNotNull())
-                 .alias("numeric_like")).alias(f"c{i}")
-        for i, c in enumerate(columns)])
+
+    def judged(c: str) -> Column:
+        """0 missing, 1 text, 2 number: one look at each cell, by shape only."""
+        return let(strip(F.coalesce(col(c), F.lit(""))), lambda t: F.when(missing_text(t), 0).when(number_shaped(t), 2).otherwise(1))
+    looked = df.select(*[judged(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    counts = looked.agg(*[
+        F.struct(F.count_if(F.col(f"c{i}") > 0).alias("non_missing"), F.count_if(F.col(f"c{i}") == 2).alias("numeric_like")).alias(f"c{i}")
+        for i in range(len(columns))])
     listed = counts.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"c{i}.non_missing").alias("non_missing"),
                  F.col(f"c{i}.numeric_like").alias("numeric_like"))
