@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,37 +60,114 @@ def _absent(exc: AnalysisException) -> bool:
     return exc.getCondition() == "PATH_NOT_FOUND"
 
 
+#: Answers of a part lie in so many files by the hash of their index.
+BUCKETS = 64
+_PART_DDL = ANSWER_DDL + ", origin string, epoch bigint, bucket int"
+
+
 def run_dir(root: str, checkpoint: str, model_id: str) -> str:
     return f"{root}/checkpoint={checkpoint}/model_id={model_id.replace('/', '%2F')}"
 
 
-def read_answer_parts(spark: SparkSession, root: str, checkpoint: str, model_id: str) -> DataFrame:
-    """Stored answers of a run with the (origin, epoch) part each came from.
+def bucket_of(index: Column) -> Column:
+    return F.pmod(F.xxhash64(index.cast("bigint")), F.lit(BUCKETS)).cast("int")
 
-    An absent run gives an empty table.
-    """
-    ddl = ANSWER_DDL + ", origin string, epoch bigint"
+
+def _manifest(spark: SparkSession, run: str) -> tuple[str | None, dict[str, int]]:
+    """(base, last epoch by origin that it holds) of the latest compaction, as its manifest says."""
     try:
-        return spark.read.schema(ddl).parquet(run_dir(root, checkpoint, model_id))
+        rows = spark.read.schema("version long, base string, origin string, epoch long").json(f"{run}/_manifests")
+        latest = rows.agg(F.max("version")).first()[0]
     except AnalysisException as exc:
         if not _absent(exc):
             raise
-        return spark.createDataFrame([], ddl)
+        return None, {}
+    found = rows.where(F.col("version") == latest).collect()  # a row per origin
+    return (found[0]["base"], {r["origin"]: r["epoch"] for r in found}) if found else (None, {})
+
+
+def read_answer_parts(spark: SparkSession, root: str, checkpoint: str, model_id: str,
+                      buckets: list[int] | None = None) -> DataFrame:
+    """Stored answers of a run with the (origin, epoch) part each came from.
+
+    The base of the last compaction and the parts stored since are read, of both only
+    the files of ``buckets`` if given. An absent run gives an empty table.
+    """
+    run = run_dir(root, checkpoint, model_id)
+    base, included = _manifest(spark, run)
+
+    def stored(path: str) -> DataFrame:
+        try:
+            found = spark.read.schema(_PART_DDL).parquet(path)
+        except AnalysisException as exc:
+            if not _absent(exc):
+                raise
+            return spark.createDataFrame([], _PART_DDL)
+        return found.where(F.col("bucket").isin(buckets)) if buckets is not None else found
+    parts = stored(run)
+    for origin, epoch in included.items():
+        parts = parts.where((F.col("origin") != origin) | (F.col("epoch") > epoch))
+    return (stored(f"{run}/{base}").unionByName(parts) if base else parts).drop("bucket")
 
 
 def read_answers(spark: SparkSession, root: str, checkpoint: str, model_id: str) -> DataFrame:
     """One stored answer per index: a valid one before an error, then the latest."""
-    parts = read_answer_parts(spark, root, checkpoint, model_id)
-    version = F.struct(~F.coalesce("result", F.lit("")).startswith("ERROR:"), "epoch")
-    best = latest_per_key(parts.withColumn("_v", version).drop("origin", "epoch"), "index", "_v")
-    return best.select(*QUESTION_FIELDS, "result", F.coalesce("raw_output", F.lit("")).alias("raw_output"))
+    return _best(read_answer_parts(spark, root, checkpoint, model_id)).select(
+        *QUESTION_FIELDS, "result", F.coalesce("raw_output", F.lit("")).alias("raw_output"))
+
+
+def _best(parts: DataFrame) -> DataFrame:
+    version = F.struct(~F.coalesce("result", F.lit("")).startswith("ERROR:"), "epoch", "origin")
+    return latest_per_key(parts.withColumn("_v", version), "index", "_v").drop("_v")
 
 
 def store_answers(answers: DataFrame, root: str, checkpoint: str, model_id: str, origin: str,
                   epoch: int) -> None:
     """Write one part of a run. Storing the same part again replaces it."""
     part = f"{run_dir(root, checkpoint, model_id)}/origin={origin}/epoch={epoch}"
-    answers.select(*QUESTION_FIELDS, "result", "raw_output").write.mode("overwrite").parquet(part)
+    rows = answers.select(*QUESTION_FIELDS, "result", "raw_output", bucket_of(F.col("index")).alias("bucket"))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(part)
+
+
+def compact_answers(spark: SparkSession, root: str, checkpoint: str, model_id: str, remove: bool = True) -> None:
+    """Merge all parts into one base, a file per bucket, and point the manifest to it.
+
+    One answer per index stays, as :func:`read_answers` picks it, with the part it came
+    from. The manifest is written last: until then readers see the old state, and a
+    part that is stored again after it was merged is ignored. ``remove`` deletes merged
+    parts and older bases; nobody else may read the run meanwhile.
+    """
+    run = run_dir(root, checkpoint, model_id)
+    _, before = _manifest(spark, run)
+    parts = read_answer_parts(spark, root, checkpoint, model_id)
+    newest = {r["origin"]: r["epoch"] for r in parts.groupBy("origin").agg(F.max("epoch").alias("epoch")).collect()}
+    included = {o: max(before.get(o, e), e) for o, e in {**before, **newest}.items()}
+    if not included:
+        return
+    version = time.time_ns()
+    base = f"_base/{version}"
+    best = _best(parts).withColumn("bucket", bucket_of(F.col("index")))
+    best.repartition("bucket").write.partitionBy("bucket").parquet(f"{run}/{base}")
+    spark.createDataFrame([(version, base, o, e) for o, e in included.items()], "version long, base string, origin string, epoch long").write.mode(
+        "append").json(f"{run}/_manifests")
+    if remove:
+        _remove_merged(spark, run, base, included)
+
+
+def _remove_merged(spark: SparkSession, run: str, base: str, included: dict[str, int]) -> None:
+    """Deletes the parts and bases that the manifest no longer names, on whatever file system holds them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(run).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(folder: str) -> list[str]:
+        return [f.getPath().getName() for f in store.listStatus(path(folder))] if store.exists(path(folder)) else []
+    for origin, last in included.items():
+        for name in names(f"{run}/origin={origin}"):
+            if name.startswith("epoch=") and int(name[6:]) <= last:
+                store.delete(path(f"{run}/origin={origin}/{name}"), True)
+    for name in names(f"{run}/_base"):
+        if f"_base/{name}" != base:
+            store.delete(path(f"{run}/_base/{name}"), True)
 
 
 def read_answer_array(spark: SparkSession, path: str) -> DataFrame:

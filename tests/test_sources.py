@@ -178,3 +178,31 @@ def test_stream_dedupe_with_bounded_state(spark, tmp_path):
     (first_per_id(stream, ["id"], "at", "2 hours").writeStream.format("parquet").option("path", str(tmp_path / "out"))
      .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination())
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(5))
+
+
+def test_an_epoch_reads_no_more_files_the_more_epochs_there_were(spark, tmp_path):
+    root, asked = str(tmp_path / "store"), _questions(spark, 400)
+    read = []
+    for epoch in range(13):
+        lines = spark.createDataFrame([(_line(i, f"[[{i}]]"), 0) for i in range(epoch * 3, epoch * 3 + 5)], "value string, _split int")
+        read.append(records.read_answer_parts(spark, root, "r", "m", [0, 1]).select(F.input_file_name()).distinct().count())
+        merge_micro_batch(lines, epoch, asked, root, "r", "m", "openai", "o", compact_every=4)
+    assert max(read) <= 2 * 4 and max(read[8:]) <= max(read[:8]) + 1
+    before = sorted(tuple(r) for r in records.read_answers(spark, root, "r", "m").select("index", "result").collect())
+    assert before == [(i, f"[[{i}]]") for i in range(41)]
+    # A replay of an epoch that has been merged changes nothing.
+    merge_micro_batch(spark.createDataFrame([(_line(3, "[[x]]"), 0)], "value string, _split int"), 1, asked, root, "r", "m", "openai", "o")
+    assert sorted(tuple(r) for r in records.read_answers(spark, root, "r", "m").select("index", "result").collect()) == before
+
+
+def test_compaction_without_removal_and_of_nothing(spark, tmp_path):
+    root = str(tmp_path / "store")
+    records.compact_answers(spark, root, "r", "m")
+    assert records.read_answers(spark, root, "r", "m").count() == 0
+    rows = _questions(spark, 3).withColumn("raw_output", F.lit(""))
+    records.store_answers(rows.withColumn("result", F.lit("ERROR:no_output")), root, "r", "m", "a", 0)
+    records.store_answers(rows.where("index < 2").withColumn("result", F.lit("[[1]]")), root, "r", "m", "b", 0)
+    records.compact_answers(spark, root, "r", "m", remove=False)
+    records.store_answers(rows.where("index = 2").withColumn("result", F.lit("[[2]]")), root, "r", "m", "a", 1)
+    got = sorted((r["index"], r["result"]) for r in records.read_answers(spark, root, "r", "m").collect())
+    assert got == [(0, "[[1]]"), (1, "[[1]]"), (2, "[[2]]")]
