@@ -48,12 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", compression: str | None = None) -> DataFrame:
     """Write a small intermediate to the shared folder and read it back.
 
     Cuts the lineage for results that several later steps use; the files
-    outlive any executor.
+    outlive any executor. ``compression`` is Parquet's, by default the session's.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
