@@ -188,11 +188,9 @@ def judge(counted: DataFrame, model: VoteModel | None = None) -> DataFrame:
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are kept, all their columns as they were.
 
-    Texts are counted once to fit the model and once to apply it: nothing is
-    written or shuffled but the vote patterns.
+    Texts are counted once: documents and counts go to the shared folder, where the
+    model is fitted to the counts and applied to them.
     """
     whole = docs.select(F.struct("*").alias("_doc"), F.col(f"`{text_col}`").alias("_text"))  # no column can clash
-    # The row number keeps the filter above the counts; pushed below them it would
-    # count every text once for each place where the verdict names a count.
-    counted = text_counts(whole, "_text").withColumn("_row", F.monotonically_increasing_id())
-    return judge(counted, fit(counted.drop("_row"))).where("kept AND _row >= 0").select("_doc.*")
+    counted = materialize(text_counts(whole, "_text").drop("_text"), "quality-counts", "zstd")
+    return judge(counted).where("kept").select("_doc.*")
