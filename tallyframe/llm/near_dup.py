@@ -254,7 +254,7 @@ def _links(texts: DataFrame, nodes: DataFrame, threshold: float, block: int) ->
     placed = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "node", "hub", "label", "alike", "equal", "side", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"))
     more = (_shingled(texts, nodes, placed).groupBy("hub", "first", "second").applyInArrow(_verifier(threshold), "a long, b long"))
-    return found.unionByName(more)
+    return materialize(found.unionByName(more), "links")  # read from both ends
 
 
 def _classes(texts: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
