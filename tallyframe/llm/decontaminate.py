@@ -11,10 +11,12 @@ verified by exact containment of all shingles. The search loses no item.
 Items are taken in blocks of at most ``ITEM_BLOCK`` shingles, the only thing that
 is broadcast; documents are streamed against each block and never shuffled.
 
+An item of fewer than five words is one window of its own length: it is looked up
+among the windows of that many words, each length with a table of its own.
+
 Defined results: null and empty texts and items hold no shingle and match
-nothing; a text of one to four words has a single shingle, all its words, so
-such an item is found only where a document consists of it; repeated rows of
-documents give repeated rows; repeated items count once; extra columns are
+nothing; an item of one to four words is found wherever its words stand side by
+side; repeated rows of documents give repeated rows; repeated items count once; extra columns are
 ignored; a null id is returned as null.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.words import distinct_shingles, row_key, shingles_of, slices, words_of
+from tallyframe.llm.words import SHINGLE, distinct_shingles, row_key, shingles_of, slices, words_of
 
 THRESHOLD = 0.8
 ITEM_BLOCK = 2_000_000
@@ -77,35 +79,45 @@ def size_classes(items: list[np.ndarray], threshold: float) -> list[SizeClass]:
 
 def _shingle_rows(batches) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
-        h, _, offsets = distinct_shingles(words_of(part.column("text")))
+        words = words_of(part.column("text"))
+        h, _, offsets = distinct_shingles(words)
         rows = [h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+        for n in range(1, SHINGLE):
+            own, cuts = shingles_of(words, n)
+            for i in np.flatnonzero(words.counts == n):
+                rows[i] = own[cuts[i]:cuts[i + 1]].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [part.column("item_id"), pa.array(rows, pa.binary()), pa.array(np.diff(offsets), pa.int64())],
-            ["item_id", "hashes", "n"])
+            [part.column("item_id"), pa.array(rows, pa.binary()), pa.array(np.diff(offsets), pa.int64()),
+             pa.array(np.minimum(words.counts, SHINGLE), pa.int64())], ["item_id", "hashes", "n", "words"])
 
 
-def _matcher(ids: list, items: list[np.ndarray], threshold: float):
+def _matcher(ids: list, items: list[np.ndarray], words: list[int], threshold: float):
     """The mapInArrow function that finds one block of items in documents."""
-    classes = size_classes(items, threshold)
+    by_words = {}
+    for size in sorted(set(words)):
+        members = [i for i, n in enumerate(words) if n == size]
+        by_words[size] = np.array(members), size_classes([items[i] for i in members], threshold)
 
     def match(batches) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            h, offsets = shingles_of(words_of(part.column("text")))
-            sizes = np.diff(offsets)
-            pairs = set()
-            for c in classes:
-                at, item = c.hits(h)
-                doc = np.searchsorted(offsets, at, "right") - 1
-                large = sizes[doc] >= c.smallest
-                pairs.update(zip(doc[large].tolist(), item[large].tolist()))
-            rows, own, last = [], None, -1
-            for doc, item in sorted(pairs):
-                if doc != last:
-                    own, last = np.unique(h[offsets[doc]:offsets[doc + 1]]), doc
-                at = np.minimum(np.searchsorted(own, items[item]), len(own) - 1)
-                shared = int((own[at] == items[item]).sum())
-                if shared >= needed(len(items[item]), threshold):
-                    rows.append((doc, ids[item], shared, len(items[item])))
+            texts, rows = words_of(part.column("text")), []
+            for size, (members, classes) in by_words.items():
+                h, offsets = shingles_of(texts, size)
+                sizes = np.diff(offsets)
+                pairs = set()
+                for c in classes:
+                    at, item = c.hits(h)
+                    doc = np.searchsorted(offsets, at, "right") - 1
+                    large = sizes[doc] >= c.smallest
+                    pairs.update(zip(doc[large].tolist(), members[item[large]].tolist()))
+                own, last = None, -1
+                for doc, item in sorted(pairs):
+                    if doc != last:
+                        own, last = np.unique(h[offsets[doc]:offsets[doc + 1]]), doc
+                    at = np.minimum(np.searchsorted(own, items[item]), len(own) - 1)
+                    shared = int((own[at] == items[item]).sum())
+                    if shared >= needed(len(items[item]), threshold):
+                        rows.append((doc, ids[item], shared, len(items[item])))
             if rows:
                 docs, found, shared, n = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -128,13 +140,13 @@ def _find(texts: DataFrame, items: DataFrame, item_col: str = "item_id", thresho
     """``find_items`` in texts (doc_id, text); doc_id may be of any type."""
     kind = texts.schema["doc_id"].dataType.simpleString()
     shingled = (items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col("text")).distinct()
-                .mapInArrow(_shingle_rows, "item_id long, hashes binary, n long"))
+                .mapInArrow(_shingle_rows, "item_id long, hashes binary, n long, words long").where("n > 0"))
     total = shingled.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // item_block))
     out = None
     for b in range(blocks):
         rows = shingled.where(F.pmod(F.xxhash64("hashes"), F.lit(blocks)) == b).collect()
-        match = _matcher([r.item_id for r in rows], [np.frombuffer(r.hashes, np.uint64) for r in rows], threshold)
+        match = _matcher([r.item_id for r in rows], [np.frombuffer(r.hashes, np.uint64) for r in rows], [r.words for r in rows], threshold)
         found = texts.mapInArrow(match, f"doc_id {kind}, item_id long, n_shared long, n_item long")
         out = found if out is None else out.unionAll(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))

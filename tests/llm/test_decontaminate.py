@@ -62,3 +62,19 @@ def test_sketches_keep_the_exact_bound():
         for i in set(c.owners.tolist()):
             n = len(items[i])
             assert (c.owners == i).sum() == n - math.ceil(0.8 * n - 1e-9) + 1
+
+
+def test_items_of_one_to_four_words_inside_documents(spark):
+    items = [(1, "answer is blue"), (2, "Blue"), (3, "a b c d"), (4, "blue and"), (5, "a b c d e"), (6, "is answer")]
+    docs = [(1, prose(50, 1) + " the answer  IS\nblue and " + prose(50, 2)), (2, "answer is"), (3, "x a b c d y"), (4, "a b c"), (5, "blue")]
+    got = found(spark, items, docs)
+    assert got == sorted([(1, 1, 1, 1), (1, 2, 1, 1), (1, 4, 1, 1), (3, 3, 1, 1), (5, 2, 1, 1)], key=str)
+    mixed = frame(spark, docs + [(i, "two words") for i in range(10, 20)]).repartition(30)
+    kept = d.decontaminate(mixed, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, *range(10, 20)]
+
+
+def test_one_short_item_and_text_a_partition(spark):
+    items = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, None), (4, "five six")], "item_id long, text string").repartition(8)
+    docs = frame(spark, [(i, t) for i, t in enumerate(["one two three", "two words", "four", "", None, "a five six"])]).repartition(20)
+    assert sorted((r.doc_id, r.item_id) for r in d.find_items(docs, items).collect()) == [(0, 1), (2, 2), (5, 4)]
