@@ -26,15 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.words import slices
+from tallyframe.llm.words import bound_batches, slices
 
 TRAIN_ROWS = 3000
-TRAIN_BYTES = 1 << 14
+TRAIN_BYTES, TRAIN_PIECES = 1 << 15, 32
 EMBED, FILTERS, STRIDE, WIDTH = 8, 32, 4, 8
 CHUNK, OVERLAP = 128, 16
-EPOCHS, BATCH, RATE = 6, 48, 0.004
+STEPS, BATCH, RATE = 400, 48, 0.004
 FOLDS, HELD_OUT = 3, 1
-_SLICE = 2 << 20
+_SLICE = 1 << 20
+SEGMENT_CHUNKS = 2048
 _HALF = STRIDE * EMBED
 
 
@@ -83,16 +84,43 @@ def convolve(net: Network, data: np.ndarray) -> np.ndarray:
     return out
 
 
+def segments(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """(text, bytes, chunk starts, chunk ends) of at most ``SEGMENT_CHUNKS`` chunks each, as ``lay_out`` has them."""
+    for i, text in enumerate(texts):
+        n = max(1, -(-len(text) // STRIDE))
+        firsts = np.arange(0, max(1, n - OVERLAP), CHUNK - OVERLAP)
+        for k in range(0, len(firsts), SEGMENT_CHUNKS):
+            first = firsts[k:k + SEGMENT_CHUNKS]
+            ends = np.minimum(first + CHUNK, n)
+            piece = text[first[0] * STRIDE:(ends[-1] + 1) * STRIDE]
+            yield i, piece + bytes((ends[-1] + 1 - first[0]) * STRIDE - len(piece)), first - first[0], ends - first[0]
+
+
 def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Probability of label 1 for each text."""
-    data, starts, ends, owner = lay_out(texts)
-    conv = convolve(net, data)
-    edges = np.stack([starts, ends], 1).ravel()
-    if edges[-1] == len(conv):
-        edges = edges[:-1]
-    pooled = np.maximum(np.maximum.reduceat(conv, edges, axis=0)[::2], 0)
-    logits = np.bincount(owner, pooled @ net.out + net.offset[0], len(texts)) / np.bincount(owner, minlength=len(texts))
-    return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
+    """Probability of label 1 for each text; a long one is read in segments, never laid out whole."""
+    total, chunks = np.zeros(len(texts)), np.zeros(len(texts))
+
+    def add(held: list) -> None:
+        bases = np.cumsum([0] + [len(piece) // STRIDE for _, piece, _, _ in held])
+        conv = convolve(net, np.frombuffer(b"".join(piece for _, piece, _, _ in held), np.uint8))
+        edges = np.concatenate([np.stack([starts, ends], 1).ravel() + base for base, (_, _, starts, ends) in zip(bases, held)])
+        if edges[-1] == len(conv):
+            edges = edges[:-1]
+        pooled = np.maximum(np.maximum.reduceat(conv, edges, axis=0)[::2], 0)
+        owner = np.repeat([i for i, *_ in held], [len(starts) for _, _, starts, _ in held])
+        total[:] += np.bincount(owner, pooled @ net.out + net.offset[0], len(texts))
+        chunks[:] += np.bincount(owner, minlength=len(texts))
+
+    held, size = [], 0
+    for segment in segments(texts):
+        held.append(segment)
+        size += len(segment[1])
+        if size >= _SLICE:
+            add(held)
+            held, size = [], 0
+    if held:
+        add(held)
+    return 1 / (1 + np.exp(-np.clip(total / chunks, -50, 50)))
 
 
 def gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
@@ -115,14 +143,16 @@ def gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.n
     return [d_embed, d_filters, back.sum(0), (slope[:, None] * pooled).sum(0), slope.sum(keepdims=True)]
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Network:
-    """Adam over shuffled batches; the same sample gives the same network."""
+def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS) -> Network:
+    """Adam over shuffled batches, as many steps whatever the sample; the same sample gives the same network."""
     net, rng = start_network(), np.random.default_rng(11)
     first, second, step = [0.0] * 5, [0.0] * 5, 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             step += 1
+            if step > steps:
+                break
             batch = order[a:a + BATCH]
             grads = gradients(net, [texts[i] for i in batch], labels[batch])
             for k, (p, g) in enumerate(zip(net.parameters(), grads)):
@@ -136,14 +166,24 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def _spread(text: Column) -> Column:
+    """All bytes of a text, or of a longer one ``TRAIN_PIECES`` pieces from its first byte to its last, zeros between."""
+    piece = TRAIN_BYTES // TRAIN_PIECES
+    last = F.length(text) - piece
+    at = [F.floor(last * F.lit(j) / F.lit(TRAIN_PIECES - 1)).cast("int") + 1 for j in range(TRAIN_PIECES)]
+    gap = F.lit(bytes(WIDTH))
+    pieces = F.concat(*[x for a in at for x in (F.substr(text, a, F.lit(piece)), gap)])
+    return F.when(F.length(text) <= TRAIN_BYTES, text).otherwise(pieces)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "quality", rows: int = TRAIN_ROWS) -> list:
-    """At most ``rows`` labelled (text, label) rows of the training folds."""
+    """At most ``rows`` labelled (text, label) rows of the training folds; of long texts pieces spread over all of it."""
     key = F.col(f"`{id_col}`")
     chosen = (labels.select(key.alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
               .where(key.isNotNull() & F.col("label").isNotNull() & ~held_out(key))
               .orderBy(F.xxhash64("id"), "id").limit(rows))
-    texts = docs.select(key.alias("id"), F.substring(F.col(f"`{text_col}`").cast("binary"), 1, TRAIN_BYTES).alias("data"))
+    texts = docs.select(key.alias("id"), _spread(F.col(f"`{text_col}`").cast("binary")).alias("data"))
     found = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "label", "data").limit(rows)
     return [(bytes(r.data or b""), r.label) for r in found.collect()]
 
@@ -164,5 +204,6 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             scores = score_texts(net, texts) if net else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores.astype(np.float64))], ["doc_id", "score"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
                        ).mapInArrow(run, "doc_id long, score double")

@@ -64,3 +64,49 @@ def test_odd_texts_and_no_labels(spark):
     one = spark.createDataFrame([(6, 1), (14, 0)], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 for r in c.score(frame(spark), c.fit(frame(spark), one)).collect())
     assert c.score(frame(spark, []), None).count() == 0
+
+
+def plain_score(net, text):
+    """A forward pass written out, one chunk and one position at a time."""
+    n = max(1, -(-len(text) // c.STRIDE))
+    data = text + bytes((n + 1) * c.STRIDE - len(text))
+    logits = []
+    for first in range(0, max(1, n - c.OVERLAP), c.CHUNK - c.OVERLAP):
+        best = None
+        for at in range(first, min(first + c.CHUNK, n)):
+            window = data[at * c.STRIDE:at * c.STRIDE + c.WIDTH]
+            out = np.concatenate([net.embed[b] for b in window]) @ net.filters + net.bias
+            best = out if best is None else np.maximum(best, out)
+        logits.append(np.maximum(best, 0) @ net.out + net.offset[0])
+    return 1 / (1 + np.exp(-np.mean(logits)))
+
+
+def test_scores_match_a_plain_forward_pass(monkeypatch):
+    net = c.start_network()
+    texts = [b"", b"x", "é%%% ".encode() * 7, prose(60, 1).encode(), prose(900, 2).encode(), b"q" * 1793, b"r" * 1792]
+    want = [plain_score(net, t) for t in texts]
+    assert np.allclose(c.score_texts(net, texts), want, atol=1e-5)
+    monkeypatch.setattr(c, "SEGMENT_CHUNKS", 3)
+    monkeypatch.setattr(c, "_SLICE", 900)
+    assert np.allclose(c.score_texts(net, texts), want, atol=1e-5)
+
+
+def test_a_text_of_thirty_megabytes_takes_little_memory():
+    import tracemalloc
+    net, text = c.start_network(), b"some words here " * (30 << 16)
+    tracemalloc.start()
+    c.score_texts(net, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_training_reads_all_of_a_long_text(spark):
+    text = "clean words " * 10_000 + "###" * 2000
+    import zlib
+    one, two = [i for i in range(50) if zlib.crc32(str(i).encode()) % c.FOLDS != c.HELD_OUT][:2]
+    docs = frame(spark, [(one, text), (two, "short")])
+    labels = spark.createDataFrame([(one, 0), (two, 1)], "doc_id long, quality int")
+    sample = dict((label, data) for data, label in c.training_sample(docs, labels))
+    assert sample[1] == b"short" and b"###" in sample[0] and len(sample[0]) <= c.TRAIN_BYTES + c.TRAIN_PIECES * c.WIDTH
+    assert sample[0].startswith(b"clean words") and sample[0].rstrip(bytes(1)).endswith(b"###")
