@@ -72,8 +72,23 @@ def _join_ids(row: dict, codes: np.ndarray, answers: list[bytes]) -> pa.Table:
     return pa.table([pa.array(row["ids"], pa.int64()), lists], ["doc_id", "ids"])
 
 
+#: Texts in which a tokenizer that looks beyond single words gives itself away.
+_PROBES = ("Hello world again", " a  b\n\nc\t", "x, y")
+
+
+def cuts_at_blanks(tokenizer_path: str) -> bool:
+    """Whether a text's ids are those of its words one by one, which a table of distinct words needs."""
+    ids = lambda text: load_tokenizer(tokenizer_path).encode(text, add_special_tokens=False).ids
+    return all(ids(text) == [i for word in text.split() for i in ids(word)] for text in _PROBES)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every whole text, without special tokens added."""
+    """(doc_id, ids) of every whole text, without special tokens added.
+
+    A tokenizer to which white space is more than a border between words is refused.
+    """
+    if not cuts_at_blanks(tokenizer_path):
+        raise ValueError(f"{tokenizer_path}: the ids of a text are not those of its words")
     blocks, words = code_blocks(docs, id_col, text_col)
     answers = answer_words(words, _word_encoder(tokenizer_path))
     return finish_blocks(blocks, answers, _join_ids, ENCODED)

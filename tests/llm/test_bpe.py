@@ -52,3 +52,11 @@ def test_long_text_in_small_blocks(spark, path, monkeypatch):
     got = bpe.encode(frame(spark, [(1, LONG), (2, "short"), (3, LONG)]), path).collect()
     want = bpe.load_tokenizer(path).encode(LONG, add_special_tokens=False).ids
     assert {r.doc_id: len(r.ids) for r in got} == {1: len(want), 2: 1, 3: len(want)}
+
+
+def test_tokenizers_that_look_beyond_words_are_refused(spark):
+    import pytest
+    from samples import frame as documents
+    assert bpe.cuts_at_blanks(queries.tokenizer_path())
+    with pytest.raises(ValueError):
+        bpe.encode(documents(spark), queries.tokenizer_path("byte_bpe_50k.json"))
