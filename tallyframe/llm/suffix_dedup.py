@@ -437,7 +437,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"),
                        F.xxhash64(text).alias("tie"), F.xxhash64(F.lit(WINDOW), text).alias("other"), text.alias("text"))
-    blocks = materialize(rows.mapInArrow(_make_blocks, _BLOCK), "text-blocks")
+    blocks = materialize(rows.mapInArrow(_make_blocks, _BLOCK), "text-blocks", "zstd")
     total = blocks.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0]
     shards = max(1, -(-(total or 0) // SHARD_BYTES))
     hashes = blocks.mapInArrow(_block_hashes, "h long, block long")
