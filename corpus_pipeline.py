@@ -3,6 +3,12 @@
 Every stage works on all documents that the stage before it kept. Stages ahead of
 the last return the columns of ``documents``; a clean document passes all of them
 unchanged, but for passages of 100 bytes that stand earlier in the corpus.
+
+Defined results: null and empty texts fail the quality rules and go; rows that repeat
+id and text are one document from the second stage on; rows of one or no ``doc_id``
+with different texts are documents of their own; a text whose every byte stands
+earlier goes on as an empty one, without tokens; an empty table passes all stages. The
+columns are those of ``documents``, others pass through the first four stages.
 """
 
 from __future__ import annotations
