@@ -120,6 +120,11 @@ def _approximate_stats(cells: DataFrame) -> DataFrame:
         F.count_if(present & looks_date(value)).alias("date_hits"),
         F.count_if(present & looks_numeric(value)).alias("num_hits"),
         F.count_if(present & looks_boolean(value)).alias("bool_hits"))
+    return match_rates(counted)
+
+
+def match_rates(counted: DataFrame, *more: Column) -> DataFrame:
+    """Shares out of per-column counts whose distinct count may be an estimate."""
     shown = F.col("present_count")
     missing = F.col("row_count") - shown
     return counted.select(
@@ -128,7 +133,7 @@ def _approximate_stats(cells: DataFrame) -> DataFrame:
         F.least(_share(F.col("unique_count"), shown), F.lit(1.0)).alias("unique_ratio"),
         _share(F.col("date_hits"), shown).alias("date_match_ratio"),
         _share(F.col("num_hits"), shown).alias("numeric_match_ratio"),
-        _share(F.col("bool_hits"), shown).alias("bool_match_ratio"))
+        _share(F.col("bool_hits"), shown).alias("bool_match_ratio"), *more)
 
 
 SEMANTIC_GROUPS = ("date_columns", "numeric_columns", "boolean_like_columns", "id_like_columns",

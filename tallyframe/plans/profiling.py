@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tallyframe.operators.profile import (SEMANTIC_GROUPS, column_stats, melt, mixed_layout_columns, profile_columns,
                                           profile_document, ranked_values, semantic_flags,
                                           semantic_groups, value_counts)
+from tallyframe.operators.sketches import read_sketches, sketched_profile, update_sketches
+from tallyframe.plans.io import fresh_dir
 from tallyframe.plans.messy import MELTED, messy_orders
 from tallyframe.plans.registry import query, table
 
@@ -153,3 +155,32 @@ def profile_approximate(spark, sf_dir):
     """The one-scan mode: everything but the distinct count is exact."""
     return profile_columns(messy_orders(spark, sf_dir), "pos", exact=False).select(
         "column", "missing_count", "date_match_ratio", "numeric_match_ratio", "bool_match_ratio")
+
+
+@query("profile_grown_folder", oracle=RANKED + """,
+few AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS place,
+               count(*) OVER (PARTITION BY "column") AS d FROM valued),
+tops AS (SELECT "column", list(value || '=' || n ORDER BY place) AS top_values
+         FROM few WHERE d <= 100 AND place <= 5 GROUP BY "column")
+SELECT "column", row_count, missing_count, missing_ratio, date_match_ratio, numeric_match_ratio, bool_match_ratio,
+       top_values, TRUE AS distinct_in_bound
+FROM stats LEFT JOIN tops USING ("column")""")
+def profile_grown_folder(spark, sf_dir):
+    """A folder profiled, grown and profiled again from old sketches and new files.
+
+    The distinct estimates are held against exact counts: five standard errors.
+    """
+    folder, store = fresh_dir(spark, "grown"), fresh_dir(spark, "sketches")
+    orders = messy_orders(spark, sf_dir)
+    late = F.coalesce(F.col("priority") >= "3", F.lit(False))
+    for drop in (orders.where(~late), orders.where(late)):
+        drop.drop("pos").write.mode("append").parquet(folder)
+        update_sketches(spark, folder, store, lambda paths: spark.read.parquet(*paths), "*.parquet")
+    shown = sketched_profile(read_sketches(spark, store))
+    exact = column_stats(_values(spark, sf_dir)).select("column", F.col("unique_count").alias("exact"))
+    near = F.abs(F.col("unique_count") - F.col("exact")) <= 5 * 0.0082 * F.col("exact")
+    listed = F.transform("top_values", lambda t: F.concat(t["value"], F.lit("="), t["count"].cast("string")))
+    return shown.join(exact, "column").select(
+        "column", "row_count", "missing_count", "missing_ratio", "date_match_ratio", "numeric_match_ratio",
+        "bool_match_ratio", F.when(F.col("exact").between(1, 100), listed).alias("top_values"),
+        near.alias("distinct_in_bound"))
