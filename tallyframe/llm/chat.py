@@ -152,15 +152,23 @@ def canonical_records(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...
     present = F.filter(F.array(*[F.when(_has(p), F.lit(p)) for p in known_paths(tuple(whole))]), lambda p: p.isNotNull())
     parsed = parsed.withColumn("_present", present)
     parsed = parsed.withColumn("fingerprint", F.sha2(F.array_join("_present", "\n"), 256))
+    known = sorted(registry(tuple(whole)).items(), key=lambda w: (len(w[1][1]), w[1][0].name))
+    # A registered fingerprint selects its mapping. Another stands for fields of several layouts: as for
+    # tables, the largest complete one counts, the last wrapped around the others, by its own fingerprint.
+    largest = F.lit(None).cast("string")
+    for key, (_, paths) in known:
+        complete = F.size(F.array_except(F.array(*map(F.lit, sorted(paths))), "_present")) == 0
+        largest = F.when(complete, F.lit(key)).otherwise(largest)
+    own = F.when(F.col("fingerprint").isin([key for key, _ in known]), F.col("fingerprint"))
+    parsed = parsed.withColumn("_mapping", F.coalesce(own, largest))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    # As for tables, the largest complete layout counts: it is the last one wrapped around the others.
-    for m, paths in sorted(registry(tuple(whole)).values(), key=lambda w: (len(w[1]), w[0].name)):
+    for key, (m, paths) in known:
         lists = {p.partition("[")[0]: [q.partition(".")[2] for q in m.paths if q.startswith(p.partition(".")[0] + ".")]
                  for p in m.paths if "[" in p}
         sql = _turns_sql(m, paths, lambda f, lists=lists: _elements(f, lists[f]) if f in lists else f"try_variant_get(_record, '$.{f}', 'string')")
-        chosen = F.size(F.array_except(F.array(*map(F.lit, sorted(paths))), "_present")) == 0
+        chosen = F.col("_mapping") == key
         layout, turns = F.when(chosen, F.lit(m.name)).otherwise(layout), F.when(chosen, F.expr(sql)).otherwise(turns)
-    return parsed.withColumns({"layout": layout, "turns": turns}).drop("_record", "_present")
+    return parsed.withColumns({"layout": layout, "turns": turns}).drop("_record", "_present", "_mapping")
 
 
 def escape(text: Column) -> Column:

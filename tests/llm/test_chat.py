@@ -86,5 +86,15 @@ def test_extra_known_fields_and_gaps_lose_no_record(spark):
         5: ("prompt_completion", [("user", "p"), ("assistant", "c")]), 6: ("messages", [(None, None), ("user", "u")]), 7: (None, None)}
 
 
+def test_registered_fingerprint_selects_the_mapping(spark):
+    rows = [('{"prompt":"p","completion":"c","unknown":1}',), ('{"system":"s","prompt":"p","completion":"c"}',),
+            ('{"prompt":"p","completion":"c","answer":"a"}',)]
+    found = chat.registry(chat.MAPPINGS[1:])
+    got = chat.canonical_records(spark.createDataFrame(rows, "body string"), "body").collect()
+    assert [found[r.fingerprint][0].name if r.fingerprint in found else None for r in got] == [
+        "prompt_completion", "prompt_completion", None]
+    assert {r.layout for r in got} == {"prompt_completion"}
+
+
 def test_fingerprint_ignores_order_and_repeats():
     assert chat.fingerprint(["b", "a", "a"]) == chat.fingerprint(["a", "b"]) == hashlib.sha256(b"a\nb").hexdigest()
