@@ -17,12 +17,28 @@ from tallyframe.operators.ordering import with_row_order
 from tallyframe.session import materialize
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def _ordered(df: DataFrame, order_col: str | None) -> tuple[DataFrame, str]:
+    """The table with its order column, numbered by row where none is named."""
+    if order_col is not None:
+        return df, order_col
+    name = _unused(df, "_pos")
+    return with_row_order(df, name), name
+
+
 def melt(df: DataFrame, order_col: str) -> DataFrame:
     """(pos, column, value): one trimmed, never-null cell per row and column."""
     names = [c for c in df.columns if c != order_col]
-    cells = df.select(col(order_col).cast("bigint").alias("pos"), *[
+    place = _unused(df, "pos")
+    cells = df.select(col(order_col).cast("bigint").alias(place), *[
         F.coalesce(strip(col(c).cast("string")), F.lit("")).alias(c) for c in names])
-    return cells.unpivot("pos", [col(c) for c in names], "column", "value")
+    return cells.unpivot(place, [col(c) for c in names], "column", "value").withColumnRenamed(place, "pos")
 
 
 def value_counts(cells: DataFrame) -> DataFrame:
@@ -98,8 +114,7 @@ def profile_columns(df: DataFrame, order_col: str | None = None, k: int = 5,
     ``exact=False`` leaves out top values and samples of columns and counts
     distinct values approximately: one scan, no (column, value) shuffle.
     """
-    if order_col is None:
-        df, order_col = with_row_order(df, "_pos"), "_pos"
+    df, order_col = _ordered(df, order_col)
     cells = melt(df, order_col)
     if not exact:
         return _approximate_stats(cells)
@@ -170,8 +185,7 @@ def profile_document(df: DataFrame, db_id: str, order_col: str | None = None,
     The per-column statistics are computed once and kept as a small table, from
     which the groups, the mixed-layout candidates and the document are built.
     """
-    if order_col is None:
-        df, order_col = with_row_order(df, "_pos"), "_pos"
+    df, order_col = _ordered(df, order_col)
     names = [c for c in df.columns if c != order_col]
     stats = materialize(profile_columns(df, order_col), "profile")
     mixed = mixed_layout_columns(stats).agg(

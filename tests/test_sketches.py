@@ -21,10 +21,10 @@ def test_merged_parts_equal_the_exact_profile(spark):
         F.col("id").cast("string").alias("pos"), F.lit(None).cast("string").alias("nothing"))
     parts = sketch_columns(df.where("pos < 1000")).unionByName(sketch_columns(df.where("pos >= 1000")))
     got = by_column(sketched_profile(parts))
-    want = by_column(profile_columns(df.withColumnRenamed("pos", "_n").withColumn("place", F.col("_n").cast("long")), "place"))
+    want = by_column(profile_columns(df.withColumn("place", F.col("pos").cast("long")), "place"))
     assert set(got) == {"value", "column", "pos", "nothing"}
     for name in got:
-        exact = want["_n" if name == "pos" else name]
+        exact = want[name]
         assert [got[name][c] for c in EXACT] == [exact[c] for c in EXACT]
         assert abs(got[name]["unique_count"] - exact["unique_count"]) <= 0.04 * exact["unique_count"]
     counts = sorted(((-n["count"], n["value"]) for n in profile_columns(
@@ -45,6 +45,14 @@ def test_frequent_values_of_a_column_beyond_the_sketch(spark):
     assert abs(row["unique_count"] - exact) <= 0.04 * exact
 
 
+def test_profile_of_columns_named_like_its_own(spark):
+    df = spark.createDataFrame([("1", "a", "x", "b"), ("2", "a", "y", None)], "pos string, _pos string, column string, value string")
+    for got in (by_column(profile_columns(df)), by_column(profile_columns(df, "pos"))):
+        assert got["_pos"]["top_values"] == [{"value": "a", "count": 2}]
+        assert got["value"]["missing_count"] == 1 and got["column"]["unique_count"] == 2
+    assert set(by_column(profile_columns(df))) == {"pos", "_pos", "column", "value"}
+
+
 def test_no_columns_and_no_rows(spark):
     assert sketch_columns(spark.range(3).drop("id")).collect() == []
     assert sketched_profile(sketch_columns(spark.createDataFrame([], "a string"))).collect() == []
