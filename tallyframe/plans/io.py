@@ -107,22 +107,33 @@ def dialect_of_all_lines(spark, sf_dir):
 @query("csv_ranges", oracle="""
 SELECT doc_id, md5(replace(text, chr(10), '')) AS text_md5, source, true AS several_ranges FROM documents""")
 def csv_ranges(spark, sf_dir):
-    """Quoted line breaks in files that are cut into many byte ranges, each read by a task of its own."""
+    """Quoted line breaks in files that are cut into many byte ranges, each with a state of its own."""
     folder = fresh_dir(spark, "ranges")
     write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), folder, ",")
-    session = _small_ranges(spark)
+    session = _small_ranges(spark, folder)
     rows = datasets.read_dataset(session, folder, ["doc_id", "text", "source"], multiline=True, row_order=None)
-    ranges = session.read.text(folder).select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
-    files = session.read.text(folder).select("_metadata.file_path").distinct().count()
+    starts = session.read.text(folder).select("_metadata.file_path", "_metadata.file_block_start").distinct()
+    ranges, files = starts.agg(F.count(F.lit(1)), F.count_distinct("file_path")).first()
     return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), "source",
                        F.lit(ranges > files).alias("several_ranges"))
 
 
-def _small_ranges(spark: SparkSession) -> SparkSession:
-    """A session that deals files out in ranges of 64 KiB."""
+#: Ranges of so many bytes in all share a task.
+_TASK_BYTES = 32 << 20
+
+
+def _small_ranges(spark: SparkSession, folder: str) -> SparkSession:
+    """A session that deals files out in ranges of 64 KiB.
+
+    A task reads many ranges, so the number of tasks follows the folder's size and the
+    cluster, not the size of a range; what is known of a range stays inside it.
+    """
     session = spark.newSession()
     session.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
     session.conf.set("spark.sql.files.openCostInBytes", "1")
+    size = spark.read.format("binaryFile").load(folder).agg(F.sum("length")).first()[0] or 0
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-size // _TASK_BYTES))
+    session.conf.set("spark.sql.files.maxPartitionNum", str(tasks))
     return session
 
 
@@ -143,7 +154,7 @@ def question_array_file(spark, sf_dir):
     # One file per document array, its elements in order and without any line break between them.
     dealt.select("_p", "_i", line.alias("value")).repartition("_p").sortWithinPartitions("_p", "_i").select("value").write.option(
         "lineSep", " ").text(folder)
-    back = records.read_question_array(_small_ranges(spark), folder)
+    back = records.read_question_array(_small_ranges(spark, folder), folder)
     return back.select(F.col("sql").cast("bigint").alias("doc_id"), "db_id", F.md5("question").alias("question_md5"), "question_style", "cot")
 
 

@@ -144,8 +144,7 @@ def read_dataset(spark: SparkSession, path: str, columns: list[str], delimiter:
     options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE"}
     if multiline:
         records = csv_records(spark, path, delimiter, "" if newline_compat else "\n")
-        first = records.groupBy("file").agg(F.min("number").alias("header"))
-        body = records.join(F.broadcast(first), "file").where((F.col("number") != F.col("header")) & (F.col("record") != ""))
+        body = records.where(~F.col("head") & (F.col("record") != ""))
         df = body.select(F.col("number").alias(row_order or "_number"), F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("_r"))
         df = df.select(*([row_order] if row_order else []), "_r.*")
     else:

@@ -111,13 +111,13 @@ def _cut_lines(delimiter: str, joiner: str):
                     text = joiner.join(parts)
                 else:
                     text = "".join(p.removesuffix("\r") for p in parts)
-                rows.append((at[0], number, at[1], text, not crosses))
+                rows.append((at[0], number, at[1], text, not crosses, number == at[4]))
 
         def batch() -> pa.RecordBatch:
-            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                              ["file", "number", "block", "record", "whole"])
-        for key, new, values in _runs(batches, ("file", "block", "state", "first")):
+                                              ["file", "number", "block", "record", "whole", "head"])
+        for key, new, values in _runs(batches, ("file", "block", "state", "first", "top")):
             if new:
                 emit(leading or state == INSIDE)
                 at, state, parts = key, key[2], []
@@ -138,9 +138,9 @@ def _cut_lines(delimiter: str, joiner: str):
 
 
 def csv_records(spark: SparkSession, path: str, delimiter: str = ",", joiner: str = "") -> DataFrame:
-    """(file, number, record): the records of CSV files, numbered from 0 over all files in order.
+    """(file, number, record, head): the records of CSV files, numbered from 0 over all files in order.
 
-    Line breaks inside quotes become ``joiner``. A quote that is never closed takes the
+    ``head`` marks the first record of each file. Line breaks inside quotes become ``joiner``. A quote that is never closed takes the
     rest of its file, as any reader has it.
     """
     lines = pieces(spark, path, "\n")
@@ -148,14 +148,16 @@ def csv_records(spark: SparkSession, path: str, delimiter: str = ",", joiner: st
     started = with_start_state(effects).withColumn("n", F.when(F.col("state") == INSIDE, F.col("n1")).otherwise(F.col("n0")))
     earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row a byte range
     ranges = started.select("file", "block", "state", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    cut = lines.join(F.broadcast(ranges), ["file", "block"]).select("file", "block", "state", "first", "value").mapInArrow(
-        _cut_lines(delimiter, joiner), "file string, number long, block long, record string, whole boolean")
+    # A file's first range opens with its first record.
+    ranges = ranges.withColumn("top", F.min("first").over(Window.partitionBy("file")))
+    cut = lines.join(F.broadcast(ranges), ["file", "block"]).select("file", "block", "state", "first", "top", "value").mapInArrow(
+        _cut_lines(delimiter, joiner), "file string, number long, block long, record string, whole boolean, head boolean")
     crossing = (cut.where(~F.col("whole")).groupBy("file", "number")
-                .agg(F.sort_array(F.collect_list(F.struct("block", "record"))).alias("p"))
-                .select("file", "number", F.array_join(F.transform("p", lambda x: x["record"]), joiner).alias("record")))
+                .agg(F.sort_array(F.collect_list(F.struct("block", "record"))).alias("p"), F.max("head").alias("head"))
+                .select("file", "number", F.array_join(F.transform("p", lambda x: x["record"]), joiner).alias("record"), "head"))
     text = F.col("record")
     ended = F.when(text.endswith("\r"), F.left(text, F.length(text) - 1)).otherwise(text)
-    return cut.where("whole").select("file", "number", "record").unionByName(crossing).withColumn("record", ended)
+    return cut.where("whole").select("file", "number", "record", "head").unionByName(crossing).withColumn("record", ended)
 
 
 # JSON --------------------------------------------------------------------------

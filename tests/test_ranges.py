@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.folder import normalize_folder
 from tallyframe.sources import datasets, records
+from tallyframe.plans.io import _small_ranges
 from tallyframe.sources.ranges import csv_records, line_effect, structure
 
 
@@ -101,6 +102,32 @@ def test_structure_of_pieces():
     assert structure('a"[', 1) == (0, [("[", 2)]) and structure('a\\"', 1) == (1, []) and structure('["', 0) == (1, [("[", 0)])
 
 
+def test_many_ranges_share_a_task(spark, tmp_path):
+    rows = [(str(i), f'line one\nsays "{i}", ' + "x" * (i * 37 % 3000)) for i in range(5000)]
+    (tmp_path / "in").mkdir()
+    for name, part in (("a.csv", rows[:3500]), ("b.csv", rows[3500:])):
+        with open(tmp_path / "in" / name, "w", newline="") as f:
+            csv.writer(f, lineterminator="\n").writerows([["id", "t"], *part])
+    session = _small_ranges(spark, str(tmp_path / "in"))
+    text = session.read.text(str(tmp_path / "in"))
+    ranges = text.select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+    assert ranges > 100 and text.rdd.getNumPartitions() < ranges / 2
+    got = datasets.read_dataset(session, str(tmp_path / "in"), ["id", "t"], multiline=True, newline_compat=False).orderBy("pos").collect()
+    assert [(r["id"], r["t"]) for r in got] == rows
+    heads = csv_records(session, str(tmp_path / "in")).where("head").select("number", "record").orderBy("number").collect()
+    assert [tuple(r) for r in heads] == [(0, "id,t"), (3501, "id,t")]
+
+
+def test_many_ranges_of_an_array_share_a_task(spark, tmp_path):
+    texts = [f'}}, "{{{i}' + "y" * (i * 37 % 3000) for i in range(5000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "q.json").write_text(json.dumps([{"db_id": "d", "question": t} for t in texts]))
+    session = _small_ranges(spark, str(tmp_path / "in"))
+    assert session.read.text(str(tmp_path / "in"), lineSep="}").rdd.getNumPartitions() < 60  # of over 110 ranges
+    got = records.read_question_array(session, str(tmp_path / "in")).orderBy("index").collect()
+    assert [(r["index"], r["question"]) for r in got] == list(enumerate(texts))
+
+
 def test_no_file_is_an_error_if_files_are_required(spark, tmp_path):
     (tmp_path / "x.txt").write_text("a")
     with pytest.raises(FileNotFoundError):
