@@ -148,12 +148,11 @@ def question_array_file(spark, sf_dir):
     folder = fresh_dir(spark, "array")
     # One document a file of the table: brackets ahead and behind, commas between.
     dealt = d.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), item.alias("item"))
-    edge = Window.partitionBy("_p")
-    line = F.concat(F.when(F.col("_i") == F.min("_i").over(edge), "[").otherwise(""), F.col("item"),
-                    F.when(F.col("_i") == F.max("_i").over(edge), "]\n").otherwise(","))
+    edge = Window.partitionBy("_p").orderBy("_i")
+    line = F.concat(F.when(F.lag("_i").over(edge).isNull(), "[").otherwise(""), F.col("item"),
+                    F.when(F.lead("_i").over(edge).isNull(), "]\n").otherwise(","))
     # One file per document array, its elements in order and without any line break between them.
-    dealt.select("_p", "_i", line.alias("value")).repartition("_p").sortWithinPartitions("_p", "_i").select("value").write.option(
-        "lineSep", " ").text(folder)
+    dealt.repartition("_p").sortWithinPartitions("_p", "_i").select(line.alias("value")).write.option("lineSep", " ").text(folder)
     back = records.read_question_array(_small_ranges(spark, folder), folder)
     return back.select(F.col("sql").cast("bigint").alias("doc_id"), "db_id", F.md5("question").alias("question_md5"), "question_style", "cot")
 
