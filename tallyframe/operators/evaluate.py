@@ -163,9 +163,12 @@ def gold_for_answers(answers: DataFrame, gold_rows: DataFrame, cell_rows: int =
 
     Sets of more than ``cell_rows`` rows stay in ``gold_rows`` and have a null here.
     """
-    asked = gold_rows.join(answers.select("gold_id").distinct(), "gold_id", "left_semi")
-    counts = asked.groupBy("gold_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    gathered = (asked.join(counts.where(F.col("n_gold") <= cell_rows).select("gold_id"), "gold_id", "left_semi")
+    asked = answers.select("gold_id").distinct()
+    sizes = gold_rows.groupBy("gold_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    counts = sizes.join(asked, "gold_id", "left_semi")
+    # Rows of large sets leave before any shuffle by statement; each such id stands for over ``cell_rows`` rows.
+    large = sizes.where(F.col("n_gold") > cell_rows).select("gold_id")
+    gathered = (gold_rows.join(F.broadcast(large), "gold_id", "left_anti").join(asked, "gold_id", "left_semi")
                 .groupBy("gold_id").agg(F.sort_array(F.collect_list(F.struct("row_no", "cells"))).alias("r"))
                 .select("gold_id", F.transform("r", lambda x: x["cells"]).alias("gold")))
     return counts.join(gathered, "gold_id", "left")
@@ -176,7 +179,8 @@ def _same_beyond_cells(full: DataFrame, gold_rows: DataFrame, cell_rows: int, op
     large = full.where((F.col("n_gold") > cell_rows) & F.col("predicted").isNotNull() & (F.size("predicted") == F.col("n_gold")))
     pairs = large.select("index", "gold_id", is_order_sensitive(F.col("sql")).alias("ordered"))
     predicted = large.select("index", F.posexplode("predicted").alias("row_no", "cells")).withColumn("row_no", F.col("row_no").cast("long"))
-    gold = gold_rows.join(pairs.select("gold_id").distinct(), "gold_id", "left_semi")
+    # At most one id per ``cell_rows`` gold rows, so the rows need no shuffle.
+    gold = gold_rows.join(F.broadcast(pairs.select("gold_id").distinct()), "gold_id", "left_semi")
     return compare_long(pairs, predicted, gold, **options)
 
 

@@ -99,3 +99,13 @@ def test_gold_rows_are_there_whatever_the_answer_s_size(spark):
     tables = evaluate.report_tables(evaluate.evaluate_run(answers, asked, rows, status, cell_rows=5), rows)
     assert tables["expected"].groupBy("index").count().orderBy("index").collect() == [(0, 12), (2, 12)]
     assert tables["predicted"].where("index = 0").collect()[0]["cells"] == ["1"]
+
+
+def test_rows_of_large_gold_sets_leave_before_they_are_gathered(spark):
+    rows = spark.range(2003).selectExpr("id AS row_no", "array(named_struct('is_null', false, 'text', string(id), 'is_num', true, 'num', double(id))) AS cells",
+                                        "CASE WHEN id < 2000 THEN 'large' WHEN id < 2002 THEN 'small' ELSE 'unasked' END AS gold_id")
+    answers = spark.createDataFrame([("large",), ("small",), ("small",), ("none",)], "gold_id string")
+    got = evaluate.gold_for_answers(answers, rows, cell_rows=5)
+    assert {r["gold_id"]: (r["n_gold"], r["gold"] and len(r["gold"])) for r in got.collect()} == {"large": (2000, None), "small": (2, 2)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "strategy=broadcast" in plan
