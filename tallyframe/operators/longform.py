@@ -3,9 +3,11 @@
 Same rules as :func:`tallyframe.operators.compare.compare_rows`, for sets of any
 size. Shapes decide what they can; of the rest, column signatures (rows, nulls,
 numbers, an order-free hash of the texts, smallest and largest number) name the pairs
-of columns that may match. Only those are ranked, over range partitions, so a set or a
-constant column with a third of all cells spreads like any other, and joined cell by
-cell by rank.
+of columns that may match. Where row order counts, whole rows are ranked and joined.
+Elsewhere columns of texts, and columns whose cells hash alike, are compared as bags by
+counting every cell, and only columns with numbers that are no equal bags are ranked and
+joined cell by cell. Ranks come from range partitions, so a set or a constant column with
+a third of all cells spreads like any other.
 """
 
 from __future__ import annotations
@@ -32,18 +34,25 @@ def _signatures(cells: DataFrame) -> DataFrame:
     """What two columns must share to match, whatever the order of their rows."""
     cell, number = F.col("cell"), F.when(F.col("cell.is_num"), F.col("cell.num"))
     text = F.when(~cell["is_null"] & ~cell["is_num"], F.xxhash64(cell["text"]))
+    whole = F.xxhash64(*_identity(cell))
     return cells.groupBy("set_id", "place").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(cell["is_null"]).alias("nulls"), F.count_if(cell["is_num"]).alias("numbers"),
         F.coalesce(F.sum(F.pmod(text, F.lit(_HASH_BASE))), F.lit(0)).alias("texts"), F.coalesce(F.bit_xor(text), F.lit(0)).alias("mixed"),
-        F.min(number).alias("low"), F.max(number).alias("high"))
+        F.sum(F.pmod(whole, F.lit(_HASH_BASE))).alias("bag"), F.min(number).alias("low"), F.max(number).alias("high"))
+
+
+def _identity(cell: Column) -> list[Column]:
+    """What makes a cell; all nulls are one."""
+    return [F.coalesce(cell["is_null"], F.lit(True)).alias("is_null"),
+            *[F.when(~cell["is_null"], cell[c]).alias(c) for c in ("text", "is_num", "num")]]
 
 
 def _sort_key(order: str) -> Column:
-    """Place of a cell in its column: row order where it counts, else canonical order, ties by row."""
+    """Place of a cell in its column: canonical order, ties by row."""
     cell = F.col("cell")
     keys = {"text": [cell["is_null"], cell["text"], cell["is_num"], cell["num"]],
             "numeric": [cell["is_null"], ~cell["is_num"], cell["num"], cell["text"]]}[order]
-    return F.struct(*[F.when(~F.col("ordered"), k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("row_no"))
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col("row_no"))
 
 
 def compare_long(pairs: DataFrame, predicted: DataFrame, gold: DataFrame, *, order: str = "text",
@@ -68,11 +77,14 @@ def compare_long(pairs: DataFrame, predicted: DataFrame, gold: DataFrame, *, ord
                                            .when((F.col("gold_n") != F.col("pred_n")) | F.col("gold_ragged") | F.col("pred_ragged"), False)
                                            .when(F.col("gold_width") == 0, True).when(F.col("pred_width") == 0, False)), "shaped")
     still = shaped.where("decided IS NULL")
-    orders = still.select(F.col("gold_set").alias("set_id"), "ordered").unionByName(
-        still.select(F.col("pred_set").alias("set_id"), "ordered")).distinct()
-    cells = materialize(rows.join(orders, "set_id").select("set_id", "ordered", "row_no", F.posexplode("cells").alias("place", "cell")), "cells")
+    sets = still.select(F.col("gold_set").alias("set_id")).unionByName(still.select(F.col("pred_set").alias("set_id"))).distinct()
+    cells = rows.join(sets, "set_id").select("set_id", "row_no", F.posexplode("cells").alias("place", "cell"))
     found = _column_pairs(still, _signatures(cells), tolerance)
-    matched = _match(found, cells, order, tolerance)
+    names = ["index", "gold_place", "pred_place"]
+    loose = found.where(~F.col("ordered"))
+    alike = materialize(_equal_bags(loose.where((F.col("numbers") == 0) | (F.col("gold_bag") == F.col("pred_bag"))), cells), "alike")
+    near = _match(loose.where(F.col("numbers") > 0).join(alike, names, "left_anti"), cells, order, tolerance)
+    matched = alike.unionByName(near).unionByName(_match_rows(found.where("ordered"), rows, tolerance))
     # Every gold column must match some predicted one.
     columns = matched.groupBy("index").agg(F.count_distinct("gold_place").alias("matched"))
     judged = shaped.join(columns, "index", "left")
@@ -80,16 +92,47 @@ def compare_long(pairs: DataFrame, predicted: DataFrame, gold: DataFrame, *, ord
 
 
 def _column_pairs(still: DataFrame, signatures: DataFrame, tolerance: float) -> DataFrame:
-    """(index, gold_set, gold_place, pred_set, pred_place, n) of columns whose signatures agree."""
+    """(index, ordered, gold_set, gold_place, pred_set, pred_place, n, numbers, bags) of columns whose signatures agree."""
     exact = ["n", "nulls", "numbers", "texts", "mixed"]
 
     def side(name: str) -> DataFrame:
         return signatures.select(F.col("set_id").alias(f"{name}_set"), F.col("place").alias(f"{name}_place"), *exact,
-                                 *[F.col(c).alias(f"{name}_{c}") for c in ("low", "high")])
+                                 *[F.col(c).alias(f"{name}_{c}") for c in ("low", "high", "bag")])
     golds = still.join(side("gold"), "gold_set").where((F.col("gold_place") < F.col("gold_width")) & (F.col("n") == F.col("gold_n")))
     both = golds.join(side("pred"), ["pred_set", *exact]).where(F.col("pred_place") < F.col("pred_width"))
     near = [F.col(f"gold_{c}").isNull() | numbers_close(F.col(f"gold_{c}"), F.col(f"pred_{c}"), tolerance) for c in ("low", "high")]
-    return materialize(both.where(near[0] & near[1]).select("index", "gold_set", "gold_place", "pred_set", "pred_place", "n"), "column-pairs")
+    return materialize(both.where(near[0] & near[1]).select("index", "ordered", "gold_set", "gold_place", "pred_set", "pred_place", "n", "numbers",
+                                                            "gold_bag", "pred_bag"), "column-pairs")
+
+
+def _equal_bags(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """(index, gold_place, pred_place) of the pairs that hold the same cells equally often, in whatever order."""
+    names = ["index", "gold_place", "pred_place"]
+
+    def side(name: str, sign: int) -> DataFrame:
+        return found.select(*names, F.col(f"{name}_set").alias("set_id"), F.col(f"{name}_place").alias("place"), F.lit(sign).alias("sign"))
+    both = side("gold", 1).unionByName(side("pred", -1)).join(cells, ["set_id", "place"])
+    values = both.select(*names, "sign", *_identity(F.col("cell")))
+    odd = ~F.col("is_null") & F.coalesce(F.when(F.col("is_num"), F.col("num").isNull() | F.isnan("num")).otherwise(F.col("text").isNull()), F.lit(True))
+    counted = values.groupBy(*names, "is_null", "text", "is_num", "num").agg(F.sum("sign").alias("more"))
+    # A cell that is not even equal to itself, such as NaN, makes its column unequal.
+    return counted.groupBy(*names).agg(F.bool_and((F.col("more") == 0) & ~odd).alias("equal")).where("equal").select(*names)
+
+
+def _match_rows(found: DataFrame, rows: DataFrame, tolerance: float) -> DataFrame:
+    """(index, gold_place, pred_place) of the pairs whose cells are equal row by row, in the order of the rows."""
+    wanted = found.select(F.col("gold_set").alias("set_id")).unionByName(found.select(F.col("pred_set").alias("set_id"))).distinct()
+    ranked = materialize(rank_within(rows.join(wanted, "set_id"), ["set_id"], "row_no", "rank").select("set_id", "rank", "cells"), "ranked-rows")
+
+    def side(name: str) -> DataFrame:
+        return ranked.select(F.col("set_id").alias(f"{name}_set"), "rank", F.col("cells").alias(f"{name}_cells"))
+    asked = found.groupBy("index", "gold_set", "pred_set").agg(F.max("n").alias("n"), F.collect_list(F.struct("gold_place", "pred_place")).alias("places"))
+    paired = asked.join(side("gold"), "gold_set").join(side("pred"), ["pred_set", "rank"])
+    cells = paired.select("index", "n", "gold_cells", "pred_cells", F.explode("places").alias("at"))
+    equal = cells_equal(F.get("gold_cells", F.col("at.gold_place")), F.get("pred_cells", F.col("at.pred_place")), tolerance)
+    return (cells.groupBy("index", "at.gold_place", "at.pred_place").agg(F.bool_and(F.coalesce(equal, F.lit(False))).alias("equal"),
+                                                                         F.count(F.lit(1)).alias("pairs"), F.max("n").alias("n"))
+            .where(F.col("equal") & (F.col("pairs") == F.col("n"))).select("index", "gold_place", "pred_place"))
 
 
 def _match(found: DataFrame, cells: DataFrame, order: str, tolerance: float) -> DataFrame:

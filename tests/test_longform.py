@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyframe.functions.values import decode_result
-from tallyframe.operators import evaluate
+from tallyframe.operators import evaluate, longform
 from tallyframe.operators.compare import compare_rows
 from tallyframe.operators.longform import compare_long
 
@@ -109,3 +109,30 @@ def test_rows_of_large_gold_sets_leave_before_they_are_gathered(spark):
     assert {r["gold_id"]: (r["n_gold"], r["gold"] and len(r["gold"])) for r in got.collect()} == {"large": (2000, None), "small": (2, 2)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftAnti" in plan and "strategy=broadcast" in plan
+
+
+def test_only_unlike_number_columns_are_ranked_cell_by_cell(spark, monkeypatch):
+    ranked = []
+    plain = longform.rank_within
+    monkeypatch.setattr(longform, "rank_within", lambda df, *a: ranked.append((df.columns, df.count())) or plain(df, *a))
+    gold = [[f'"t{i % 7}"', str(i), "null" if i == 3 else f"{i}.25"] for i in range(40)]
+    off = [r[:2] + [r[2].replace(".25", ".254")] for r in gold]
+    sets = [gold, gold[::-1], [r[::-1] for r in off], gold, gold[::-1]]
+    text = ["[" + ",".join("[" + ",".join(r) + "]" for r in rows) + "]" for rows in sets]
+    both = spark.createDataFrame([(i, text[0], p, i > 2) for i, p in enumerate(text)], "index long, gold string, pred string, ordered boolean").select(
+        "index", "ordered", decode_result(F.col("gold")).alias("g"), decode_result(F.col("pred")).alias("p"))
+    gold_rows = both.select(F.col("index").cast("string").alias("gold_id"), F.posexplode("g").alias("row_no", "cells"))
+    pred = both.select("index", F.posexplode("p").alias("row_no", "cells"))
+    got = compare_long(both.select("index", F.col("index").cast("string").alias("gold_id"), "ordered"), pred, gold_rows)
+    assert {r["index"]: r["same"] for r in got.collect()} == {0: True, 1: True, 2: True, 3: True, 4: False}
+    cells = sum(n for columns, n in ranked if "cells" not in columns)
+    assert cells == 2 * 40 and sum(n for columns, n in ranked if "cells" in columns) == 4 * 40
+
+
+def test_a_cell_that_equals_nothing_matches_nothing(spark):
+    def sets(key):
+        return spark.sql(f"SELECT {key}, row_no, array(named_struct('is_null', id = 2, 'text', 'NaN', 'is_num', id < 1, 'num', "
+                         "CASE WHEN id = 0 THEN double('NaN') END)) AS cells FROM (SELECT id, 0L AS row_no FROM range(3))")
+    pairs = spark.range(3).selectExpr("id AS index", "string(id) AS gold_id", "false AS ordered")
+    got = compare_long(pairs, sets("id AS index"), sets("string(id) AS gold_id"))
+    assert {r["index"]: r["same"] for r in got.collect()} == {0: False, 1: True, 2: True}
