@@ -219,7 +219,8 @@ def _verifier(threshold: float):
 def _shingled(texts: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
     """placed (node and other columns) beside the shingles of its nodes; the same plan at every size."""
     keys = tuple(placed.columns)
-    rows = placed.join(nodes.select("node", "row"), "node").select("row", *keys)
+    # Blocks of a large hub multiply its members, which Spark's size of placed leaves out.
+    rows = placed.hint("merge").join(nodes.select("node", "row"), "node").select("row", *keys)
     # Rows that repeat id and text come once; one shuffle of the texts serves both steps.
     members = texts.select("row", "text").dropDuplicates(["row"]).join(rows.hint("merge"), "row").select(*keys, "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema)
@@ -230,7 +231,8 @@ def _links(texts: DataFrame, nodes: DataFrame, threshold: float, block: int) ->
     """Verified links (a, b) that connect all nodes of a class."""
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
-    stars = materialize(banded.join(buckets.select("band", "hub"), "band").select("node", "hub").distinct(), "stars")
+    # Spark takes an exploded array for one number, and so would broadcast the bands of all nodes.
+    stars = materialize(banded.hint("merge").join(buckets.select("band", "hub"), "band").select("node", "hub").distinct(), "stars")
     nearest = stars.groupBy("node").agg(F.min("hub").alias("hub")).where("node <> hub")
     sizes = nearest.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     members = nearest.join(sizes, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))

@@ -443,12 +443,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashes = blocks.mapInArrow(_block_hashes, "h long, block long")
     shared = (hashes.withColumn("blocks", F.count("*").over(Window.partitionBy("h")).cast("int"))
               .where("blocks > 1").select("block", "h", "blocks"))
-    # Of the copies of a text all but the first are settled: (block, row as h, -1).
+    # Of the copies of a text all but the first are settled: (block, row as h, -1). The join
+    # is by merge: Spark's size of exploded rows is a share of the compressed blocks.
     rows_of = blocks.select("block", F.posexplode(F.arrays_zip("ids", "ties", "others", "sizes")).alias("h", "r"))
     rows_of = rows_of.where(F.col("r.sizes") >= WINDOW).select("block", F.col("h").cast("long").alias("h"), "r.*")
     same = ["ties", "others", "sizes"]
     first = rows_of.groupBy(*same).agg(F.min("ids").alias("low"), F.max("ids").alias("high")).where("low < high").drop("high")
-    copies = rows_of.join(first, same).where("ids > low").select("block", "h", F.lit(-1).alias("blocks"))
+    copies = rows_of.hint("merge").join(first, same).where("ids > low").select("block", "h", F.lit(-1).alias("blocks"))
     runs = blocks.groupBy("block").cogroup(shared.unionByName(copies).groupBy("block")).applyInArrow(_extract(shards), _RUNS)
     found = materialize(runs.groupBy("shard", "salt").applyInArrow(find_repeats, _REMOVED), "repeats")
     merged = found.where("h IS NOT NULL").groupBy("h", "part").applyInArrow(merge_shards, _REMOVED)

@@ -2,10 +2,12 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from samples import ODD_TEXTS, WORD, ascii_lower, frame, prose, shingles
 
 from tallyframe.llm import near_dup as n
 from tallyframe.llm.components import components
+from tallyframe.session import materialize
 
 
 def classes_by_brute_force(rows):
@@ -184,3 +186,31 @@ def test_each_text_of_a_large_group_is_moved_a_bounded_number_of_times(spark, mo
     rows = [(i, " ".join(base[:i % 149] + [f"edit{i}"] + base[i % 149 + 1:])) for i in range(3000)]
     got = {r.class_id for r in n.near_duplicates(frame(spark, rows), block=100).collect()}
     assert got == {0} and sum(moved) < 3 * len(rows)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bands_of_all_nodes_are_not_broadcast(spark, monkeypatch):
+    plans, plain_write = {}, n.materialize
+
+    def noting(df, label, *more):
+        plans[label] = plan_of(df)
+        return plain_write(df, label, *more)
+    monkeypatch.setattr(n, "materialize", noting)
+    rows = [(i, prose(30, 5000 + i)) for i in range(40)] + group_of_copies(4, 20, 60)
+    got = {r.doc_id: r.class_id for r in n.near_duplicates(frame(spark, rows)).collect()}
+    assert got == classes_by_brute_force(rows)
+    assert "Generate explode(bands" in plans["stars"] and "SortMergeJoin" in plans["stars"] and "Broadcast" not in plans["stars"]
+
+
+def test_members_dealt_to_many_blocks_are_not_broadcast(spark):
+    rows = [(i, f"text {i}") for i in range(20)]
+    texts = spark.createDataFrame([(t, bytes([i])) for i, t in rows], "text string, row binary")
+    nodes = spark.createDataFrame([(i, bytes([i])) for i, _ in rows], "node long, row binary")
+    placed = materialize(spark.createDataFrame([(i, 0, 50) for i, _ in rows], "node long, hub long, blocks int"))
+    placed = placed.select("node", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("first"))
+    shingled = n._shingled(texts, nodes, placed)
+    assert "Broadcast" not in plan_of(shingled)
+    assert Counter(r.node for r in shingled.select("node").collect()) == {i: 50 for i, _ in rows}

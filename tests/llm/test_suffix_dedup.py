@@ -102,3 +102,14 @@ def test_whole_characters_stay_valid(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, ""), (None, "")]])
 def test_nothing_to_judge(spark, rows):
     check(spark, rows)
+
+
+def test_rows_of_blocks_are_not_broadcast(spark, monkeypatch):
+    plans, plain_write = {}, suffix_dedup.materialize
+
+    def noting(df, label, *more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return plain_write(df, label, *more)
+    monkeypatch.setattr(suffix_dedup, "materialize", noting)
+    check(spark, CASES + [(700 + i, PASSAGE) for i in range(5)])
+    assert "SortMergeJoin" in plans["repeats"] and "Broadcast" not in plans["repeats"]
